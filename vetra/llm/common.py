@@ -53,7 +53,7 @@ def dropped(df: DataFrame) -> None:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate: for a file scan, the files' bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def blocks(df: DataFrame, block_bytes: int) -> int:

@@ -1,0 +1,34 @@
+"""Connected components of a graph by contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import dropped, stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the least node that it reaches.
+
+    Each round maps every node to the least of itself and its neighbours, and puts the edges between the images in
+    place of the edges, until none joins two nodes. The image of a connected part stays connected, and its least node
+    maps to itself, so all of it ends there. All is partial aggregation and equi-joins; tables of a round are
+    written to the shared folder. Null ends are left out; no edges give no rows.
+    """
+    edges = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    maps = []
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        step = stored(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root")), "roots")
+        maps.append(step)
+        moved = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        after = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(edges)
+        edges = after
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = maps[0]
+    for step in maps[1:]:
+        out = out.join(step.select(F.col("node").alias("via"), F.col("root").alias("to")), F.col("root") == F.col("via"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    return out

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, exact_dedup, packing, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_exact_dedup": exact_dedup.query,
+    "op3_simhash": simhash.query,
+    "op5_packing": packing.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_exact_dedup": exact_dedup.ORACLE,
 }
