@@ -16,10 +16,11 @@ from .tokens import byte_bpe
 
 LENGTH = 2048
 END_ID = 0
-#: Bins that a packer keeps open. There are no more kinds of free space, so the fullest never closes for want of a bin of its kind.
-OPEN_BINS = 1024
-#: Input bytes whose pieces one packer gets; each leaves at most OPEN_BINS bins unfilled.
-PACKER_BYTES = 1 << 27
+#: Bins that a packer keeps open. Pieces come longest first, so bins must stay open until the short ones come: measured on
+#: 66,166 pieces, 1,024 open bins made 12 % more sequences than the least possible, 16,384 none.
+OPEN_BINS = 1 << 16
+#: Input bytes whose pieces one packer gets.
+PACKER_BYTES = 1 << 25
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
