@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash
+from . import chat, decontaminate, exact_dedup, license_scan, packing, simhash, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_simhash": simhash.query,
     "op5_packing": packing.query,
+    "op6_license_scan": license_scan.query,
+    "op7_url_filter": url_filter.query,
+    "op9_chat_format": chat.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+    "op9_chat_format": chat.ORACLE,
 }

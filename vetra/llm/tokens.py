@@ -35,3 +35,12 @@ def byte_bpe(path: str | None = None) -> Callable[[str], np.ndarray]:
         return fast.encode_to_numpy(text)
 
     return encode
+
+
+def byte_decode() -> Callable[[np.ndarray], str]:
+    """ids of the public 50k byte-level vocabulary -> text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        of = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return lambda ids: b"".join(map(of.__getitem__, ids.tolist())).decode()
