@@ -239,7 +239,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
     least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked_ids = members.join(least, "root").select("fp", "least_id")
-    ids = classes.join(linked_ids, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # stored, so that both sides of the last join are plain exchanges, of which Spark splits a hot fingerprint
+    ids = stored(classes.join(linked_ids, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "ids")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
