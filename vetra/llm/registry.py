@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, license_scan, packing, simhash, url_filter
+from . import chat, decontaminate, exact_dedup, license_scan, packing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_packing": packing.query,
     "op6_license_scan": license_scan.query,
     "op7_url_filter": url_filter.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_chat_format": chat.query,
 }
 
@@ -18,5 +19,6 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }
