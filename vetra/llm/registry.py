@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, license_scan, packing, simhash, substring_dedup, url_filter
+from . import chat, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_url_filter": url_filter.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_chat_format": chat.query,
+    "op10_lm_score": lm_score.query,
 }
 
 ORACLES = {
