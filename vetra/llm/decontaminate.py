@@ -38,20 +38,20 @@ def winnowed(words: Column, window: int) -> Column:
     """
     gram, span = _shape(window)
 
-    def grams(h: Column) -> Column:
-        return F.transform(
-            F.slice(h, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(0))),
-            lambda x, i: F.shiftleft(F.xxhash64(F.lit(window), x, *[F.get(h, i + j) for j in range(1, gram)]), PLACE_BITS).bitwiseOR(i.cast("long")),
-        )
+    def joined(a: Column, step: int, both) -> Column:
+        """both(x, y) of all entries and those `step` behind; the last ones, without partner, keep a value that no shared window needs."""
+        return let(a, lambda v: F.zip_with(v, F.slice(v, F.lit(step + 1), F.size(v)), both))
 
-    def least(v: Column, step: int) -> Column:
-        return F.transform(F.slice(v, F.lit(1), F.greatest(F.size(v) - step, F.lit(0))), lambda x, i: F.least(x, F.get(v, i + step)))
+    def doubled(a: Column, width: int, both) -> Column:
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            a, done = joined(a, step, both), done + step
+        return a
 
-    out, width = let(F.transform(words, lambda w: F.xxhash64(F.lower(w))), grams), 1
-    while width < span:
-        step = min(width, span - width)
-        out, width = let(out, lambda v, step=step: least(v, step)), width + step
-    return F.array_distinct(out)
+    grams = doubled(F.transform(words, lambda w: F.xxhash64(F.lower(w), F.lit(window))), gram, lambda x, y: F.xxhash64(x, y))
+    packed = F.transform(grams, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long")))
+    return F.array_distinct(doubled(packed, span, lambda x, y: F.least(x, y)))
 
 
 def fingerprints(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
@@ -83,13 +83,16 @@ def extend(matches: DataFrame) -> DataFrame:
     shift = F.col("p") - F.col("at")  # the segment's first word, in the document
     first = F.greatest(-shift, F.lit(0))
     local = F.transform(F.col("bench_words"), lambda w, j: F.translate(F.when(shift + j >= 0, F.get(F.col("words"), F.greatest(shift + j, F.lit(0)))), UPPER, LOWER) == w)
-    runs = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size("bench_words") - F.col("window"), F.lit(0))),
-        lambda s: (s >= first) & F.forall(F.slice(F.col("same"), s + 1, F.col("window")), lambda x: F.coalesce(x, F.lit(False))),
+    starts = let(
+        local,
+        lambda same: F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size("bench_words") - F.col("window"), F.lit(0))),
+            lambda s: (s >= first) & F.forall(F.slice(same, s + 1, F.col("window")), lambda x: F.coalesce(x, F.lit(False))),
+        ),
     )
-    hits = matches.withColumn("same", local).withColumn("starts", runs).where("size(starts) > 0")
-    places = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + shift, s + shift + F.col("window") - 1))))
-    return hits.select("doc_id", "segment", places.alias("places"))
+    places = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s + shift, s + shift + F.col("window") - 1))))
+    # none or one row for each match: a filter behind the projection would compare all words again
+    return matches.select("doc_id", "segment", F.explode(F.filter(F.array(places), lambda a: F.size(a) > 0)).alias("places"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
