@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, substring_dedup, url_filter
+from . import chat, decontaminate, exact_dedup, license_scan, lm_score, packing, quality, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_simhash": simhash.query,
+    "op4_quality": quality.query,
     "op5_packing": packing.query,
     "op6_license_scan": license_scan.query,
     "op7_url_filter": url_filter.query,
