@@ -95,6 +95,8 @@ class Block:
     """A block's distinct super-k-mers, numbered as they come, and where each occurs."""
 
     def __init__(self, table: pa.Table, hot: np.ndarray):
+        # a shuffle's rows come in any order, and the numbers must be the same each time that the block is read
+        self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = table.column("doc_id").combine_chunks()
         self.docs = np.asarray(ids.fill_null(LAST)) if len(ids) else np.zeros(0, np.int64)
         self.joined: list[bytes] = []
@@ -227,7 +229,7 @@ def _cut(hot: np.ndarray):
             if removed[k]:
                 joined = b" ".join([w for w, g in zip(joined.split(b" "), gone[base[k] : base[k + 1]].tolist(), strict=True) if not g])
             kept.append(joined.decode())
-        return pa.table([table.column("doc_id"), pa.array(words), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        return pa.table([block.table.column("doc_id"), pa.array(words), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return cut
 
