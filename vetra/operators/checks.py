@@ -102,8 +102,8 @@ def isolated(run: Callable[[DataFrame], DataFrame], table: DataFrame, forbidden:
 
 
 def columns_read(df: DataFrame) -> set[str]:
-    """Columns that the optimised plan's scans read: for proofs that a query doesn't touch others."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    """Columns that the physical plan's scans read: for proofs that a query doesn't touch others."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
     return {a.name() for k in range(leaves.size()) for a in _each(leaves.apply(k).output())}
 
 
