@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vetra.operators.lineage import components
+
 from .common import read, stored, texts
-from .components import components
 
 SHINGLE = 3
 DISTANCE = 3
