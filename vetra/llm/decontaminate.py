@@ -68,6 +68,7 @@ def fingerprints(benchmark: DataFrame, item_col: str = "item_id", text_col: str
         own = items.where(f"least(size(words), {WINDOW}) = {n}").select("item_id", "words", F.explode(winnowed(F.col("words"), n)).alias("v"))
         own = own.select("item_id", "words", F.shiftright("v", PLACE_BITS).alias("fp"), F.col("v").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("q"))
         own = own.select("item_id", "fp", F.lit(n).alias("window"), F.slice("words", start + 1, F.least(F.size("words"), F.col("q") + n) - start).alias("words"), (F.col("q") - start).alias("at"))
+        own = own.where("size(words) >= window")  # an item's last places have values of fewer words than a gram
         parts = own if parts is None else parts.unionByName(own)
     if parts is None:
         schema = "item_id long, fp long, window int, words array<string>, at int"
@@ -86,7 +87,7 @@ def extend(matches: DataFrame) -> DataFrame:
     starts = let(
         local,
         lambda same: F.filter(
-            F.sequence(F.lit(0), F.greatest(F.size("bench_words") - F.col("window"), F.lit(0))),
+            F.sequence(F.lit(0), F.size("bench_words") - F.col("window")),
             lambda s: (s >= first) & F.forall(F.slice(same, s + 1, F.col("window")), lambda x: F.coalesce(x, F.lit(False))),
         ),
     )
