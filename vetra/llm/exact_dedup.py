@@ -95,7 +95,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     differ = stored(unlike(docs, prints, groups), "unlike")
     marked = prints.join(small(differ.withColumn("differ", F.lit(True)), 100_000), ["fp", "bytes"], "left")
     marked = marked.withColumn("part", F.when(F.col("differ"), F.col("text_sha256")).otherwise("")).drop("differ")
-    sizes = marked.groupBy("fp", "bytes", "part").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1")
+    # stored, so that both sides of the join are plain exchanges, of which Spark splits a hot group
+    sizes = stored(marked.groupBy("fp", "bytes", "part").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1"), "groups")
     out = marked.join(sizes, ["fp", "bytes", "part"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
