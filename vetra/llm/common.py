@@ -25,15 +25,21 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate: for a file scan, the files' bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Catalyst's size of a table of which it knows none is more.
+UNKNOWN = 1 << 60
 
 
-def blocks(df: DataFrame, block_bytes: int) -> int:
-    """Into how many blocks a table goes so that each holds about block_bytes of its files, and all cores have work."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(min(size_in_bytes(df), 1 << 60) / block_bytes))
+def size_in_bytes(docs: DataFrame) -> int:
+    """Bytes of the files that docs (with a column text) come from; where they come from no files, of their texts, which takes a pass."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return total if total < UNKNOWN else int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def blocks(docs: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks a table goes so that each holds about block_bytes, and all cores have work."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(size_in_bytes(docs) / block_bytes))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
