@@ -68,8 +68,8 @@ RULES = (
 )
 SCAN = "doc_id long, n_sentences long, sentence_ids array<string>, licenses array<string>, unmatched array<string>"
 _END = re.compile(r"[.!?;:](?=\s|$)|\n+")
-_PLAIN = re.compile(r"[^a-z0-9./\-]+")
-_VERSION = re.compile(r"\bv?(\d+(?:\.\d+)*)$|\b(\d+(?:\.\d+)*)(?= of the license)")
+_PLAIN = re.compile(r"[^a-z0-9./\-]+|(?<!\d)\.|\.(?!\d)")
+_VERSION = re.compile(r"\bv?(\d+(?:\.\d+)*)\b")
 
 
 def sentences(text: str) -> list[str]:
@@ -79,9 +79,9 @@ def sentences(text: str) -> list[str]:
 
 def identify(sentence: str) -> tuple[str, str] | None:
     """The identifier of a known licence sentence, and its version ('' if it has none); letter case, punctuation and white space don't count."""
-    plain = _PLAIN.sub(" ", sentence.lower()).strip(" .-/")
+    plain = " ".join(_PLAIN.sub(" ", sentence.lower()).split()).strip(" -/")
     version = _VERSION.search(plain)
-    number = (version[1] or version[2]) if version else ""
+    number = version[1] if version else ""
     plain = plain[: version.start()] + "V" + plain[version.end() :] if version else plain
     return (SENTENCES[plain], number) if plain in SENTENCES else None
 

@@ -24,11 +24,14 @@ TRAIN_ROWS = 20_000
 #: Features of a training row, at most: those of the least hashes, which is a sample without bias. Scoring takes all.
 TRAIN_FEATURES = 2_000
 #: Steps of a fit, at least; many rows take PASSES passes.
-STEPS, PASSES, BATCH, RATE, SPARSE = 1500, 12, 128, 0.1, 3e-4
+STEPS, PASSES, BATCH, RATE = 1500, 12, 128, 0.1
+#: The L1 penalty falls with the root of the rows, as the noise of a slope does.
+SPARSE = 0.037
 #: A feature of a smaller share of the training rows, or of one row alone, gets no weight.
 LEAST_SHARE = 0.0015
-#: A document passes if it is of the best grade with this chance at least.
-LEAST_CHANCE = 0.5
+#: A document passes if it is of the best grade with this chance at least. Measured on 5,000 held-out labelled documents after a fit on
+#: 14,000: 0.0 % of toxic, 1.5 % of poor and 99.9 % of good ones pass; after a fit on 2,000: 4.4, 1.3 and 99.8 %.
+LEAST_CHANCE = 0.7
 #: Words' features are remembered up to so many words for each task.
 REMEMBERED = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -94,6 +97,7 @@ def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
     cuts, cuts_seen = np.linspace(-1.0, 1.0, GRADES - 1), np.full(GRADES - 1, 1e-6)
     common = np.bincount(np.concatenate([np.zeros(0, np.int64), *features]), minlength=FEATURES) >= max(2, LEAST_SHARE * len(grades))
     features = [f[common[f]] for f in features]
+    sparse = SPARSE / max(len(grades), 1) ** 0.5
     for _ in range(max(PASSES, STEPS * BATCH // max(len(grades), 1))) if len(grades) else ():
         for at in range(0, len(grades), BATCH):
             own = features[at : at + BATCH]
@@ -107,7 +111,7 @@ def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
             seen[used] += g * g
             rate = RATE / np.sqrt(seen[used])
             moved = w[used] - rate * g
-            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * SPARSE, 0)
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - rate * sparse, 0)
             g = -pull.mean(0)
             cuts_seen += g * g
             cuts = np.maximum.accumulate(cuts - RATE * g / np.sqrt(cuts_seen))
