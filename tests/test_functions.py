@@ -108,3 +108,9 @@ def test_segments(spark):
 
 def test_finite(spark):
     assert [one(spark, numbers.finite(F.col("k").cast("double")), k=v) for v in (1.0, float("nan"), float("inf"), float("-inf"), None)] == [True, False, False, False, False]
+
+
+def test_decoder_report(spark):
+    said = "Input #0\n  Duration: 00:00:30.02, start: 0.025, bitrate: 256 kb/s\n  Stream #0:0: Audio: mp3 (mp3float), 44100 Hz, stereo, fltp, 256 kb/s\n"
+    assert tuple(one(spark, text.decoder_report(F.col("k")), k=said)) == (30.02, 256, "mp3", 44100, "stereo", 2, 256)
+    assert tuple(one(spark, text.decoder_report(F.col("k")), k="nothing")) == (None,) * 7

@@ -153,3 +153,27 @@ def locator(x: Column) -> Column:
         .when(x.startswith("parquet://"), make("parquet", F.when(table != "", table).otherwise(broken), null("string"), F.nullif(row, F.lit("")).cast("long")))
         .otherwise(make("file", x, null("string"), null("long")))
     )
+
+
+def archive_member(path: Column, families: tuple[tuple[tuple[str, ...], str, str, str], ...], generators: dict[str, str], nested_copy: str = "generated") -> Column:
+    """struct(directory, role, source_family, source_id, generator, content_group_key) of a member's path, by its second part.
+
+    families: (directories, family, pattern of the id with one group, printf format of the id; '' keeps the text in upper case). Below a nested
+    folder of the given name, members of families with a format are redundant copies.
+    """
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    n = F.size(parts)
+    directory = F.when(n > 2, parts[1]).otherwise("")
+    name = F.element_at(parts, -1)
+    family, source_id, role = F.lit("unknown"), F.lit(""), F.lit("generated")
+    for directories, own, pattern, form in families:
+        here = directory.isin(*directories)
+        found = F.regexp_extract(name, f"(?i){pattern}", 1)
+        made = F.format_string(form, F.nullif(found, F.lit("")).cast("long")) if form else F.upper(found)
+        family = F.when(here, own).otherwise(family)
+        source_id = F.when(here, F.when(found != "", made).otherwise("")).otherwise(source_id)
+        if form:
+            role = F.when(here & (n >= 4) & (F.get(parts, F.lit(2)) == nested_copy), "redundant_duplicate_copy").otherwise(role)
+    known = F.create_map(*[F.lit(x) for kv in generators.items() for x in kv])
+    group = F.when(source_id != "", F.concat(family, F.lit(":"), source_id)).otherwise(F.concat(F.lit("unparsed:"), path))
+    return F.struct(directory.alias("directory"), role.alias("role"), family.alias("source_family"), source_id.alias("source_id"), F.coalesce(F.try_element_at(known, directory), F.lit("unknown")).alias("generator"), group.alias("content_group_key"))

@@ -123,3 +123,21 @@ def reference_key(x: pd.Series) -> pd.Series:
     """ASCII letters and digits after compatibility decomposition, lower case, words joined by a space. A UDF: Spark has no normalisation."""
     plain = lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().casefold()
     return x.map(lambda t: None if t is None else " ".join(re.findall("[a-z0-9]+", plain(t))))
+
+
+def decoder_report(x: Column) -> Column:
+    """struct(duration_seconds, container_kbps, codec, sample_rate_hz, channel_layout, channels, stream_kbps) from what a decoder prints of an input; nulls where it says nothing."""
+    clock = r"Duration:\s*(\d+:\d+:[0-9.]+)"
+    line = F.regexp_extract(x, r"(?m)^.*Stream #0:.*Audio:(.*)$", 1)
+    parts = F.transform(F.split(line, ","), lambda p: F.trim(p))
+    number = lambda c, p: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit("")).cast("int")
+    layout = F.get(parts, F.lit(2))
+    return F.struct(
+        parse_hms(F.nullif(F.regexp_extract(x, clock, 1), F.lit(""))).alias("duration_seconds"),
+        number(x, r"Duration:[^\n]*bitrate:\s*(\d+)\s*kb/s").alias("container_kbps"),
+        F.nullif(F.regexp_extract(line, r"^\s*(\S+?)(?:[\s,]|$)", 1), F.lit("")).alias("codec"),
+        number(F.get(parts, F.lit(1)), r"(\d+)\s*Hz").alias("sample_rate_hz"),
+        layout.alias("channel_layout"),
+        F.when(layout == "mono", 1).when(layout == "stereo", 2).otherwise(number(layout, r"(\d+)\s*channels")).alias("channels"),
+        number(line, r"(\d+)\s*kb/s").alias("stream_kbps"),
+    )

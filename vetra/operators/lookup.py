@@ -130,3 +130,19 @@ def probe(df: DataFrame, group: str, order: Column) -> DataFrame:
 def ordinals(df: DataFrame, group: list[str], order: list[Column], name: str = "ordinal", base: int = 1) -> DataFrame:
     """Rows numbered within their group. A group is sorted by one task, so it must fit its disk."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) + (base - 1))
+
+
+def pairing_summary(generated: DataFrame, real: DataFrame, directory: str, key: str, expected: dict[str, int]) -> DataFrame:
+    """Of each directory: members, distinct keys, repeated ones, keys without a real one, the number expected, and whether that many are there."""
+    known = real.select(F.col(key).alias("_known")).distinct()
+    by = generated.groupBy(directory, key).agg(F.count("*").alias("n")).join(known, F.col(key) == F.col("_known"), "left")
+    need = F.try_element_at(F.create_map(*[F.lit(x) for kv in expected.items() for x in kv]), F.col(directory))
+    out = by.groupBy(directory).agg(F.sum("n").alias("member_count"), F.count("*").alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.count_if(F.col("_known").isNull()).alias("unpaired_keys"))
+    return out.withColumn("expected_count", need.cast("long")).withColumn("complete", F.coalesce(F.col("distinct_keys") == F.col("expected_count"), F.lit(False)))
+
+
+def selection_audit(candidates: DataFrame, group: str, candidate: str, order: list[Column], digest: str, chosen: DataFrame) -> DataFrame:
+    """Of each group: the candidate that the order puts first, the recorded choice, whether they agree, and whether all candidates have one digest."""
+    best = candidates.groupBy(group).agg(F.min_by(candidate, F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])).alias("derived"), F.count_distinct(digest).alias("digest_count"))
+    own = chosen.select(F.col(group).alias("_g"), F.col(candidate).alias("recorded"))
+    return best.join(own, F.col(group) == F.col("_g"), "left").drop("_g").withColumns({"agrees": F.col("derived").eqNullSafe(F.col("recorded")), "one_digest": F.col("digest_count") == 1})

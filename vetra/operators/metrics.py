@@ -161,3 +161,17 @@ def recall_at(long: DataFrame, threshold: float, keys: list[str], label: str = "
 
 def file_probability(voice_present: Column, voice_fake: Column, music_present: Column, music_fake: Column) -> Column:
     return 1 - (1 - voice_present * voice_fake) * (1 - music_present * music_fake)
+
+
+def wide(long: DataFrame, keys: list[str], head: str = "head", label: str = "label", score: str = "score") -> DataFrame:
+    """A row for each key with HEAD_label, HEAD_mask and HEAD_prediction of each head."""
+    pick = lambda h, c: F.max(F.when(F.col(head) == h, F.col(c)))
+    return long.groupBy(*keys).agg(*[x for h in HEADS for x in (pick(h, label).alias(f"{h}_label"), pick(h, label).isNotNull().alias(f"{h}_mask"), pick(h, score).alias(f"{h}_prediction"))])
+
+
+def order_invariance(run, table: DataFrame, keys: list[str], values: list[str], parts: int = 7) -> DataFrame:
+    """One row: rows, and the largest difference of run()'s values between the table and the same rows dealt otherwise."""
+    a, b = run(table), run(table.repartition(parts))
+    pairs = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    worst = F.greatest(*[F.coalesce(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}")), F.lit(0.0)) for v in values], F.lit(0.0))
+    return pairs.agg(F.count("*").alias("row_count"), F.coalesce(F.max(worst), F.lit(0.0)).alias("max_absolute_delta"))

@@ -661,3 +661,49 @@ def latest_state(spark, d):
 def refreshed_columns(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
     return resume.refresh(c, c.where("c_acctbal < 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")), "c_custkey", ["c_acctbal"])
+
+
+# ---- members, pairing, selection ----
+
+
+@query("""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a_gen' WHEN 1 THEN 'prompts' ELSE 'other' END AS directory, CASE WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN 'redundant_duplicate_copy' ELSE 'generated' END AS role,
+  CASE page_id % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'prompt' ELSE 'unknown' END AS source_family, CASE page_id % 3 WHEN 0 THEN 'AB' || lpad(page_id::VARCHAR, 6, '0') WHEN 1 THEN 'P-' || lpad(page_id::VARCHAR, 5, '0') ELSE '' END AS source_id,
+  CASE page_id % 3 WHEN 0 THEN 'net' ELSE 'unknown' END AS generator,
+  CASE page_id % 3 WHEN 0 THEN 'speech:AB' || lpad(page_id::VARCHAR, 6, '0') WHEN 1 THEN 'prompt:P-' || lpad(page_id::VARCHAR, 5, '0') ELSE 'unparsed:root/other/x.wav' END AS content_group_key FROM pages""")
+def archive_members(spark, d):
+    """Paths made from page ids, classified by directory."""
+    i = F.col("page_id")
+    path = F.when(i % 3 == 0, F.format_string("root/a_gen/ab%06d_x.wav", i)).when((i % 3 == 1) & (i % 2 == 0), F.format_string("root/prompts/generated/gen_%d.wav", i)).when(i % 3 == 1, F.format_string("root\\prompts\\gen_%d.wav", i)).otherwise("root/other/x.wav")
+    rules = ((("a_gen",), "speech", r"(AB\d{6})", ""), (("prompts",), "prompt", r"gen_(\d+)", "P-%05d"))
+    return table(spark, d, "pages").select("page_id", classify.archive_member(path, rules, {"a_gen": "net"}).alias("m")).select("page_id", "m.*")
+
+
+@query("""
+SELECT l_returnflag, count(*) AS member_count, count(DISTINCT l_orderkey) AS distinct_keys, count(DISTINCT l_orderkey) FILTER (n > 1) AS repeated_keys, count(DISTINCT l_orderkey) FILTER (o_orderkey IS NULL) AS unpaired_keys,
+  CASE l_returnflag WHEN 'A' THEN 10 WHEN 'R' THEN 20 END::BIGINT AS expected_count, coalesce(count(DISTINCT l_orderkey) = CASE l_returnflag WHEN 'A' THEN 10 WHEN 'R' THEN 20 END, false) AS complete
+FROM (SELECT *, count(*) OVER (PARTITION BY l_returnflag, l_orderkey) AS n FROM lineitem) LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' GROUP BY l_returnflag""")
+def pairing_summary(spark, d):
+    real = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return lookup.pairing_summary(table(spark, d, "lineitem"), real, "l_returnflag", "l_orderkey", {"A": 10, "R": 20})
+
+
+@query("""
+WITH b AS (SELECT p_brand, arg_max(p_partkey, (p_retailprice, -p_size, -p_partkey)) AS derived, max(p_partkey) AS recorded, count(DISTINCT p_type) AS digest_count FROM part GROUP BY 1)
+SELECT *, derived = recorded AS agrees, digest_count = 1 AS one_digest FROM b""")
+def selection_audit(spark, d):
+    p = table(spark, d, "part")
+    chosen = p.groupBy("p_brand").agg(F.max("p_partkey").alias("p_partkey"))
+    return lookup.selection_audit(p, "p_brand", "p_partkey", [-F.col("p_retailprice"), F.col("p_size"), F.col("p_partkey")], "p_type", chosen)
+
+
+@query(f"WITH {_LONG} SELECT doc_id, " + ", ".join(f"max(label) FILTER (head = '{h}') AS {h}_label, max(label) FILTER (head = '{h}') IS NOT NULL AS {h}_mask, max(score) FILTER (head = '{h}') AS {h}_prediction" for h in metrics.HEADS) + " FROM long GROUP BY doc_id")
+def wide_predictions(spark, d):
+    return metrics.wide(_heads(spark, d), ["doc_id"])
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS row_count, 0.0::DOUBLE AS max_absolute_delta FROM lineitem")
+def order_invariance(spark, d):
+    """Means of segments don't depend on how rows are dealt."""
+    out = metrics.order_invariance(lambda t: aggregate.segment_means(t, "l_orderkey", ["l_discount"]), table(spark, d, "lineitem").select("l_orderkey", "l_discount"), ["l_orderkey"], ["l_discount"])
+    return rounded(out, "max_absolute_delta", digits=9)
