@@ -71,11 +71,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def unlike(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
-    """The (fp, bytes) under which texts differ. Chunks of equal place stream through a least and a greatest for each group, combined before the shuffle."""
-    members = prints.join(groups, ["fp", "bytes"]).select(F.col("doc_id").alias("member"), "fp", "bytes").distinct()
-    rows = docs.join(members, F.expr("doc_id <=> member")).select("fp", "bytes", F.encode("text", "utf-8").alias("data")).where("length(data) = bytes")
+    """The (fp, bytes) under which texts differ. Chunks of equal place stream through a least and a greatest for each group, combined before the shuffle.
+
+    Texts are found by their ids. Where an id is null, or has texts of several groups, these groups count as differing too.
+    """
+    members = stored(prints.select(F.col("doc_id").alias("member"), "fp", "bytes").distinct().join(groups, ["fp", "bytes"]), "members")
+    by_id = members.where("member is not null").groupBy("member").agg(F.min(F.struct("fp", "bytes")).alias("k"), F.count("*").alias("n"))
+    own = by_id.where("n = 1").select("member", "k.fp", "k.bytes")
+    rows = docs.join(own, F.col("doc_id") == F.col("member")).select("fp", "bytes", F.encode("text", "utf-8").alias("data")).where("length(data) = bytes")
     rows = rows.select("fp", "bytes", F.posexplode(_chunks(F.col("data"))).alias("no", "chunk"))
-    return rows.groupBy("fp", "bytes", "no").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select("fp", "bytes").distinct()
+    differ = rows.groupBy("fp", "bytes", "no").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select("fp", "bytes")
+    several = members.join(by_id.where("n > 1").select("member"), "member", "left_semi").select("fp", "bytes")
+    return differ.unionByName(members.where("member is null").select("fp", "bytes")).unionByName(several).distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,11 +98,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = stored(fingerprints(docs), "fingerprints")
-    groups = prints.groupBy("fp", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("fp", "bytes")
+    # stored, as below: of joins of plain exchanges, Spark splits a hot group
+    groups = stored(prints.groupBy("fp", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("fp", "bytes"), "shared")
     differ = stored(unlike(docs, prints, groups), "unlike")
     marked = prints.join(small(differ.withColumn("differ", F.lit(True)), 100_000), ["fp", "bytes"], "left")
     marked = marked.withColumn("part", F.when(F.col("differ"), F.col("text_sha256")).otherwise("")).drop("differ")
-    # stored, so that both sides of the join are plain exchanges, of which Spark splits a hot group
     sizes = stored(marked.groupBy("fp", "bytes", "part").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1"), "groups")
     out = marked.join(sizes, ["fp", "bytes", "part"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
