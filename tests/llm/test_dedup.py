@@ -159,3 +159,11 @@ def test_sf(spark, sf):
     out = s.query(spark, sf).collect()
     assert {r.doc_id: r.fingerprint for r in out} == {k: f"{v:016x}" for k, v in prints.items()}
     assert {r.doc_id: r.component_id for r in out} == brute_components(prints)
+
+
+def test_bitmap_of_ids_passes_every_member_and_few_others(spark):
+    docs = spark.range(-5, 2000).selectExpr("id as doc_id", "'t' as text").union(spark.createDataFrame([(None, "t")], "doc_id long, text string"))
+    members = [-3, 0, 63, 64, 65, 1999]
+    passed = {r[0] for r in e.perhaps(docs, spark.createDataFrame([(k,) for k in [*members, *members]], "member long")).collect()}
+    assert set(members) <= passed and len(passed) < 20
+    assert e.perhaps(docs, spark.createDataFrame([], "member long")).isEmpty()
