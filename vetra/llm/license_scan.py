@@ -18,14 +18,18 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "ApacheCompliance",
     "you may obtain a copy of the license at": "ApacheCopyAt",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "ApacheAsIs",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
     "released under the mit license": "MitRef",
     "licensed under the mit license": "MitRef",
     "this project is licensed under the mit license": "MitRef",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "MitGrant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
     "the software is provided as is without warranty of any kind express or implied": "MitAsIs",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitAsIs",
     "this work is licensed under the gnu general public license version V": "GplRef",
     "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation": "GplFree",
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version V of the license or at your option any later version": "GplFreeOrLater",
     "either version V of the license or at your option any later version": "GplOrLater",
     "this program is distributed in the hope that it will be useful but without any warranty": "GplNoWarranty",
     "this work is licensed under the gnu lesser general public license version V": "LgplRef",
@@ -54,6 +58,8 @@ RULES = (
     ("MIT", ("MitRef",)),
     ("GPL-V-or-later", ("GplFree", "GplOrLater", "GplNoWarranty")),
     ("GPL-V-or-later", ("GplFree", "GplOrLater")),
+    ("GPL-V-or-later", ("GplFreeOrLater", "GplNoWarranty")),
+    ("GPL-V-or-later", ("GplFreeOrLater",)),
     ("GPL-V", ("GplRef",)),
     ("LGPL-V", ("LgplRef",)),
     ("CC-BY-NC-ND-V", ("CcByNcNd",)),
@@ -68,22 +74,57 @@ RULES = (
 )
 SCAN = "doc_id long, n_sentences long, sentence_ids array<string>, licenses array<string>, unmatched array<string>"
 _END = re.compile(r"[.!?;:](?=\s|$)|\n+")
+#: An empty line, or one of comment signs alone.
+_GAP = re.compile(r"\n[\s#*/;-]*\n")
+_URL = re.compile(r"(https?://\S+)", re.I)
+_BULLET = re.compile(r"^\W*(?:\d+|[a-z])\)\s+")
 _PLAIN = re.compile(r"[^a-z0-9./\-]+|(?<!\d)\.|\.(?!\d)")
 _VERSION = re.compile(r"\bv?(\d+(?:\.\d+)*)\b")
 
 
-def sentences(text: str) -> list[str]:
-    """A text's sentences, which end at .!?;: before white space, or with a line; without empty ones."""
+def _split(text: str) -> list[str]:
     return [s for part in _END.split(text) if (s := part.strip())]
 
 
-def identify(sentence: str) -> tuple[str, str] | None:
-    """The identifier of a known licence sentence, and its version ('' if it has none); letter case, punctuation and white space don't count."""
-    plain = " ".join(_PLAIN.sub(" ", sentence.lower()).split()).strip(" -/")
+def _plain(part: str) -> str:
+    """A part of a sentence without letter case, punctuation, excess white space, and what a comment or list puts before it."""
+    return " ".join(_PLAIN.sub(" ", _BULLET.sub("", part.lower())).split()).strip(" -/")
+
+
+def _versioned(plain: str) -> tuple[str, str]:
     version = _VERSION.search(plain)
-    number = version[1] if version else ""
-    plain = plain[: version.start()] + "V" + plain[version.end() :] if version else plain
-    return (SENTENCES[plain], number) if plain in SENTENCES else None
+    return (plain[: version.start()] + "V" + plain[version.end() :], version[1]) if version else (plain, "")
+
+
+#: What known sentences start with, by whole words.
+_STARTS = {" ".join(words[:k]) for words in map(str.split, SENTENCES) for k in range(1, len(words) + 1)}
+
+
+def scan(text: str) -> tuple[int, list[tuple[str, str]]]:
+    """The number of a text's sentences, and the identifiers of the known ones with their versions ('' if there is none).
+
+    Text is parted at .!?;: before white space, at line feeds and around addresses (which don't count as ends). Parts in a row, within a paragraph, that make up a known sentence are one,
+    however it is wrapped or punctuated; any other part counts as a sentence.
+    """
+    count, known = 0, []
+    for paragraph in _GAP.split(text):
+        pieces = [[p for p in _URL.split(s) if p.strip()] for s in _split(paragraph)]
+        parts = [(_plain(p), not k) for own in pieces for k, p in enumerate(own)]
+        at = 0
+        while at < len(parts):
+            joined, used = "", 1
+            for k in range(at, len(parts)):
+                joined = f"{joined} {parts[k][0]}".strip()
+                key, version = _versioned(joined)
+                if key in SENTENCES:
+                    known.append((SENTENCES[key], version))
+                    used = k + 1 - at
+                    break
+                if key not in _STARTS:
+                    break
+            count += parts[at][1]
+            at += used
+    return count, known
 
 
 def recognise(known: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -108,9 +149,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            parts = sentences(text)
-            known = [k for s in parts if (k := identify(s))]
-            rows.append((doc, len(parts), [k for k, _ in known], *recognise(known)))
+            count, known = scan(text)
+            rows.append((doc, count, [k for k, _ in known], *recognise(known)))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.string())] * 3)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_sentences", "sentence_ids", "licenses", "unmatched"])
@@ -122,7 +162,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns a row per document: doc_id, n_sentences, sentence_ids (of known licence sentences, in order, repeats
     included), licenses (each once, in order), unmatched (identifiers that no rule takes).
 
-    Each sentence is normalised and looked up among the known ones; the sequence of identifiers is matched against the ordered
+    Each sentence, wrapped over lines or not, is normalised and looked up among the known ones; the sequence of identifiers is matched against the ordered
     rules, the first that fits at a place wins, and matching goes on behind it. A text is read by one task, without a shuffle.
 
     Null and empty texts have no sentences and no licences. Repeated rows each give a row.
