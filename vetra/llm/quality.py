@@ -21,8 +21,6 @@ GRADES = 3
 FEATURES = 1 << 22
 #: Labelled rows that a model is fitted on, at most: the bound that fitting on the driver has. Rows are chosen by a hash of their id.
 TRAIN_ROWS = 20_000
-#: Features of a training row, at most: those of the least hashes, which is a sample without bias. Scoring takes all.
-TRAIN_FEATURES = 2_000
 #: Steps of a fit, at least; many rows take PASSES passes.
 STEPS, PASSES, BATCH, RATE = 1500, 12, 128, 0.1
 #: The L1 penalty falls with the root of the rows, as the noise of a slope does.
@@ -78,12 +76,7 @@ class Features:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
     for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            own = features.of(text)
-            if len(own) > TRAIN_FEATURES:
-                own = own[np.argsort(own * 0x9E3779B1 % (1 << 32), kind="stable")[:TRAIN_FEATURES]]
-            rows.append(own.astype(np.int32))
+        rows = [features.of(text).astype(np.int32) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("turn"), pa.array(rows, pa.list_(pa.int32()))], ["grade", "turn", "features"])
 
 
