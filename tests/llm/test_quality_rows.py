@@ -11,3 +11,12 @@ def test_all_features_of_a_row_are_learnt():
     batch = pa.RecordBatch.from_pydict({"grade": pa.array([0], pa.int32()), "turn": pa.array([1], pa.int64()), "text": [text]})
     own = next(quality._examples(iter([batch]))).column("features")[0].values
     assert np.array_equal(np.asarray(own), quality.Features().of(text)) and len(own) > 3000
+
+
+def test_rare_features_are_learnt_at_any_size():
+    """A term of 5 toxic rows has a weight among 400 rows and among 6,000."""
+    for n in (400, 6000):
+        toxic = set(range(0, n, n // 5)[:5])
+        grades = np.array([0 if k in toxic else 2 for k in range(n)])
+        model = quality.fit_rows(grades, [np.array([1, 2] if k in toxic else [1]) for k in range(n)])
+        assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)).get(2, 0) < 0

@@ -25,10 +25,11 @@ TRAIN_ROWS = 20_000
 STEPS, PASSES, BATCH, RATE = 1500, 12, 128, 0.1
 #: The L1 penalty falls with the root of the rows, as the noise of a slope does.
 SPARSE = 0.037
-#: A feature of a smaller share of the training rows, or of one row alone, gets no weight.
-LEAST_SHARE = 0.0015
+#: A feature of fewer training rows gets no weight, however many rows there are.
+LEAST_ROWS = 2
 #: A document passes if it is of the best grade with this chance at least. Measured on 5,000 held-out labelled documents after a fit on
-#: 14,000: 0.0 % of toxic, 1.5 % of poor and 99.9 % of good ones pass; after a fit on 2,000: 4.4, 1.3 and 99.8 %.
+#: 14,000: 0.0 % of toxic, 1.5 % of poor and 99.9 % of good ones pass; after a fit on 2,000: 4.4, 1.3 and 99.8 %. (Measured when a row had
+#: 2,000 features at most, and a feature a share of 0.0015 of the rows at least; not measured since.)
 LEAST_CHANCE = 0.7
 #: Words' features are remembered up to so many words for each task.
 REMEMBERED = 500_000
@@ -88,7 +89,7 @@ def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
     """Cumulative-link regression by Adagrad over batches, with an L1 penalty; rows in the given order."""
     w, seen = np.zeros(FEATURES, np.float32), np.full(FEATURES, 1e-6, np.float32)
     cuts, cuts_seen = np.linspace(-1.0, 1.0, GRADES - 1), np.full(GRADES - 1, 1e-6)
-    common = np.bincount(np.concatenate([np.zeros(0, np.int64), *features]), minlength=FEATURES) >= max(2, LEAST_SHARE * len(grades))
+    common = np.bincount(np.concatenate([np.zeros(0, np.int64), *features]), minlength=FEATURES) >= LEAST_ROWS
     features = [f[common[f]] for f in features]
     sparse = SPARSE / max(len(grades), 1) ** 0.5
     for _ in range(max(PASSES, STEPS * BATCH // max(len(grades), 1))) if len(grades) else ():
