@@ -513,7 +513,7 @@ def mask_summary(spark, d):
     return metrics.mask_summary(metrics.label_heads(rows))
 
 
-_REPLICATES = 20
+_REPLICATES = 200
 
 
 @query(f"""WITH {_LONG},
