@@ -123,6 +123,18 @@ def test_components(spark, seed):
     assert lineage.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["rising", "star", "comb"])
+def test_components_take_few_turns(spark, monkeypatch, shape):
+    """Turns grow with the logarithm, also along a path whose numbers rise."""
+    n = 10_000
+    edges = {"rising": [(k, k + 1) for k in range(n)], "star": [(n, k) for k in range(n)], "comb": [(k, k + 1) for k in range(0, n, 2)] + [(k, k + 2) for k in range(0, n - 2, 2)]}[shape]
+    turns, least = [], lineage._least_neighbours
+    monkeypatch.setattr(lineage, "_least_neighbours", lambda e, turn: turns.append(turn) or least(e, turn))
+    got = lineage.components(spark.createDataFrame(edges, "a long, b long"))
+    assert got.groupBy("root").count().collect() == [(0, len({v for e in edges for v in e}))]
+    assert len(turns) <= 14
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4), ("e", 5), ("e", 6)], "h string, id int")
     assert rows(duplicates.duplicate_groups(df, "h", "id", empty="e")) == [("x", 2, "1;2")]

@@ -26,30 +26,47 @@ def leakage_matrix(df: DataFrame, group: str, split: str, names: tuple[str, str,
     )
 
 
+def _least_neighbours(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, to): of all nodes within two edges, the one that comes first in an order drawn anew each turn."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("place"), F.col(c).alias("node"))
+    near = stored(both.groupBy("node").agg(F.min(place("other")).alias("least")).select("node", F.least("least", place("node")).alias("least")), "near")
+    beyond = both.join(near.select(F.col("node").alias("other"), "least"), "other").groupBy("node").agg(F.min("least").alias("least"))
+    return beyond.select("node", F.col("least")["node"].alias("to"))
+
+
+def _followed(step: DataFrame) -> DataFrame:
+    """Each node mapped to what its image maps to."""
+    after = step.select(F.col("node").alias("via"), F.col("to").alias("end"))
+    return step.join(after, F.col("to") == F.col("via")).select("node", F.col("end").alias("to"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node that it reaches.
 
-    Each round maps every node to the least of itself and its neighbours, and puts the edges between the images in
-    place of the edges, until none joins two nodes. The image of a connected part stays connected, and its least node
-    maps to itself, so all of it ends there. All is partial aggregation and equi-joins; tables of a round are
-    written to the shared folder. Null ends are left out; a node whose edges all join it to itself has no row.
+    Each turn maps every node to the first one near it in a random order, follows that map once, and puts the edges between the
+    images in place of the edges, until none joins two nodes. A turn leaves less than half the nodes, on average, so turns
+    grow with the logarithm of the nodes, also along a path; a star takes one turn. All is partial aggregation and
+    equi-joins; tables of a turn are written to the shared folder. Null ends are left out; a node whose edges all join
+    it to itself has no row.
     """
     edges = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    maps = []
+    maps: list[DataFrame] = []
     while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        step = stored(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root")), "roots")
-        maps.append(step)
-        moved = edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        after = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        maps.append(stored(_followed(_least_neighbours(edges, len(maps))), "images"))
+        image = lambda c, to, own=maps[-1]: own.select(F.col("node").alias(c), F.col("to").alias(to))
+        moved = edges.join(image("a", "x"), "a").join(image("b", "y"), "b").where("x <> y")
+        after = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         dropped(edges)
         edges = after
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0]
-    for step in maps[1:]:
-        out = out.join(step.select(F.col("node").alias("via"), F.col("root").alias("to")), F.col("root") == F.col("via"), "left").select("node", F.coalesce("to", "root").alias("root"))
-    return out
+    ends = maps[-1]
+    for step in reversed(maps[:-1]):  # the smallest first: each map has less than half the nodes of the one before
+        last = ends.select(F.col("node").alias("via"), F.col("to").alias("end"))
+        ends = stored(step.join(last, F.col("to") == F.col("via"), "left").select("node", F.coalesce("end", "to").alias("to")), "ends")
+    least = stored(ends.groupBy("to").agg(F.min("node").alias("root")), "least")
+    return ends.join(least, "to").select("node", "root")
 
 
 def bipartite_components(df: DataFrame, record: str, left: str, right: str) -> DataFrame:
