@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from vetra.llm import common
 from vetra.llm import exact_dedup as e
 from vetra.llm import simhash as s
 
@@ -164,6 +165,9 @@ def test_sf(spark, sf):
 def test_bitmap_of_ids_passes_every_member_and_few_others(spark):
     docs = spark.range(-5, 2000).selectExpr("id as doc_id", "'t' as text").union(spark.createDataFrame([(None, "t")], "doc_id long, text string"))
     members = [-3, 0, 63, 64, 65, 1999]
-    passed = {r[0] for r in e.perhaps(docs, spark.createDataFrame([(k,) for k in [*members, *members]], "member long")).collect()}
-    assert set(members) <= passed and len(passed) < 20
-    assert e.perhaps(docs, spark.createDataFrame([], "member long")).isEmpty()
+    own = spark.createDataFrame([(k,) for k in [*members, *members]], "doc_id long")
+    passed = [r[0] for r in common.perhaps(docs, ["doc_id"], own).collect()]
+    rest = [r[0] for r in common.perhaps(docs, ["doc_id"], own, others=True).collect()]
+    assert set(members) <= set(passed) and len(passed) < 20 and not set(passed) & set(rest) and len(passed) + len(rest) == docs.count()
+    nothing = spark.createDataFrame([], "doc_id long")
+    assert common.perhaps(docs, ["doc_id"], nothing).isEmpty() and common.perhaps(docs, ["doc_id"], nothing, others=True).count() == docs.count()

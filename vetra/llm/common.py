@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from vetra.plans.storage import dropped, shared_dir, stored
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "blocks", "dropped", "let", "read", "shared_dir", "size_in_bytes", "small", "stored", "texts"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "blocks", "dropped", "let", "perhaps", "read", "sha", "shared_dir", "size_in_bytes", "small", "stored", "texts", "without"]
+
+#: Bits of a bitmap of keys: what is broadcast has a row for 64 of them, 262,144 at most, at any size of the input.
+KEY_BITS = 1 << 24
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -54,3 +57,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def sha(text_col: str = "text") -> Column:
+    """The text's SHA-256 in hex; null counts as empty."""
+    return F.sha2(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8"), 256)
+
+
+def perhaps(docs: DataFrame, keys: list[str], members: DataFrame, others: bool = False) -> DataFrame:
+    """The rows of docs whose key may be one of the members' (columns of the same names), or those whose key can't be, if others.
+
+    Judged by a bitmap of hashed keys: it has every member, and few others until KEY_BITS fill up. It spares most rows a
+    shuffle; an exact join must follow. Where it is full, all rows may be members.
+    """
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    place = F.pmod(F.xxhash64(*keys), F.lit(KEY_BITS))
+    words = members.select(place.alias("_place")).groupBy(F.expr("_place div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = docs.withColumn("_place", place).join(F.broadcast(words), F.expr("_place div 64 = _word"), "left")
+    found = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(~found if others else found).select(*docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs but those whose id and text are in gone; of each id and text in repeated, one row, the least by all its columns.
+
+    gone and repeated have doc_id and text_sha256. Nulls equal nulls; a null text is empty. Only rows that a bitmap
+    finds are shuffled, with their texts; all others stay where they are.
+    """
+    keys = ["_id", "_sha"]
+    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": sha(text_col)})
+    key = lambda df, what: df.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(what).alias("_what"))
+    marks = stored(key(gone, 2).unionByName(key(repeated, 1)).groupBy(*keys).agg(F.max("_what").alias("_what")), "marked-rows")
+    marked = perhaps(own, keys, marks).alias("a").join(marks.alias("b"), F.expr("a._id <=> b._id and a._sha = b._sha"), "left").select("a.*", F.coalesce("_what", F.lit(0)).alias("_what"))
+    out = perhaps(own, keys, marks, others=True).select(*docs.columns).unionByName(marked.where("_what = 0").select(*docs.columns))
+    if marks.where("_what = 1").isEmpty():
+        return out
+    return out.unionByName(marked.where("_what = 1").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))

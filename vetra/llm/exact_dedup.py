@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small, stored
+from .common import perhaps, read, small, stored
 
 #: Two primes below 2**31 and a base for each: a term of a 4-byte word and a power fits into 63 bits.
 PRIMES = (2147483647, 2147483629)
 BASES = (1_103_515_245, 1_664_525_013)
 #: Bytes of a chunk, a multiple of 4; only a text's last chunk may be shorter.
 CHUNK = 1 << 16
-#: Bits of the bitmap of members' ids: what is broadcast has a row for 64 of them, 262,144 at most, at any size of the input.
-ID_BITS = 1 << 24
 FINGERPRINT = "doc_id long, text_sha256 string, fp long, bytes long"
 
 Hash = tuple[int, int, int]  # by each prime, and the words
@@ -72,21 +70,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, FINGERPRINT)
 
 
-def _place(ids: str) -> Column:
-    return F.pmod(F.xxhash64(ids), F.lit(ID_BITS))
-
-
-def perhaps(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be a member, judged by a bitmap of hashed ids: every member's, and few others until ID_BITS fill up.
-
-    The bitmap only spares the texts of others the shuffle; an exact join must follow. Where it is full, all rows pass.
-    """
-    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
-    words = members.select(_place("member").alias("_place")).groupBy(F.expr("_place div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    marked = docs.withColumn("_place", _place("doc_id")).join(F.broadcast(words), F.expr("_place div 64 = _word"))
-    return marked.where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
-
-
 def unlike(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """The (fp, bytes) under which texts differ. Chunks of equal place stream through a least and a greatest for each group, combined before the shuffle.
 
@@ -95,7 +78,7 @@ def unlike(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     members = stored(prints.select(F.col("doc_id").alias("member"), "fp", "bytes").distinct().join(groups, ["fp", "bytes"]), "members")
     by_id = members.where("member is not null").groupBy("member").agg(F.min(F.struct("fp", "bytes")).alias("k"), F.count("*").alias("n"))
     own = by_id.where("n = 1").select("member", "k.fp", "k.bytes")
-    rows = perhaps(docs, own).join(own, F.col("doc_id") == F.col("member")).select("fp", "bytes", F.encode("text", "utf-8").alias("data")).where("length(data) = bytes")
+    rows = perhaps(docs, ["doc_id"], own.withColumnRenamed("member", "doc_id")).join(own, F.col("doc_id") == F.col("member")).select("fp", "bytes", F.encode("text", "utf-8").alias("data")).where("length(data) = bytes")
     rows = rows.select("fp", "bytes", F.posexplode(_chunks(F.col("data"))).alias("no", "chunk"))
     differ = rows.groupBy("fp", "bytes", "no").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select("fp", "bytes")
     several = members.join(by_id.where("n > 1").select("member"), "member", "left_semi").select("fp", "bytes")
