@@ -84,6 +84,9 @@ def test_odd_input(spark, odd, nothing):
     assert by[4].n_hit == 3 and list(by[4]["items"]) == ["1"] and by[4].contaminated
     assert by[1].n_words == by[2].n_words == by[13].n_words == 0 and not by[1].contaminated
     assert by[5].n_hit > 0 and list(by[5]["items"]) == ["3"]
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    got = sorted([(x.doc_id, x.n_words, x.n_hit, list(x["items"]), x.contaminated) for x in out.collect()], key=repr)
+    assert got == brute(rows(odd.select("doc_id", "text")), [r for r in rows(items.select("item_id", "text")) if r[0] is not None] + [("", "none")])
     assert d.decontaminate(nothing, items).count() == 0
     assert d.decontaminate(odd, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
@@ -92,3 +95,11 @@ def test_main_path_is_native(spark, sf):
     df = d.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_of_one_id_and_long_texts(spark):
+    """Each row has its own hits; windows at the ends of a text of over 100,000 words, and many in it."""
+    item = " ".join(f"q{k}" for k in range(30))
+    text = item + " " + " ".join(f"w{k % 5000}" for k in range(60_000)) + " " + item.upper() + " " + " ".join(f"v{k % 700}" for k in range(60_000)) + " " + item
+    rows = [(1, text), (1, "other words"), (None, item), (None, "no words"), (1, text)]
+    assert got(spark, rows, [(1, item), (2, " ".join(f"v{k}" for k in range(40)))]) == brute(rows, [(1, item), (2, " ".join(f"v{k}" for k in range(40)))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, read, small, stored, texts
+from .common import LOWER, UPPER, let, perhaps, read, sha, small, stored, texts
 
 WINDOW = 13
 GRAM = 6
@@ -79,55 +79,77 @@ def fingerprints(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     return segments, parts.join(segments, key).select("segment", "item_id").distinct(), lengths
 
 
+def places(docs: DataFrame, segments: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, h, at): of each document with a fingerprint of the index, all such, with their places. h is a hash of its text.
+
+    Only hashes leave the texts here, so a document's words are never repeated for its fingerprints.
+    """
+    values = F.concat(*[winnowed(F.col("words"), n) for n in lengths])
+    found = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")).select("doc_id", "h", F.explode(values).alias("v"))
+    found = found.select("doc_id", "h", F.shiftright("v", PLACE_BITS).alias("fp"), F.col("v").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("p"))
+    known = small(segments.select("fp").distinct(), BROADCAST_ROWS)
+    return found.join(known, "fp", "left_semi").groupBy("doc_id", "h").agg(F.collect_set(F.struct("fp", "p")).alias("at"))
+
+
 def extend(matches: DataFrame) -> DataFrame:
-    """(doc_id, segment, places): the places of document words in windows around a matched gram that agree word by word."""
-    shift = F.col("p") - F.col("at")  # the segment's first word, in the document
-    first = F.greatest(-shift, F.lit(0))
-    local = F.transform(F.col("bench_words"), lambda w, j: F.translate(F.when(shift + j >= 0, F.get(F.col("words"), F.greatest(shift + j, F.lit(0)))), UPPER, LOWER) == w)
+    """(doc_id, text_sha256, segment, first, window): the first words, in the document, of windows around a matched gram that agree word by word."""
+    shift = F.col("p") - F.col("low") - F.col("at")  # the segment's first word, in the part
+    local = F.transform(F.col("bench_words"), lambda w, j: F.translate(F.when(shift + j >= 0, F.get(F.col("part"), F.greatest(shift + j, F.lit(0)))), UPPER, LOWER) == w)
     starts = let(
         local,
         lambda same: F.filter(
             F.sequence(F.lit(0), F.size("bench_words") - F.col("window")),
-            lambda s: (s >= first) & F.forall(F.slice(same, s + 1, F.col("window")), lambda x: F.coalesce(x, F.lit(False))),
+            lambda s: F.forall(F.slice(same, s + 1, F.col("window")), lambda x: F.coalesce(x, F.lit(False))),
         ),
     )
-    places = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s + shift, s + shift + F.col("window") - 1))))
-    # none or one row for each match: a filter behind the projection would compare all words again
-    return matches.select("doc_id", "segment", F.explode(F.filter(F.array(places), lambda a: F.size(a) > 0)).alias("places"))
+    return matches.select("doc_id", "text_sha256", "segment", "window", F.explode(F.transform(starts, lambda s: s + shift + F.col("low"))).alias("first"))
+
+
+def _covered(windows: str) -> Column:
+    """How many words windows cover; each is packed as 16 * first word + length."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def add(seen: Column, v: Column) -> Column:
+        first, last = F.shiftright(v, 4), F.shiftright(v, 4) + v.bitwiseAND(15)
+        return F.struct(F.greatest(seen["end"], last).alias("end"), (seen["n"] + F.greatest(last - F.greatest(seen["end"], first), F.lit(0))).alias("n"))
+
+    return F.aggregate(F.array_sort(windows), start, add)["n"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Which words of each document lie in a window that a benchmark item has too.
 
-    Returns a row per document: doc_id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated
+    Returns a row per document: doc_id, text_sha256, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated
     (n_hit > 0 and 20 * n_hit >= n_words).
 
     Winnowing keeps the least 6-gram hash of each 13-word window on both sides, so every window that both share has a
     shared fingerprint; matches are extended and compared word by word. Fingerprints of the benchmark are broadcast if
-    there are BROADCAST_ROWS at most, else joined by a shuffle on the fingerprint.
+    there are BROADCAST_ROWS at most, else joined by a shuffle. Only documents with a shared fingerprint are read
+    again, each once, and the words around each place are cut out before they are joined, so work grows with a text's length.
 
-    Null or empty texts have no words, no hit. Items without words never match. Rows with equal doc_id are
-    pooled: each shows the hits of all of them. Null ids are ids like others; a null item_id is left out of items.
+    Null or empty texts have no words, no hit. Items without words never match. Each row is judged by its own text, whatever
+    ids are null or repeat; a null item_id is left out of items. Empty tables: no rows, or no hits.
     """
     docs = texts(docs, id_col, text_col)
     segments, owners, lengths = fingerprints(benchmark, item_col)
-    split = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    bench = segments.withColumnRenamed("words", "bench_words")
-    found = split.select("doc_id", "words", F.explode(F.concat(*[winnowed(F.col("words"), n) for n in lengths])).alias("v")) if lengths else split.select("doc_id", "words", F.explode(F.array().cast("array<long>")).alias("v"))
-    found = found.select("doc_id", "words", F.shiftright("v", PLACE_BITS).alias("fp"), F.col("v").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("p"))
-    if segments.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        matches = found.join(F.broadcast(bench), "fp")
-    else:  # words stay behind; documents with matches get them by a second join
-        matches = found.drop("words").join(bench, "fp")
-        matches = split.withColumnRenamed("doc_id", "own_id").join(matches, F.expr("own_id <=> doc_id")).drop("own_id")
-    hits = stored(extend(matches), "bench-hits")
-    by_doc = hits.groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"))
-    items = hits.select("doc_id", "segment").distinct().join(small(owners, BROADCAST_ROWS), "segment").where("item_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    both = by_doc.alias("a").join(items.alias("b"), F.expr("a.doc_id <=> b.doc_id"), "left").select(F.col("a.doc_id").alias("hit_id"), "n_hit", "items")
-    counted = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(both, F.expr("doc_id <=> hit_id"), "left").drop("hit_id")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
+    counted = docs.select("doc_id", sha().alias("text_sha256"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    if not lengths:
+        return counted.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+    found = stored(places(docs, segments, lengths), "bench-places")
+    own = perhaps(docs.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], found).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.h = f.h"))
+    own = own.select("d.doc_id", sha().alias("text_sha256"), words_of(F.col("text")).alias("words"), "at")
+    reach = WINDOW - 1
+    low = lambda x: F.greatest(x["p"] - reach, F.lit(0))
+    cut = F.transform("at", lambda x: F.struct(x["fp"].alias("fp"), x["p"].alias("p"), low(x).alias("low"), F.slice("words", low(x) + 1, x["p"] - low(x) + WINDOW).alias("part")))
+    cut = own.select("doc_id", "text_sha256", F.explode(cut).alias("x")).select("doc_id", "text_sha256", "x.*")
+    hits = stored(extend(cut.join(small(segments.withColumnRenamed("words", "bench_words"), BROADCAST_ROWS), "fp")), "bench-hits")
+    key = ["doc_id", "text_sha256"]
+    by_doc = hits.groupBy(*key).agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 4).bitwiseOR(F.col("window").cast("long"))).alias("windows")).select(*key, _covered("windows").alias("n_hit"))
+    items = hits.select(*key, "segment").distinct().join(small(owners, BROADCAST_ROWS), "segment").where("item_id is not null").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    both = by_doc.alias("a").join(items.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_sha256 = b.text_sha256"), "left").select("a.*", "items")
+    out = counted.alias("a").join(both.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_sha256 = b.text_sha256"), "left")
+    out = out.select("a.doc_id", "a.text_sha256", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
