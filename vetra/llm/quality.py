@@ -19,7 +19,7 @@ from .common import read, texts
 GRADES = 3
 #: Hash values of a feature; the model has a weight for each.
 FEATURES = 1 << 22
-#: Labelled rows that a model is fitted on, at most: the bound that fitting on the driver has. Rows are chosen by a hash of their id.
+#: Labelled rows that a model is fitted on, at most: the bound that fitting on the driver has. Rows are chosen by a hash of their id, one for each id.
 TRAIN_ROWS = 20_000
 #: Steps of a fit, at least; many rows take PASSES passes.
 STEPS, PASSES, BATCH, RATE = 1500, 12, 128, 0.1
@@ -114,21 +114,35 @@ def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
 
 
 def fit(docs: DataFrame, grades: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from graded documents: (doc_id, grade), grades from 0. Of more rows than train_rows, those with the least hashes of their ids are taken."""
+    """A model from graded documents: (doc_id, grade), grades from 0. Of more rows than train_rows, those with the least hashes of their ids are taken.
+
+    Of several grades of an id the least counts, and of several texts the one with the least hash: train_rows rows at most come to the driver,
+    each with its distinct features. Null ids and grades are left out; without rows the model has no weights.
+    """
     graded = grades.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = graded.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(train_rows)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_examples, "grade int, turn long, features array<int>")
-    table = rows.toArrow().sort_by("turn")
+    own = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade", "turn").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    table = own.mapInArrow(_examples, "grade int, turn long, features array<int>").toArrow().sort_by("turn")
     return fit_rows(np.asarray(table.column("grade").combine_chunks()) if table.num_rows else np.zeros(0, np.int64), [np.asarray(f.values) for f in table.column("features")])
 
 
+def scores(model: Model):
+    """A function from texts (null: empty) to their scores and tail chances."""
+    features, w = Features(), np.zeros(FEATURES, np.float32)
+    w[model.index] = model.weight
+
+    def of(texts_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        score = np.array([w[features.of(t or "")].sum(dtype=float) for t in texts_.to_pylist()])
+        return score, sigmoid(score[:, None] - model.thresholds)
+
+    return of
+
+
 def _graded(model: Model):
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w = Features(), np.zeros(FEATURES, np.float32)
-        w[model.index] = model.weight
+        of = scores(model)
         for batch in batches:
-            score = np.array([w[features.of(t)].sum(dtype=float) for t in batch.column("text").to_pylist()])
-            tail = sigmoid(score[:, None] - model.thresholds)
+            score, tail = of(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(tail.sum(1), pa.float64()), *(pa.array(np.ascontiguousarray(t), pa.float64()) for t in tail.T)], ["doc_id", "score", "expected_grade", *(f"p_above_{k}" for k in range(GRADES - 1))])
 
     return graded
@@ -137,15 +151,26 @@ def _graded(model: Model):
 def grade(docs: DataFrame, model: Model, least_chance: float = LEAST_CHANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score, expected_grade, p_above_0, p_above_1 (tail chances), kept (p_above_1 >= least_chance).
 
-    All features of the whole text count. The model, of FEATURES weights at most, goes to every task; nothing is shuffled.
+    All features of the whole text count, however long it is. The model, of FEATURES weights at most, goes to every task; nothing is shuffled.
 
     Null and empty texts have features of shape alone. Repeated rows each give a row. A model that was fitted on no rows gives
-    every document the chances that its thresholds say.
+    every document the chances that its thresholds say. An empty table gives no rows.
     """
     out = texts(docs, id_col, text_col).mapInArrow(_graded(model), "doc_id long, score double, expected_grade double, " + ", ".join(f"p_above_{k} double" for k in range(GRADES - 1)))
     return out.withColumn("kept", F.col(f"p_above_{GRADES - 2}") >= least_chance)
 
 
+def good(docs: DataFrame, model: Model, least_chance: float = LEAST_CHANCE, text_col: str = "text") -> DataFrame:
+    """The rows of docs that grade() keeps, with all their columns, each judged by its own text as it streams by."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scores(model)
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(text_col))[1][:, -1] >= least_chance, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def grades_of(labels: DataFrame) -> DataFrame:
     """(doc_id, grade) from the labels table: 0 toxic, 1 poor, 2 good; null labels are left out."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
