@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vetra.llm import packing as p
@@ -27,6 +28,16 @@ def test_fast_ids_are_the_tokenizers(exact):
             assert decode(ids) == t
 
 
+def test_fast_ids_of_all_documents(spark, exact):
+    """Every text of the next table, and long ones without a break."""
+    r = random.Random(2)
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").distinct().collect()]
+    texts += ["".join(r.choice(own) for _ in range(4_000)) for own in ("ab", "abcdefghijklmnopqrstuvwxyz", "漢字仮名", "0123456789", "=-_*", "aé\u0301\u200d😀")]
+    encode = byte_bpe()
+    for t, own in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t).tolist() == own.ids
+
+
 @pytest.mark.parametrize(("size", "limit"), [(16, 3), (100, 10), (2048, 64)])
 def test_best_fit(size, limit):
     r = random.Random(size)
@@ -86,3 +97,47 @@ def test_odd(spark, odd, nothing, exact):
     assert all(len(r.ids) == r.length for r in out)
     assert p.pack(odd).where("piece = 0").count() == odd.count()
     assert p.pack(nothing).count() == 0
+
+
+def naive(lengths, size, limit):
+    """Sequences, as lists of places in lengths, and how many were closed short of full."""
+    done, open_bins, closed = [], [], 0
+    for at in range(0, len(lengths), p.AHEAD):
+        turn = range(at, min(at + p.AHEAD, len(lengths)))
+        for k in sorted(turn, key=lambda k: (-lengths[k], k)):
+            free = lambda b: size - sum(lengths[x] for x in b)
+            fits = [b for b in open_bins if free(b) >= lengths[k]]
+            if fits:
+                own = min(fits, key=free)
+            else:
+                if len(open_bins) == limit:
+                    gone = min(open_bins, key=free)
+                    open_bins.remove(gone)
+                    done.append(gone)
+                    closed += 1
+                open_bins.append(own := [])
+            own.append(k)
+            if free(own) == 0:
+                open_bins.remove(own)
+                done.append(own)
+    return done + open_bins, closed
+
+
+def test_bins_close_in_a_whole_run(spark, sf):
+    """The whole operator against a naive one: as many sequences, equally full, with a bound that binds; whatever bins of equal free space are taken."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for limit in (5, 40):
+        out = p.pack(docs, packers=1, open_bins=limit)
+        rows = out.orderBy(F.xxhash64(F.lit(1), "doc_id", "piece", "length", "ids_crc32")).collect()
+        want, closed = naive([r.length for r in rows], p.LENGTH, limit)
+        got = {}
+        for r in rows:
+            got[r.sequence_id] = got.get(r.sequence_id, 0) + r.length
+        assert closed > 5 and sorted(got.values()) == sorted(sum(rows[k].length for k in own) for own in want)
+
+
+def test_rows_of_one_id_spread(spark):
+    """Rows without an id go to all packers, and each has its place."""
+    docs = spark.createDataFrame([(None, f"some text {k}") for k in range(400)], "doc_id long, text string")
+    out = p.pack(docs, packers=8)
+    assert out.count() == 400 and out.select(F.shiftright("sequence_id", 40).alias("packer")).distinct().count() == 8

@@ -16,11 +16,13 @@ from .tokens import byte_bpe
 
 LENGTH = 2048
 END_ID = 0
-#: Bins that a packer keeps open. Pieces come longest first, so bins must stay open until the short ones come: measured on
-#: 66,166 pieces, 1,024 open bins made 12 % more sequences than the least possible, 16,384 none.
-OPEN_BINS = 1 << 16
-#: Input bytes whose pieces one packer gets.
-PACKER_BYTES = 1 << 25
+#: Bins that a packer keeps open, at most.
+OPEN_BINS = 1_000
+#: Pieces that a packer looks at together, the longest first. Measured on 184,992 pieces: sequences beyond the least possible are 0.96 % if each
+#: is placed as it comes, 0.25 % for 256 at once, 0.06 % for 1,024; 4,000 open bins instead of 1,000 change nothing.
+AHEAD = 1_024
+#: Input bytes whose pieces one packer gets, and the most packers; these get more each then, which they stream.
+PACKER_BYTES, PACKERS = 1 << 25, 8_192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
@@ -85,35 +87,39 @@ def pieces(docs: DataFrame, size: int = LENGTH, tokenizer: str | None = None, wi
     return docs.mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, size: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", packers: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", packers: int | None = None, open_bins: int = OPEN_BINS) -> DataFrame:
     """Packs documents, each with an end token, into sequences of at most `size` tokens.
 
     Returns a row per piece: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset. Longer documents alone are
     cut, and all their pieces but the first are full sequences.
 
-    Pieces are dealt by a hash to packers whose number follows the input's size; each sorts its pieces by length, the longest
-    first, and packs them online, so it holds OPEN_BINS open bins and nothing of what it has placed.
+    Pieces are dealt by a hash to packers, whose number follows the input's size up to PACKERS, and come to each in the order of another hash.
+    A packer places AHEAD of them at a time, the longest first, and holds at most open_bins open bins, the fullest of which close, and nothing
+    of what it has placed. So each packer ends with some bins less than full, and no more.
 
     Null and empty texts are one end token. Repeated rows are packed each. An empty table gives no rows.
     """
     docs = texts(docs, id_col, text_col)
     cut = pieces(docs, size, tokenizer, with_ids)
     if packers is None:
-        packers = max(1, math.ceil(size_in_bytes(docs) / PACKER_BYTES))
-    dealt = cut.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)))
-    dealt = dealt.repartition(packers, "packer").sortWithinPartitions("packer", F.desc("length"), "doc_id", "piece")
+        packers = max(1, min(math.ceil(size_in_bytes(docs) / PACKER_BYTES), PACKERS))
+    own = ("doc_id", "piece", "length", "ids_crc32")
+    dealt = cut.withColumn("packer", F.pmod(F.xxhash64(*own), F.lit(packers)).cast("int")).repartitionById(packers, "packer")
+    dealt = dealt.sortWithinPartitions("packer", F.xxhash64(F.lit(1), *own), *own)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, now = BestFit(size), None
+        bins, now = BestFit(size, open_bins), None
         for batch in batches:
-            number, offset = [], []
-            for packer, length in zip(batch.column("packer").to_pylist(), batch.column("length").to_pylist(), strict=True):
-                if packer != now:
-                    bins, now = BestFit(size), packer
-                n, at = bins.place(length)
-                number.append(packer << 40 | n)
-                offset.append(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")), pa.array(number, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"])
+            number, offset = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            packer, length = np.asarray(batch.column("packer")), np.asarray(batch.column("length"))
+            starts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(packer)) + 1, np.arange(0, batch.num_rows, AHEAD)]).astype(int))
+            for at in np.split(np.arange(batch.num_rows), starts[1:]) if batch.num_rows else ():
+                if packer[at[0]] != now:
+                    bins, now = BestFit(size, open_bins), packer[at[0]]
+                for k in at[np.argsort(-length[at], kind="stable")].tolist():
+                    n, offset[k] = bins.place(int(length[k]))
+                    number[k] = int(now) << 40 | n
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")), pa.array(number), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"])
 
     return dealt.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
