@@ -10,7 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read, texts
+from .common import blocks, read, stored, texts
+from .exchange import FAN, Entries, answered, exchanged, in_blocks, told
 from .wordhash import Text, mix, units
 
 WINDOW = 13
@@ -83,12 +84,9 @@ def hot_minimisers(docs: DataFrame) -> list[int]:
             often = n >= REPORTED
             yield pa.RecordBatch.from_arrays([pa.array(np.append(value[often].view(np.int64), 0)), pa.array(np.append(n[often], n.sum())), pa.array([*[False] * int(often.sum()), True])], ["minimiser", "n", "total"])
 
-    seen = docs.mapInArrow(count, "minimiser long, n long, total boolean").groupBy("minimiser", "total").agg(F.sum("n").alias("n"))
-    seen.persist()
+    seen = stored(docs.mapInArrow(count, "minimiser long, n long, total boolean").groupBy("minimiser", "total").agg(F.sum("n").alias("n")), "minimisers")
     total = seen.where("total").agg(F.sum("n")).first()[0] or 0
-    out = [r[0] for r in seen.where(~F.col("total") & (F.col("n") > max(total * HOT_SHARE, REPORTED))).select("minimiser").collect()]
-    seen.unpersist()
-    return out
+    return [r[0] for r in seen.where(~F.col("total") & (F.col("n") > max(total * HOT_SHARE, REPORTED))).select("minimiser").collect()]
 
 
 class Block:
@@ -139,32 +137,25 @@ def _opened(data: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
     return out, data[8 + 8 * n * arrays :]
 
 
-SENT = "bucket int, block int, data binary"
-FOUND = "block int, data binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
 def _send(buckets: int, hot: np.ndarray):
-    def send(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table) -> Entries:
         block = Block(table, hot)
         to = (mix(block.route) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         packed = list(block.known)
-        rows = []
-        for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-            if len(own):
-                rows.append((int(to[own[0]]), _pressed(own, block.windows[own], block.least[own], text=b"\n".join([packed[k] for k in own]))))
-        number = table.column("block")[0].as_py()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "data"])
+        return [(int(to[own[0]]), _pressed(own, block.windows[own], block.least[own], text=b"\n".join([packed[k] for k in own]))) for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(own)]
 
     return send
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count(bucket: int, entries: Entries) -> Entries:
     """A bucket: its windows are sorted, and for those that occur in another block with a smaller document, that document is sent back."""
     source, sizes, joined, cols = [], [], [], []
-    for k, data in enumerate(table.column("data")):
-        (number, windows, least), raw = _opened(data.as_py(), 3)
+    for k, (_, data) in enumerate(entries):
+        (number, windows, least), raw = _opened(data, 3)
         text = Text(raw)
         first_word = np.append(0, np.cumsum(windows + WINDOW - 1)[:-1])
         run = np.repeat(np.arange(len(windows)), windows)
@@ -179,7 +170,7 @@ def _count(table: pa.Table) -> pa.Table:
     often = np.bincount(group)[group] > 1  # of a window that occurs once, nothing need be told
     order, new = order[often], new[often]
     if not len(order):
-        return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["block", "data"])
+        return []
     group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
     strings = [joined[k][a:b] for k, a, b in zip(source[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True)]
     lead = None
@@ -199,16 +190,15 @@ def _count(table: pa.Table) -> pa.Table:
             minimum[k] = own[strings[k]]
     told = minimum < least[order]
     order, minimum = order[told], minimum[told]
-    block = np.asarray(table.column("block"))[source[order]]
+    block = np.array([k for k, _ in entries])[source[order]]
     by = np.argsort(block, kind="stable")
-    rows = [(int(block[own[0]]), _pressed(number[order[own]], offset[order[own]], minimum[own])) for own in np.split(by, np.flatnonzero(np.diff(block[by])) + 1) if len(own)]
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
+    return [(int(block[own[0]]), _pressed(number[order[own]], offset[order[own]], minimum[own])) for own in np.split(by, np.flatnonzero(np.diff(block[by])) + 1) if len(own)]
 
 
 def _cut(hot: np.ndarray):
-    def cut(table: pa.Table, told: pa.Table) -> pa.Table:
+    def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(table, hot)
-        opened = [_opened(d.as_py(), 3)[0] for d in told.column("data")]
+        opened = [_opened(data, 3)[0] for _, data in told(found)]
         number, offset, minimum = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*opened, strict=True) if opened else ((), (), ())))
         order = np.argsort(number, kind="stable")
         number, offset, minimum = number[order], offset[order], minimum[order]
@@ -239,7 +229,7 @@ def _cut(hot: np.ndarray):
     return cut
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """Removes from each document the words in 13-word windows that also start in a document with a smaller doc_id.
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space).
@@ -251,15 +241,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of hot minimisers (common lines among changing words) travel window by window, each to the bucket of its own hash.
 
     Words are what ASCII white space parts; null and empty texts have none. Fewer than 13 words are no window. Rows with equal
-    doc_id don't cut each other. A null doc_id counts as larger than any other. Repeated rows each give a row.
+    doc_id don't cut each other. A null doc_id counts as larger than any other. Repeated rows each give a row; those that repeat
+    both id and text are one block's. An empty table gives no rows.
     """
     docs = texts(docs, id_col, text_col)
     hot = np.sort(np.array(hot_minimisers(docs), np.int64).view(np.uint64))
     n = blocks(docs, BLOCK_BYTES)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block")
-    sent = dealt.groupBy("block").applyInArrow(_send(2 * n, hot), SENT)
-    found = sent.repartition(2 * n, "bucket").groupBy("bucket").applyInArrow(_count, FOUND)
-    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(hot), KEPT)
+    dealt = in_blocks(docs, n)
+    found = exchanged(dealt, _send(2 * n, hot), _count, n, 2 * n, fan)
+    return answered(dealt, found, n, _cut(hot), KEPT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
