@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, read, stored, texts
+from .exchange import FAN, Entries, answered, exchanged, in_blocks, told
 from .wordhash import Text, mix, units
 
 #: Documents by crc32(doc_id as text) mod FOLDS: HELD_OUT's are not learnt from; WEIGHING's counts are deleted for learning the weights.
@@ -24,8 +25,6 @@ ROUNDS = 60
 END, START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 ONE = np.uint64(1)
 
-SENT = "bucket int, block int, data binary"
-COUNTED = "bucket int, block int, words long, data binary"
 BLOCKS = "block int, n long, data binary, words long, train_tokens long, train_docs long, weighing_tokens long, weighing_docs long, histogram binary"
 
 
@@ -78,7 +77,7 @@ class Tokens:
 
 
 def _send(buckets: int):
-    def send(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table) -> Entries:
         t = Tokens(table)
         # keys are sorted, so each bucket's are a slice
         cuts = np.searchsorted(t.keys, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
@@ -86,23 +85,22 @@ def _send(buckets: int):
         held = t.token_part == WEIGHING
         count = lambda on: np.bincount(np.concatenate([t.word[on], t.pair[on]]), minlength=len(t.keys))
         counts = (count(train), count(held))
-        rows = []
+        out = []
         for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(t.keys)], strict=True)):
-            steps = np.diff(t.keys[a:b], prepend=np.uint64((k << 64) // buckets))
-            rows.append((k, _press(_planes(steps.view(np.int64)) + _planes(counts[0][a:b]) + _planes(counts[1][a:b]))))
-        number = table.column("block")[0].as_py()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block", "data"])
+            if a < b:
+                steps = np.diff(t.keys[a:b], prepend=np.uint64((k << 64) // buckets))
+                out.append((k, _press(_planes(steps.view(np.int64)) + _planes(counts[0][a:b]) + _planes(counts[1][a:b]))))
+        return out
 
     return send
 
 
 def _count(buckets: int):
-    def count(table: pa.Table) -> pa.Table:
-        """A bucket's keys of all blocks are counted together; each block gets the counts of its own, in its order."""
-        bucket = table.column("bucket")[0].as_py()
+    def count(bucket: int, entries: Entries) -> Entries:
+        """A bucket's keys of all blocks are counted together; each block gets the counts of its own, in its order. The first one gets the number of known words too."""
         keys, train, held = [], [], []
-        for data in table.column("data"):
-            raw = _open(data.as_py())
+        for _, data in entries:
+            raw = _open(data)
             n = len(raw) // 3
             keys.append(np.cumsum(_unplaned(raw[:n]).view(np.uint64)) + np.uint64((bucket << 64) // buckets))
             train.append(_unplaned(raw[n : 2 * n]))
@@ -111,14 +109,13 @@ def _count(buckets: int):
         total = [np.zeros(len(known), np.int64) for _ in range(2)]
         for to, own in zip(total, (train, held), strict=True):
             np.add.at(to, place, np.concatenate(own))
+        words = int(((known & ONE == ONE) & (total[0] > 0)).sum())
         out, at = [], 0
-        for own in keys:
+        for (block, _), own in zip(entries, keys, strict=True):
             here = place[at : at + len(own)]
+            out.append((block, np.int64(0 if at else words).tobytes() + _press(_planes(total[0][here]) + _planes(total[1][here]))))
             at += len(own)
-            out.append(_press(_planes(total[0][here]) + _planes(total[1][here])))
-        words = int(((known & ONE == ONE) & (total[0] > 0)).sum())
-        n = table.num_rows
-        return pa.table([table.column("bucket"), table.column("block"), pa.array([words] + [0] * (n - 1), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "block", "words", "data"])
+        return out
 
     return count
 
@@ -138,13 +135,14 @@ def _steps(p: np.ndarray) -> np.ndarray:
 
 def _meet(table: pa.Table, counted: pa.Table) -> pa.Table:
     """A block with the counts of its tokens: for each token those of the word and of the word with the one before."""
-    words = int(np.asarray(counted.column("words")).sum()) if counted.num_rows else 0
+    entries = told(counted)
+    words = sum(int(np.frombuffer(data, np.int64, 1)[0]) for _, data in entries)
     if not table.num_rows:
         return pa.table([pa.array([], f.type) for f in _meet.schema], schema=_meet.schema)
     t = Tokens(table)
     total, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in np.argsort(np.asarray(counted.column("bucket"))):
-        raw = _open(counted.column("data")[int(k)].as_py())
+    for _, data in entries:
+        raw = _open(data[8:])
         total.append(_unplaned(raw[: len(raw) // 2]))
         held.append(_unplaned(raw[len(raw) // 2 :]))
     total, held = np.concatenate(total), np.concatenate(held)
@@ -184,12 +182,29 @@ def learn(cells: np.ndarray, n: np.ndarray, known: int) -> np.ndarray:
         shares = all_levels[:, None] * p
         whole = (shares * (n / shares.sum(0))).sum(1)
         all_levels = whole / whole.sum() if whole.sum() else all_levels
-        # a level that few tokens have leans on all levels together; no weight is ever 0
+        # a level that few tokens have leans on all levels together; no weight is 0 but that of pairs behind an unknown context, which have no estimate
         out = by + all_levels + 1e-6
+        out[0, 0] = 0
         out /= out.sum(1, keepdims=True)
     return out
 
 
+def usable(weights: np.ndarray, tokens: int, docs: int) -> np.ndarray:
+    """The weights without those of estimates that don't exist for want of training documents, so that probabilities sum to 1."""
+    out = weights.copy()
+    if not docs:
+        out[LEVELS, 0] = 0
+    if not tokens:
+        out[:, 1] = 0
+    return out / out.sum(1, keepdims=True)
+
+
+def mixed(weights: np.ndarray, levels: np.ndarray, pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int, known: int) -> np.ndarray:
+    """P(word | context) from counts."""
+    w = weights[levels]
+    return w[:, 0] * _ratio(pair, context) + w[:, 1] * (word / max(tokens, 1)) + w[:, 2] / (known + 1)
+
+
 def _histogram(weighed_tokens: int, weighed_docs: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +235,7 @@ def _score(known: int, tokens: int, docs: int, weights: np.ndarray):
                 context[starts] = docs
                 lv = level(context)
                 lv[starts] = LEVELS
-                w = weights[lv]
-                p = w[:, 0] * _ratio(pair, context) + w[:, 1] * (word / max(tokens, 1)) + w[:, 2] / (known + 1)
-                score = np.add.reduceat(np.log10(p), starts)
+                score = np.add.reduceat(np.log10(mixed(weights, lv, pair, context, word, tokens, known)), starts)
                 base = np.add.reduceat(np.log10((word + 1) / (tokens + known + 1)), starts)
                 n_known = np.add.reduceat((word > 0).astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(part == HELD_OUT), pa.array(sizes), pa.array(n_known), pa.array(np.full(rows, tokens)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -230,35 +243,35 @@ def _score(known: int, tokens: int, docs: int, weights: np.ndarray):
     return scored
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """The log10 probability of each text under an interpolated bigram model that is learnt from the training documents.
 
     Returns a row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score.
 
     Documents with crc32(doc_id as text) mod 7 = 2 are held out of all learning. P(w | h) mixes the maximum-likelihood
     estimates c(h, w) / c(h) and c(w) / N and the uniform 1 / (V + 1), by weights for each power of two of c(h), and own ones for
-    the start of a text. The weights come from expectation-maximisation on the training documents with remainder 3, under counts from
+    the start of a text; behind a context of count 0 the pair has no weight, so that all probabilities sum to 1. The weights come from expectation-maximisation on the training documents with remainder 3, under counts from
     which these are deleted; the scores use the counts of all training documents.
 
     Documents are dealt into blocks. Each sends its distinct words and pairs, as sorted 64-bit hashes with its counts, to
     buckets of the hash, and gets the whole corpus's counts back, so a frequent pair is one entry for a block. Two of the corpus's
     V words share a hash with a chance of about V * V / 2**65.
 
-    Null and empty texts are one end token. A null doc_id counts as the text ''. Repeated rows count and score each. An
-    empty table gives no rows; without training documents the score is that of the uniform estimate.
+    Null and empty texts are one end token. A null doc_id counts as the text ''. Repeated rows count and score each; those that
+    repeat both id and text are one block's. An empty table gives no rows; without training documents the score is that of the uniform estimate.
     """
     docs = texts(docs, id_col, text_col)
     n = blocks(docs, BLOCK_BYTES)
     crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
-    dealt = docs.withColumns({"part": crc % FOLDS, "block": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")}).repartition(n, "block")
-    counted = dealt.groupBy("block").applyInArrow(_send(n), SENT).repartition(n, "bucket").groupBy("bucket").applyInArrow(_count(n), COUNTED)
-    met = stored(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_meet, BLOCKS), "tokens")
+    dealt = in_blocks(docs.withColumn("part", crc % FOLDS), n)
+    counted = exchanged(dealt, _send(n), _count(n), n, n, fan)
+    met = stored(answered(dealt, counted, n, _meet, BLOCKS), "tokens")
     sums = met.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "train_tokens", "train_docs", "weighing_tokens", "weighing_docs")]).first()
     cells = met.select("histogram").mapInArrow(_histogram(sums["train_tokens"] - sums["weighing_tokens"], sums["train_docs"] - sums["weighing_docs"]), "level long, pair long, word long, n long")
     # a row for each level and two steps: a fixed number at most, whatever the corpus
     table = cells.groupBy("level", "pair", "word").agg(F.sum("n").alias("n")).toArrow()
     level_, pair, word, count = (np.asarray(table.column(c).combine_chunks()) for c in ("level", "pair", "word", "n"))
-    weights = learn(np.stack([level_, pair, word]), count, sums["words"])
+    weights = usable(learn(np.stack([level_, pair, word]), count, sums["words"]), sums["train_tokens"], sums["train_docs"])
     return met.select("n", "data").mapInArrow(_score(sums["words"], sums["train_tokens"], sums["train_docs"], weights), SCORES)
 
 
