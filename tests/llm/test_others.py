@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vetra.llm import chat, license_scan, lm_score, quality, substring_dedup, url_filter, wordhash
+from vetra.llm import chat, exchange, license_scan, lm_score, quality, substring_dedup, url_filter, wordhash
 
 
 # ---- substring deduplication ----
@@ -98,20 +98,96 @@ def test_lm_learns_nothing_from_held_out(spark, sf):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
-def test_lm_scores_are_the_mixture(spark):
-    rows = [(k, "a b a c" if k % 2 else "a b b") for k in range(60)]
-    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # over all continuations of one context the probabilities sum to 1
-    ask = rows + [(10_000 + 7 * k, f"a {w}") for k, w in enumerate(("a", "b", "c", "zzz"))]
-    ask = [(d, t) for d, t in ask if d < 10_000 or True]
-    assert len({r.score for d, r in got.items() if d % 2}) == 1 and all(r.score > r.base_score for r in got.values())
+def test_lm_probabilities_sum_to_one():
+    """Over all words, the end and one unknown word, behind known and unknown contexts and at a text's start."""
+    r = np.random.default_rng(4)
+    pairs = r.integers(0, 5, (20, 20)) * (r.random((20, 20)) < 0.4)  # a row for each context; words are columns
+    pairs[7] = 0
+    word = pairs.sum(0) + 1
+    known, tokens = len(word), int(word.sum())
+    cells = np.stack([np.repeat(np.arange(lm_score.LEVELS + 1), 4), np.tile([2, 9, 20, lm_score.NEVER], lm_score.LEVELS + 1), np.full(4 * lm_score.LEVELS + 4, 30)])
+    for tokens, docs in ((tokens, 9), (tokens, 0), (0, 0)):
+        weights = lm_score.usable(lm_score.learn(cells, np.ones(cells.shape[1]), known), tokens, docs)
+        for context in range(20):
+            seen = int(pairs[context].sum())
+            own = np.append(pairs[context], 0)
+            for lv in {int(lm_score.level(np.array([seen]))[0]), *([lm_score.LEVELS] if seen or not docs else [])}:
+                p = lm_score.mixed(weights, np.full(21, lv), own, np.full(21, seen if docs or lv < lm_score.LEVELS else 0), np.append(word, 0) * (tokens > 0), tokens, known)
+                assert p.sum() == pytest.approx(1) or (lv == lm_score.LEVELS and not docs and tokens and p.sum() == pytest.approx(1))
+
+
+def brute_lm(rows):
+    """(doc_id, score) by plain counting and expectation-maximisation over tokens, without steps or blocks."""
+    docs = [(d, zlib.crc32(str(d).encode()) % 7, [*(t or "").encode().lower().split(), None]) for d, t in rows]
+    grams = lambda some: (Counter(w for _, _, t in some for w in t), Counter(p for _, _, t in some for p in zip(["<s>", *t[:-1]], t)))
+    bucket = lambda n: min(n.bit_length(), 40)
+    train, held = [x for x in docs if x[1] != 2], [x for x in docs if x[1] == 3]
+    (word, pair), (left_word, left_pair) = grams(train), grams([x for x in train if x[1] != 3])
+    known = len(word)
+
+    def estimates(t, word, pair, n_docs):
+        total, out = sum(word.values()), []
+        for h, w in zip(["<s>", *t[:-1]], t):
+            c = n_docs if h == "<s>" else word[h]
+            out.append((41 if h == "<s>" else bucket(c), (pair[h, w] / c if c else 0, word[w] / total if total else 0, 1 / (known + 1))))
+        return out
+
+    seen = [e for _, _, t in held for e in estimates(t, left_word, left_pair, len(train) - len(held))]
+    weights, every = {k: np.full(3, 1 / 3) for k in range(42)}, np.full(3, 1 / 3)
+    for _ in range(60):
+        by, whole = {k: np.zeros(3) for k in range(42)}, np.zeros(3)
+        for k, p in seen:
+            s = weights[k] * p
+            by[k] += s / s.sum()
+            s = every * p
+            whole += s / s.sum()
+        every = whole / whole.sum()
+        for k in by:
+            w = by[k] + every + 1e-6
+            w[0] *= k > 0
+            weights[k] = w / w.sum()
+    return {d: sum(math.log10(weights[k] @ np.array(p)) for k, p in estimates(t, word, pair, len(train))) for d, _, t in docs}
+
+
+def test_lm_score_by_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for d in range(150):
+        w = ["start"]
+        while len(w) < r.randrange(2, 40):
+            w.append(f"w{(int(w[-1][1:]) * 3 + r.randrange(3)) % 40}" if w[-1][0] == "w" and r.random() < 0.8 else f"w{r.randrange(60)}")
+        rows.append((d, " ".join(w)))
+    want = brute_lm(rows)
+    for fan in (lm_score.FAN, 2):
+        got = {x.doc_id: x.score for x in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), fan=fan).collect()}
+        # the weights are learnt from estimates in steps of a quarter of a power of two
+        off = [abs(got[d] - want[d]) / abs(want[d]) for d in want]
+        assert got.keys() == want.keys() and max(off) < 0.03 and sum(off) / len(off) < 0.003
+
+
+def test_blocks_share_out_rows_without_an_id(spark):
+    """Rows without an id, or with the same one, go to all blocks, and each block to a task of its own; two levels of buckets give the same rows."""
+    rows = [(None if k % 3 else 5, f"common passage of more than thirteen words that many of these rows have in common {k} " * 2) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = exchange.in_blocks(df, 12).select("block", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(dealt) == 12 and len({x.task for x in dealt}) == 12
+    assert cut(df) == brute_cut(rows)
+    deep = lambda f, **kw: sorted([tuple(x) for x in f(df, **kw).collect()], key=repr)
+    assert deep(substring_dedup.substring_dedup, fan=2) == cut(df)
+    a, b = deep(lm_score.lm_score), deep(lm_score.lm_score, fan=3)
+    assert len(a) == 240 and a == b
+
+
+def test_boxes():
+    entries = [(3, b"abc"), (0, b""), (7, b"\0" * 9)]
+    assert list(exchange.unboxed(exchange.boxed(entries))) == entries and list(exchange.unboxed(exchange.boxed([]))) == []
 
 
 def test_weights_find_the_better_estimate():
     n = np.array([100, 100])
     cells = np.stack([[3, 3], [4, lm_score.NEVER], [40, 20]])
     w = lm_score.learn(cells, n, 1000)
-    assert w.sum(1) == pytest.approx(np.ones(len(w))) and (w > 0).all() and w[3, 0] > w[3, 2]
+    assert w.sum(1) == pytest.approx(np.ones(len(w))) and (w[1:] > 0).all() and w[0, 0] == 0 and w[3, 0] > w[3, 2]
 
 
 def test_lm_odd(spark, odd, nothing):
