@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vetra.plans.storage import dropped, shared_dir, stored
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "blocks", "dropped", "let", "perhaps", "read", "sha", "shared_dir", "size_in_bytes", "small", "stored", "texts", "without"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "blocks", "dropped", "lacking", "let", "perhaps", "read", "sha", "shared_dir", "size_in_bytes", "small", "stored", "texts", "without"]
 
 #: Bits of a bitmap of keys: what is broadcast has a row for 64 of them, 262,144 at most, at any size of the input.
 KEY_BITS = 1 << 24
@@ -78,6 +78,11 @@ def perhaps(docs: DataFrame, keys: list[str], members: DataFrame, others: bool =
     return marked.where(~found if others else found).select(*docs.columns)
 
 
+def lacking(df: DataFrame, keys: list[str], members: DataFrame) -> DataFrame:
+    """The rows of df whose keys no row of members has. Only those that the bitmap doubts are shuffled."""
+    return perhaps(df, keys, members, others=True).unionByName(perhaps(df, keys, members).join(members.select(*keys), keys, "left_anti"))
+
+
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs but those whose id and text are in gone; of each id and text in repeated, one row, the least by all its columns.
 

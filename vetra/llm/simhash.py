@@ -35,7 +35,11 @@ def fingerprint(text: bytes) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
     digest, seed = xxhash.xxh64_intdigest, SEED
-    h = np.fromiter((digest(g, seed) for g in grams), np.uint64)
+    return majority(np.fromiter((digest(g, seed) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     return int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
