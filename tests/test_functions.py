@@ -66,7 +66,7 @@ def test_safe_member(spark, path, safe):
 
 @pytest.mark.parametrize(
     ("head", "want"),
-    [(b"RIFF1234WAVEfmt ", "WAV"), (b"fLaC", "FLAC"), (b"ID3\x03", "MP3_ID3"), (b"\xff\xfb", "MP3_FRAME"), (b"", "EMPTY"), (b"PK\x03\x04", "ZIP"), (b"\x80\x04", "PYTHON_PICKLE_OR_TORCH"), (b"{}", "JSON_TEXT"), (b"a,b", "UTF8_TEXT"), (b"hello", "UTF8_TEXT_OR_EMPTY"), (b"\x01\x02\x03\x04", "BINARY_UNKNOWN")],
+    [(b"RIFF1234WAVEfmt ", "WAV"), (b"fLaC", "FLAC"), (b"ID3\x03", "MP3_ID3"), (b"\xff\xfb", "MP3_FRAME"), (b"", "EMPTY"), (b"PK\x03\x04", "ZIP"), (b"\x80\x04", "PYTHON_PICKLE_OR_TORCH"), (b"{}", "JSON_TEXT"), (b"a,b", "UTF8_TEXT"), (b"hello", "UTF8_TEXT_OR_EMPTY"), (b"\x01\x02\x03\x04", "BINARY_UNKNOWN"), ("Просто текст. ".encode() * 9, "UTF8_TEXT_OR_EMPTY"), ("春眠不覺曉".encode() * 9, "UTF8_TEXT_OR_EMPTY"), (b"\xef\xbb\xbfa,b", "UTF8_TEXT"), (b" \n# x", "UTF8_TEXT"), (b"\xff\x00\xfe\x01", "BINARY_UNKNOWN"), (b"x" * 64 + b"\x01" * 999, "UTF8_TEXT_OR_EMPTY")],
 )
 def test_signature(spark, head, want):
     assert one(spark, classify.file_signature(F.col("k")), k=bytearray(head)) == want
@@ -76,9 +76,10 @@ def test_classifiers(spark):
     assert [one(spark, classify.duration_bucket(F.col("k")), k=v) for v in (4.0, 4.1, 15.0, 30.0, 31.0)] == ["00_to_04", "04_to_08", "08_to_15", "15_to_30", "30_plus"]
     assert one(spark, classify.extension_matches(F.col("k"), F.lit("MP3_ID3")), k="x.MP3") == "MATCH"
     assert one(spark, classify.extension_matches(F.col("k"), F.lit("ZIP")), k="x.mp3") == "MISMATCH"
-    assert one(spark, classify.extension_matches(F.col("k"), F.lit("ZIP")), k="x.xyz") == "NO_RULE"
+    assert one(spark, classify.extension_matches(F.col("k"), F.lit("ZIP")), k="x.xyz") == "NO_SIGNATURE_RULE"
+    assert one(spark, classify.extension_matches(F.col("k"), F.lit("ZIP")), k="w.bin") == "MATCH"
     assert one(spark, classify.is_symlink(F.col("k")), k=0o120777 << 16) is True
-    assert [one(spark, classify.compression_name(F.col("k")), k=v) for v in (0, 8, 99)] == ["STORED", "DEFLATED", "METHOD_99"]
+    assert [one(spark, classify.compression_name(F.col("k")), k=v) for v in (0, 8, 99)] == ["STORED", "DEFLATED", "UNKNOWN_99"]
     strata = {"a": "x", "b": "y"}
     assert one(spark, classify.stratum(F.col("k"), F.lit("f"), strata), k="b") == "y"
     assert one(spark, classify.stratum(F.col("k"), F.lit("held"), strata, ("held",)), k="b") is None

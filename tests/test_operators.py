@@ -162,8 +162,6 @@ def test_sampling(spark):
     assert [r.position for r in sampling.evenly_spaced(df, ["g"], [F.col("id")], 1).collect()] == [5]
     with pytest.raises(Exception, match="too few"):
         sampling.evenly_spaced(df, ["g"], [F.col("id")], 11).collect()
-    quads = sampling.paired_quads({"a": [1], "z": [9]}, {"a": [2]}, {"m": [3]}, {"p": {"f": [4]}}, 100, 1)
-    assert len(quads) == 400 and {x: quads.count(x) for x in (1, 2, 3, 4)} == dict.fromkeys((1, 2, 3, 4), 100)
     folds = lineage.leave_one_out(spark.createDataFrame([("a",), ("b",), ("a",)], "p string"), "p")
     assert rows(aggregate.counts(folds, ["fold", "role"])) == [("a", "held_out", 2), ("a", "train", 1), ("b", "held_out", 1), ("b", "train", 2)]
 

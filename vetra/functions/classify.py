@@ -35,9 +35,23 @@ EXTENSION_SIGNATURES = {
     ".md": ("UTF8_TEXT", "UTF8_TEXT_OR_EMPTY"),
     ".pth": ("ZIP", "PYTHON_PICKLE_OR_TORCH", "BINARY_UNKNOWN"),
     ".pt": ("ZIP", "PYTHON_PICKLE_OR_TORCH", "BINARY_UNKNOWN"),
+    ".bin": ("ZIP", "BINARY_UNKNOWN", "PYTHON_PICKLE_OR_TORCH"),
 }
 # ZIP compression methods.
 COMPRESSIONS = {0: "STORED", 8: "DEFLATED", 12: "BZIP2", 14: "LZMA"}
+# What the first 16 bytes of a file, in hex, look like; no two fit one file but RIFF and its WAVE.
+MAGIC = {
+    "WAV": "^52494646.{8}57415645",
+    "FLAC": "^664C6143",
+    "MP3_ID3": "^494433",
+    "MP3_FRAME": "^FF[EF]",
+    "ZIP": "^504B(0304|0506)",
+    "PYTHON_PICKLE_OR_TORCH": "^80",
+    "JSON_TEXT": "^7B",
+}
+AUDIO = ("WAV", "FLAC", "MP3_ID3", "MP3_FRAME")
+#: Bytes that a file is judged by; the least share of printable characters of text; how listings and sources start.
+HEAD_BYTES, PRINTABLE, SOURCE = 64, 0.85, r"^\s*(import |from |#|-)"
 
 
 def ordered(rules: tuple[tuple[Column, str], ...], other: str | None = None) -> Column:
@@ -96,48 +110,37 @@ def is_symlink(external_attributes: Column) -> Column:
 
 
 def compression_name(code: Column) -> Column:
-    """The method's name; METHOD_n for one without."""
-    return F.coalesce(ordered(tuple((code == k, v) for k, v in COMPRESSIONS.items())), F.concat(F.lit("METHOD_"), code.cast("string")))
+    """The method's name; UNKNOWN_n for one without."""
+    return F.coalesce(ordered(tuple((code == k, v) for k, v in COMPRESSIONS.items())), F.concat(F.lit("UNKNOWN_"), code.cast("string")))
+
+
+def _magic(content: Column, names: tuple[str, ...]) -> Column:
+    return ordered(tuple((F.hex(F.substring(content, 1, 16)).rlike(MAGIC[n]), n) for n in names))
 
 
 def audio_signature(content: Column) -> Column:
     """WAV, FLAC, MP3_ID3, MP3_FRAME or UNKNOWN by the first bytes."""
-    h = F.hex(F.substring(content, 1, 16))
-    frame = h.startswith("FF") & F.substring(h, 3, 1).isin("E", "F")
-    return ordered(((h.startswith("52494646") & (F.substring(h, 17, 8) == "57415645"), "WAV"), (h.startswith("664C6143"), "FLAC"), (h.startswith("494433"), "MP3_ID3"), (frame, "MP3_FRAME")), "UNKNOWN")
+    return F.coalesce(_magic(content, AUDIO), F.lit("UNKNOWN"))
+
+
+def _text_kind(content: Column) -> Column:
+    """The kind of a text by its head as UTF-8, in any script; broken characters, as at its end, are left out."""
+    text = F.regexp_replace(F.make_valid_utf8(F.substring(content, 1, HEAD_BYTES).cast("string")), "^\ufeff|\ufffd", "")
+    shown = F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ \r\n\t]]", "")) / F.nullif(F.length(text), F.lit(0))
+    kind = F.when(text.contains(",") | text.rlike(SOURCE), "UTF8_TEXT").otherwise("UTF8_TEXT_OR_EMPTY")
+    return F.when(F.coalesce(shown, F.lit(0.0)) < PRINTABLE, "BINARY_UNKNOWN").otherwise(kind)
 
 
 def file_signature(content: Column) -> Column:
-    """audio_signature() with archives, pickles, JSON, and text by the share of printable ASCII among the first 512 bytes."""
-    prefix = F.substring(content, 1, 512)
-    h = F.hex(F.substring(content, 1, 16))
-    text = F.decode(prefix, "ISO-8859-1")
-    shown = F.length(F.regexp_replace(text, r"[^\x09\x0A\x0D\x20-\x7E\xA0-\xFF]", "")) / F.length(text)
-    code = F.trim(text)
-    looks = text.contains(",") | code.startswith("import ") | code.startswith("from ") | code.startswith("#") | code.startswith("-")
-    audio = audio_signature(content)
-    return ordered(
-        (
-            (F.length(content) == 0, "EMPTY"),
-            (h.startswith("504B0304") | h.startswith("504B0506"), "ZIP"),
-            (audio == "WAV", "WAV"),
-            (audio == "FLAC", "FLAC"),
-            (audio == "MP3_ID3", "MP3_ID3"),
-            (audio == "MP3_FRAME", "MP3_FRAME"),
-            (h.startswith("80"), "PYTHON_PICKLE_OR_TORCH"),
-            (h.startswith("7B"), "JSON_TEXT"),
-            (shown < 0.85, "BINARY_UNKNOWN"),
-            (looks, "UTF8_TEXT"),
-        ),
-        "UTF8_TEXT_OR_EMPTY",
-    )
+    """EMPTY, a name of MAGIC, or the kind of text that it is, if it is any."""
+    return F.when(F.length(content) == 0, "EMPTY").otherwise(F.coalesce(_magic(content, tuple(MAGIC)), _text_kind(content)))
 
 
 def extension_matches(name: Column, signature: Column) -> Column:
-    """MATCH, MISMATCH, or NO_RULE for an extension without a rule."""
+    """MATCH, MISMATCH, or NO_SIGNATURE_RULE for an extension without a rule."""
     own = suffix(name)
     allowed = F.create_map(*[x for k, v in EXTENSION_SIGNATURES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.when(F.try_element_at(allowed, own).isNull(), "NO_RULE").when(F.array_contains(F.try_element_at(allowed, own), signature), "MATCH").otherwise("MISMATCH")
+    return F.when(F.try_element_at(allowed, own).isNull(), "NO_SIGNATURE_RULE").when(F.array_contains(F.try_element_at(allowed, own), signature), "MATCH").otherwise("MISMATCH")
 
 
 def locator(x: Column) -> Column:

@@ -112,16 +112,19 @@ def array_quality(x: Column) -> Column:
     )
 
 
+#: Fields of an MPEG frame header, a 32-bit number: the lowest bit and the bits of each.
+HEADER = {"sync": (21, 11), "version": (19, 2), "layer": (17, 2), "rate": (12, 4), "hertz": (10, 2), "padding": (9, 1)}
+#: By version bits: kbit/s by index, samples of a frame over 8, sample rates by index. Indices that the standard doesn't assign aren't there.
+VERSIONS = {v: (MPEG1_RATES if v == 3 else MPEG2_RATES, 144 if v == 3 else 72, rates) for v, rates in SAMPLE_RATES.items()}
+
+
 def frame_length(data: bytes, at: int) -> int | None:
     """Bytes of the MPEG layer III frame whose header is there, or null."""
-    if at + 4 > len(data):
-        return None
-    head = int.from_bytes(data[at : at + 4], "big")
-    version, layer, rate, hertz, padding = head >> 19 & 3, head >> 17 & 3, head >> 12 & 15, head >> 10 & 3, head >> 9 & 1
-    if head >> 21 != 0x7FF or version == 1 or layer != 1 or rate in (0, 15) or hertz == 3:
-        return None
-    kbit, factor = (MPEG1_RATES, 144_000) if version == 3 else (MPEG2_RATES, 72_000)
-    return factor * kbit[rate] // SAMPLE_RATES[version][hertz] + padding
+    number = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
+    h = {name: number >> low & (1 << bits) - 1 for name, (low, bits) in HEADER.items()}
+    kbit, samples_8th, hertz = VERSIONS.get(h["version"], ((), 0, ()))
+    known = h["sync"] == 0x7FF and h["layer"] == 1 and 0 < h["rate"] < len(kbit) and h["hertz"] < len(hertz)
+    return samples_8th * 1000 * kbit[h["rate"]] // hertz[h["hertz"]] + h["padding"] if known else None
 
 
 def audio_status(name: str, data: bytes) -> str:
@@ -155,12 +158,14 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
 
 
 def waveform(data: bytes, rate: int = 16_000) -> np.ndarray:
-    """A WAVE file as mono float32 at the rate, within [-1, 1]."""
+    """A WAVE file as mono float32 at the rate, within [-1, 1]; samples that aren't finite fail."""
     parts = dict(reversed(list(chunks(data))))
     fmt = bytes(parts[b"fmt "])
     tag, channels, own, _, _, bits = struct.unpack_from("<HHIIHH", fmt)
     tag = struct.unpack_from("<I", fmt, 24)[0] if tag == 0xFFFE else tag
     x = samples(parts[b"data"], tag, bits).reshape(-1, channels).mean(axis=1)
+    if not np.isfinite(x).all():
+        raise ValueError("samples that are not finite")
     return np.clip(resample(x, own, rate), -1, 1).astype(np.float32)
 
 
@@ -190,31 +195,32 @@ def training_segment(clips: DataFrame, samples_col: str, offset: Column, length:
 
 
 def mel_filter(rate: int = 16_000, size: int = 400, bins: int = 64, lowest: float = 20.0) -> np.ndarray:
-    """Triangular filters (bins, size // 2 + 1) at even places on the mel scale, each with the sum 1."""
-    mel = lambda f: 2595 * np.log10(1 + f / 700)
-    hertz = 700 * (10 ** (np.linspace(mel(lowest), mel(rate / 2), bins + 2) / 2595) - 1)
-    edge = np.clip(np.floor((size + 1) * hertz / rate).astype(int), 0, size // 2)
-    out = np.zeros((bins, size // 2 + 1))
-    for k in range(bins):
-        low = edge[k]
-        mid = max(edge[k + 1], low + 1)
-        high = min(max(edge[k + 2], mid + 1), out.shape[1])
-        out[k, low:mid] = np.linspace(0, 1, mid - low)
-        out[k, mid:high] = np.linspace(1, 0, max(high - mid, 0))
+    """Triangular filters (bins, size // 2 + 1) at even places on the mel scale, each with the sum 1.
+
+    With whole places a < b < c of its corners, a filter rises from 0 at a to 1 at b - 1 and falls from 1 at b to 0 at c - 1.
+    """
+    mel = 2595 * np.log10(1 + np.array([lowest, rate / 2]) / 700)
+    corners = 700 * (10 ** (np.linspace(*mel, bins + 2) / 2595) - 1)
+    place = np.clip(((size + 1) * corners / rate).astype(int), 0, size // 2)[:, None]
+    a = place[:-2]
+    b = np.maximum(place[1:-1], a + 1)
+    c = np.minimum(np.maximum(place[2:], b + 1), size // 2 + 1)
+    k = np.arange(size // 2 + 1)
+    rise, fall = (k - a) / np.maximum(b - a - 1, 1), 1 - (k - b) / np.maximum(c - b - 1, 1)
+    out = np.select([(a <= k) & (k < b), (b <= k) & (k < c)], [rise, fall])
     return out / np.maximum(out.sum(1, keepdims=True), 1e-8)
 
 
 def log_mel(x: np.ndarray, valid: int, filters: np.ndarray, size: int = 400, hop: int = 160) -> np.ndarray:
-    """log(1 + mel power) of centred, mirrored frames, with mean 0 and deviation 1 over frames whose centre is valid; 0 on the others."""
+    """log(1 + mel power) of centred, mirrored frames, with mean 0 and sample deviation 1 over frames whose centre is valid; 0 on the others, so everywhere if none is."""
     x = np.where(np.arange(len(x)) < valid, x, 0).astype(float)
-    padded = np.pad(x, size // 2, mode="reflect")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop]
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, size // 2, mode="reflect"), size)[::hop]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
     out = np.log1p(np.abs(np.fft.rfft(frames * window)) ** 2 @ filters.T)
-    own = out[np.arange(len(out)) * hop < valid]
-    out = (out - own.mean()) / max(own.std(), 1e-5)
-    out[np.arange(len(out)) * hop >= valid] = 0
-    return out.T
+    inside = np.arange(len(out)) * hop < valid
+    n = max(int(inside.sum()) * out.shape[1], 2)
+    centred = (out - out[inside].sum() / n) * inside[:, None]
+    return (centred / max(((centred**2).sum() / (n - 1)) ** 0.5, 1e-5)).T
 
 
 def log_mel_features(clips: DataFrame, key: str, samples_col: str = "samples", valid: str = "valid_count", rate: int = 16_000, bins: int = 64) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -102,21 +101,3 @@ def balanced_sample(df: DataFrame, stratum: str, group: str, record: str, draws:
     at = F.floor(u(seed, epoch, F.col("stratum"), F.col("draw").cast("string"), "record") * F.size("records")).cast("int")
     return picks.join(members, ["stratum", "grp"]).select("stratum", "draw", F.col("grp").alias("group"), F.get("records", at).alias("record"))
 
-
-def paired_quads(speech_real: dict[str, list], speech_fake: dict[str, list], music_real: dict[str, list], music_fake: dict[str, dict[str, list]], quads: int, seed: int, epoch: int = 0) -> list:
-    """The exact epoch order of balanced quads: a speech group with both real and fake records, a real music group, and a fake one by provider.
-
-    One sequential stream of draws (Mersenne Twister), so it runs on the driver; its length is that of an epoch.
-    """
-    g = random.Random(seed + epoch * 1_000_003)
-    paired, real, providers = sorted(set(speech_real) & set(speech_fake)), sorted(music_real), sorted(music_fake)
-    if not paired:
-        raise ValueError("no speech group has both real and fake records")
-    out: list = []
-    for _ in range(quads):
-        speech, music, provider = g.choice(paired), g.choice(real), g.choice(providers)
-        fake = g.choice(sorted(music_fake[provider]))
-        quad = [g.choice(own) for own in (speech_real[speech], speech_fake[speech], music_real[music], music_fake[provider][fake])]
-        g.shuffle(quad)
-        out += quad
-    return out

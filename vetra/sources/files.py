@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from vetra.functions.classify import safe_member
 
-MEMBERS = "archive string, member string, depth int, compressed_bytes long, uncompressed_bytes long, crc32 string, compression int, external_attributes long, is_dir boolean"
+MEMBERS = "archive string, member string, depth int, compressed_bytes long, uncompressed_bytes long, crc32 string, compression int, external_attributes long, is_dir boolean, status string"
 CONTENTS = "archive string, member string, content binary, status string"
-#: Archives within archives are opened down to this depth.
+#: Archives within archives are opened down to this depth; a deeper one is a row with the status TOO_DEEP.
 DEEPEST = 4
 
 
@@ -33,21 +33,30 @@ def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
 
 
 def _entries(name: str, data: bytes, depth: int, nested: bool) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for x in z.infolist():
-            yield (name, x.filename, depth, x.compress_size, x.file_size, f"{x.CRC:08x}", x.compress_type, x.external_attr, x.is_dir())
-            if nested and depth < DEEPEST and x.filename.lower().endswith(".zip"):
-                yield from _entries(f"{name}!/{x.filename}", z.read(x), depth + 1, nested)
+    if depth > DEEPEST:
+        yield (name, *[None] * 8, "TOO_DEEP")
+        return
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for x in z.infolist():
+                yield (name, x.filename, depth, x.compress_size, x.file_size, f"{x.CRC:08x}", x.compress_type, x.external_attr, x.is_dir(), "OK")
+                if nested and x.filename.lower().endswith(".zip"):
+                    yield from _entries(f"{name}!/{x.filename}", z.read(x), depth + 1, nested)
+    except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+        yield (name, *[None] * 8, "BAD_ZIP")
 
 
 def zip_members(archives: DataFrame, nested: bool = False) -> DataFrame:
-    """A row for each entry of ZIP files' directories (path, content), and of those within them if nested; with is_symlink and safe."""
+    """A row for each entry of ZIP files' directories (path, content), and of those within them if nested; with is_symlink and safe.
+
+    status is OK; an archive that can't be read, or is too deep, has one row without a member, BAD_ZIP or TOO_DEEP.
+    """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for r in _entries(path, data.as_py(), 0, nested)]
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+            cols = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in MEMBERS.split(", ")])
 
     out = archives.select("path", "content").mapInArrow(members, MEMBERS)
@@ -55,20 +64,26 @@ def zip_members(archives: DataFrame, nested: bool = False) -> DataFrame:
 
 
 def zip_contents(archives: DataFrame, suffix: str = "") -> DataFrame:
-    """Contents of ZIP files' members with the suffix; status OK, or CRC_FAILURE with a null content. Members go out in small batches."""
+    """Contents of ZIP files' members with the suffix; status OK, or CRC_FAILURE with a null content. A broken archive is a row BAD_ZIP without a member. Members go out in small batches."""
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
-                    for x in z.infolist():
-                        if x.is_dir() or not x.filename.endswith(suffix):
-                            continue
-                        try:
-                            row = (path, x.filename, z.read(x), "OK")
-                        except zipfile.BadZipFile:
-                            row = (path, x.filename, None, "CRC_FAILURE")
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["archive", "member", "content", "status"])
+                for row in rows(path, data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["archive", "member", "content", "status"])
+
+    def rows(path: str, data: bytes) -> Iterator[tuple]:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile:
+            yield (path, None, None, "BAD_ZIP")
+            return
+        for x in z.infolist():
+            if not x.is_dir() and x.filename.endswith(suffix):
+                try:
+                    yield (path, x.filename, z.read(x), "OK")
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+                    yield (path, x.filename, None, "CRC_FAILURE")
 
     return archives.select("path", "content").mapInArrow(contents, CONTENTS)
 

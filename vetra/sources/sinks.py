@@ -19,8 +19,8 @@ def normal(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.lower(F.col(c).cast("string")) if t == "boolean" else F.col(c).cast("string"), F.lit("")).alias(c) for c, t in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, extras: str = "ignore", mode: str = "errorifexists", one_file: bool = True) -> None:
-    """The given fields as CSV with a header. Columns beyond them are left out, or fail if extras is 'raise'; a file that is there fails."""
+def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, extras: str = "ignore", mode: str = "errorifexists", one_file: bool = False) -> None:
+    """The given fields as CSV with a header. Columns beyond them are left out, or fail if extras is 'raise'; a file that is there fails. one_file: by one task, for small tables."""
     fields = fields or df.columns
     if extras == "raise" and (more := [c for c in df.columns if c not in fields]):
         raise ValueError(f"columns without a field: {more}")
@@ -75,9 +75,11 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 
 def markdown(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
-    """A report: each table's first rows, at most so many."""
+    """A report: each table's first rows, at most so many; a table that has more says so."""
     out = [f"# {title}"]
     for name, df in sections.items():
-        rows = [["" if v is None else str(v).replace("|", "\\|") for v in r] for r in df.limit(most).collect()]
+        found = df.limit(most + 1).collect()
+        rows = [["" if v is None else str(v).replace("|", "\\|") for v in r] for r in found[:most]]
         out += ["", f"## {name}", "", f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}", *[f"| {' | '.join(r)} |" for r in rows]]
+        out += ["", f"The first {most} of {df.count()} rows."] if len(found) > most else []
     return "\n".join(out) + "\n"
