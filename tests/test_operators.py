@@ -210,12 +210,52 @@ def test_manifest(spark):
     common = "sample_rate_hz string, channels string, duration_seconds string, file_sha256 string, pcm_sha256 string"
     speech = spark.createDataFrame([("LJ1", "OK", "True", "a.wav", "16", "1", "3600", "h", "p"), ("LJ2", "BAD", "True", "b.wav", "16", "1", "1", "h", "p")], f"id string, parse_status string, metadata_present string, relative_path string, {common}")
     generated = spark.createDataFrame([("generated", "true", "d", "s", "fam", "gen", "fam:s", "m.wav", "c", "16", "1", "2", "h", "p"), ("redundant_duplicate_copy", "true", "d", "s", "fam", "gen", "fam:s", "m.wav", "c", "16", "1", "2", "h", "p")], f"role string, training_eligible string, dataset_dir string, source_id string, source_family string, generator string, content_group_key string, zip_member string, codec string, {common}")
-    music = spark.createDataFrame([("7", "true", "OK", "c1", "x.mp3", "mp3", "44", "2", "30", "h", "p", "t", "u", "ALLOW_BY_NC_SA")], "track_id string, strict_allowlist string, decode_status string, component_id string, relative_path string, codec string, sample_rate_hz string, channels string, decoded_duration_seconds string, file_sha256 string, decoded_pcm_sha256 string, license_title string, license_url string, license_category string")
+    music = spark.createDataFrame([("7", "true", "OK", "c1", "x.mp3", "mp3", "44", "2", "30", "h", "p", "t", "u", "ALLOW_BY_NC_SA", "ar", "al", "ti")], "track_id string, strict_allowlist string, decode_status string, component_id string, relative_path string, codec string, sample_rate_hz string, channels string, decoded_duration_seconds string, file_sha256 string, decoded_pcm_sha256 string, license_title string, license_url string, license_category string, artist_id string, album_id string, track_title string")
     prompted = spark.createDataFrame([("9", "true", "OK", "prov", "sem", "s.parquet", "3", "mp3", "44", "2", "10", "h", "p", "attr", "url")], "id string, training_eligible string, decode_status string, provider string, semantic_group_sha256 string, source_parquet string, row_in_parquet string, codec string, sample_rate_hz string, channels string, decoded_duration_seconds string, audio_sha256 string, decoded_pcm_f32le_sha256 string, attribution_text string, license_source_url string")
-    m = manifest.build(speech, generated, music, prompted, "salt", {"speech": "/s", "archive": "/a.zip", "music": "/m", "shards": "/p"})
+    tables = {"ljspeech-1.1": speech, "wavefake-1.2.0": generated, "fma-small": music, "aime-open-model-subset": prompted}
+    m = manifest.build(tables, "salt", {"ljspeech-1.1": "/s", "wavefake-1.2.0": "/a.zip", "fma-small": "/m", "aime-open-model-subset": "/p"})
+    assert m.where("license_source is null or attribution_text is null or eligibility_reason is null or leakage_notes is null").count() == 0
     assert tuple(m.columns) == manifest.FIELDS
     got = {r.sample_id: r for r in m.collect()}
     assert set(got) == {"LJ1", "d:s", "7", "9"}
     assert got["d:s"].source_locator == "zip:///a.zip!/m.wav" and got["9"].source_locator == "parquet:///p/s.parquet#row=3"
     assert got["7"].noncommercial_only and got["7"].sharealike_required and not got["LJ1"].attribution_required
     assert manifest.summary(m).agg(F.sum("row_count")).first()[0] == 4
+
+
+def test_strict_tables_fail(spark):
+    df = spark.createDataFrame([("a", "test"), ("b", "test")], "g string, s string")
+    assert rows(lineage.strict_crossings(df, "g", "s", "test")) == [("a", "test"), ("b", "test")]
+    with pytest.raises(ValueError, match="alone"):
+        lineage.strict_crossings(df.withColumn("label", F.lit(1)), "g", "s", "test")
+    for bad in (("a", "train"), ("", "test"), (None, "test"), ("a", None)):
+        with pytest.raises(Exception, match="no group"):
+            lineage.strict_crossings(df.unionAll(spark.createDataFrame([bad], df.schema)), "g", "s", "test").collect()
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "q"), (1, "p")], "k int, w string")
+    assert rows(lookup.one_to_one(a, b, "k")) == [(1, "x", "p"), (2, "y", "q")]
+    for other in (b.where("k = 1"), b.unionAll(b.where("k = 1")), b.unionAll(spark.createDataFrame([(3, "z")], b.schema))):
+        with pytest.raises(Exception, match="not one to one"):
+            lookup.one_to_one(a, other, "k").collect()
+
+
+def test_unknown_heads_have_rows(spark):
+    """A key's head without any known label has a row, and so has a null slice."""
+    long = spark.createDataFrame([(None, "FILE_FAKE", 1.0, 0.9), (None, "FILE_FAKE", 0.0, 0.2), ("x", "FILE_FAKE", None, 0.5)], "lang string, head string, label double, score double")
+    got = {(r.slice, r["head"]): r for r in metrics.slice_metrics(long, ["lang"]).collect()}
+    assert len(got) == 10 and got[None, "FILE_FAKE"].status == "OK" and got[None, "FILE_FAKE"].auc == 1 and got[None, "FILE_FAKE"].head_weight == 0.45
+    assert all((r.observed_count, r.positive_count, r.status, r.auc) == (0, 0, "INSUFFICIENT_CLASSES", None) for k, r in got.items() if k != (None, "FILE_FAKE"))
+    assert metrics.head_metrics(long.where("lang = 'x'")).first().observed_count == 0
+
+
+def test_audio_formulas():
+    """Filters and features by hand values."""
+    from vetra.operators import audio
+
+    f = audio.mel_filter(8000, 16, 3, 0.0)
+    assert f.shape == (3, 9) and np.allclose(f.sum(1), 1) and (f >= 0).all()
+    flat = audio.log_mel(np.sin(np.arange(4000) / 3), 4000, audio.mel_filter())
+    n = 25 * 64  # the 26th frame has its centre behind the end
+    assert (flat[:, 25:] == 0).all() and abs(flat.mean()) < 1e-9 and abs((flat**2).sum() / (n - 1) - 1) < 1e-9
+    half = audio.log_mel(np.sin(np.arange(4000) / 3), 1600, audio.mel_filter())
+    assert (half[:, 10:] == 0).all() and abs((half**2).sum() / (64 * 10 - 1) - 1) < 1e-9
+    assert (audio.log_mel(np.ones(4000), 0, audio.mel_filter()) == 0).all()

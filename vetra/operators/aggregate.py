@@ -112,3 +112,21 @@ def member_summary(df: DataFrame, group: str, member: str, kind: str, expected:
     out = df.groupBy(group).agg(F.count("*").alias("member_count"), F.count_distinct(member).alias("distinct_members"), F.min_by(kind, order).alias("kind"), F.array_join(F.array_sort(F.collect_set(member)), ";").alias("members"))
     need = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in expected.items() for x in kv]), F.col("kind")), F.lit(default))
     return out.withColumn("complete", F.col("distinct_members") >= need)
+
+
+def first_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows by a full order, numbered from 1: examples for a report."""
+    from pyspark.sql import Window
+
+    return df.orderBy(*order).limit(k).withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))  # k rows
+
+
+def directory_summary(df: DataFrame, keys: list[str], size: str, duration: str, category: str, flags: dict[str, Column]) -> DataFrame:
+    """Of each key: rows, bytes, duration (sum, least, median, greatest), counts of the flags, and of the category as JSON."""
+    counted = df.groupBy(*keys, category).agg(F.count("*").alias("_n"))
+    as_json = counted.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(category, F.lit("")), "_n"))))).alias("categories"))
+    rows = df.groupBy(*keys).agg(
+        F.count("*").alias("row_count"), F.sum(size).alias("total_bytes"), F.sum(duration).alias("total_duration"), F.min(duration).alias("least_duration"), F.percentile(duration, F.lit(0.5)).alias("median_duration"),
+        F.max(duration).alias("greatest_duration"), *[F.count_if(c).alias(n) for n, c in flags.items()],
+    )
+    return rows.join(as_json, keys)

@@ -123,3 +123,11 @@ def compare_identity(expected: dict, observed: dict) -> list[str]:
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def shard_integrity(observed: DataFrame, planned: DataFrame, shard: str, id_col: str) -> DataFrame:
+    """Of each planned shard (expected_rows, first_id, last_id): whether rows, distinct ids, first and last id in the order `at` are as planned, and all of these."""
+    own = observed.groupBy(shard).agg(F.count("*").alias("row_count"), F.count_distinct(id_col).alias("_ids"), F.min_by(id_col, "at").alias("_first"), F.max_by(id_col, "at").alias("_last"))
+    out = planned.join(own, shard, "left").fillna(0, ["row_count", "_ids"])
+    rules = {"rows_match": F.col("row_count") == F.col("expected_rows"), "ids_unique": F.col("_ids") == F.col("row_count"), "first_matches": F.col("_first").eqNullSafe(F.col("first_id")), "last_matches": F.col("_last").eqNullSafe(F.col("last_id"))}
+    return out.select(shard, "row_count", *[c.alias(n) for n, c in rules.items()], all_of(*rules.values()).alias("intact"))

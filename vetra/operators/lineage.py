@@ -14,6 +14,14 @@ def crossings(df: DataFrame, group: str, split: str) -> DataFrame:
     return out.select(group, F.array_join("_s", "|").alias("splits"))
 
 
+def strict_crossings(df: DataFrame, group: str, split: str, held: str) -> DataFrame:
+    """crossings() of a projection that must be exactly the two columns, all of the held split, with a group each; anything else fails."""
+    if sorted(df.columns) != sorted([group, split]):
+        raise ValueError(f"columns {df.columns}, not {[group, split]} alone")
+    fine = F.coalesce((F.col(split) == held) & (F.col(group) != ""), F.lit(False))
+    return df.select(F.when(fine, F.col(group)).otherwise(F.raise_error(F.lit(f"a row that isn't of {held}, or has no group")).cast(dict(df.dtypes)[group])).alias(group), split)
+
+
 def leakage_matrix(df: DataFrame, group: str, split: str, names: tuple[str, str, str] = ("train", "validation", "test")) -> DataFrame:
     """One row: groups, groups in each two splits and in all three, rows of the groups that cross, rows with null group or split."""
     a, b, c = names

@@ -146,3 +146,26 @@ def selection_audit(candidates: DataFrame, group: str, candidate: str, order: li
     best = candidates.groupBy(group).agg(F.min_by(candidate, F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])).alias("derived"), F.count_distinct(digest).alias("digest_count"))
     own = chosen.select(F.col(group).alias("_g"), F.col(candidate).alias("recorded"))
     return best.join(own, F.col(group) == F.col("_g"), "left").drop("_g").withColumns({"agrees": F.col("derived").eqNullSafe(F.col("recorded")), "one_digest": F.col("digest_count") == 1})
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join in which each key must be once on both sides; a key that is missing or repeated fails, and says which."""
+    side = lambda df, n: df.groupBy(key).agg(F.count("*").alias(n))
+    counts = side(left, "_l").join(side(right, "_r").withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "full")
+    fine = F.coalesce((F.col("_l") == 1) & (F.col("_r") == 1), F.lit(False))
+    broken = F.raise_error(F.concat(F.lit("not one to one: "), F.coalesce(F.coalesce(key, "_key").cast("string"), F.lit("null"))))
+    checked = counts.select(F.when(fine, F.col(key)).otherwise(broken.cast(dict(left.dtypes)[key])).alias(key))
+    return checked.join(left, key).join(right, key)
+
+
+def three_way(a: DataFrame, b: DataFrame, c: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Keys that all three tables have, each value of them, and for each whether all three agree: value_equal, and all_equal over all values."""
+    side = lambda df, n: df.select(F.col(key).alias(f"_{n}"), *[F.col(v).alias(f"{v}_{n}") for v in values])
+    out = side(a, "a").join(side(b, "b"), F.col("_a") == F.col("_b")).join(side(c, "c"), F.col("_a") == F.col("_c"))
+    same = {f"{v}_equal": F.col(f"{v}_a").eqNullSafe(F.col(f"{v}_b")) & F.col(f"{v}_a").eqNullSafe(F.col(f"{v}_c")) for v in values}
+    return out.withColumns(same).withColumn("all_equal", reduce(lambda x, y: x & y, [F.col(n) for n in same])).withColumnRenamed("_a", key).drop("_b", "_c")
+
+
+def resolution_summary(resolved: DataFrame, file: str, ordinal: str) -> DataFrame:
+    """One row over resolved locators: checked rows, distinct files, least and greatest ordinal, and how many are zero."""
+    return resolved.agg(F.count("*").alias("checked_rows"), F.count_distinct(file).alias("distinct_files"), F.min(ordinal).alias("least_ordinal"), F.max(ordinal).alias("greatest_ordinal"), F.count_if(F.col(ordinal) == 0).alias("zero_ordinals"))

@@ -28,6 +28,13 @@ SCORE_CELLS = 4096
 CLIP = 1e-12
 
 
+def _with(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined to b by the keys, of which nulls equal nulls; the keys are a's."""
+    names = [f"_b{k}" for k in range(len(keys))]
+    other = b.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[c for c in b.columns if c not in keys])
+    return a.join(other, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], how).drop(*names)
+
+
 def label_heads(df: DataFrame, dataset: str = "dataset", label: str = "label") -> DataFrame:
     """A row for each row and head, with head_label (null: unknown) by the dataset's contract; another label or dataset fails."""
     own = F.create_map(*[x for d, (_, v) in LABELS.items() for x in (F.lit(d), F.array(*[F.lit(y).cast("double") for y in v]))])
@@ -63,7 +70,7 @@ def running(scores: DataFrame, keys: list[str]) -> DataFrame:
     whole = Window.partitionBy(*own)
     totals = totals.select(*own, "cell", before("cp").alias("ap"), before("cn").alias("an"), F.sum("cp").over(whole).alias("pos"), F.sum("cn").over(whole).alias("neg"))
     inside = Window.partitionBy(*own, "cell").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    out = cell.join(totals, [*own, "cell"])
+    out = _with(cell, totals, [*own, "cell"])
     out = out.withColumns({"tp": F.col("ap") + F.sum("p").over(inside), "fp": F.col("an") + F.sum("n").over(inside)})
     return out.withColumn("fb", F.col("neg") - F.col("fp")).drop("ap", "an")
 
@@ -73,11 +80,12 @@ def _bin(s: Column, bins: int) -> Column:
     return F.least(F.size(F.filter(edges, lambda e: e <= s)) - 1, F.lit(bins - 1))
 
 
-def head_metrics(long: DataFrame, keys: list[str] | None = None, head: str = "head", label: str = "label", score: str = "score", weight: str | None = None, bins: int = 15) -> DataFrame:
+def head_metrics(long: DataFrame, keys: list[str] | None = None, head: str = "head", label: str = "label", score: str = "score", weight: str | None = None, bins: int = 15, heads: tuple[str, ...] | None = None) -> DataFrame:
     """Of each (keys, head): observed_count, positive_count, status, auc, eer, brier, log_loss, ece, component.
 
     status is OK with both classes, else INSUFFICIENT_CLASSES and all metrics are null. The EER is that of the first threshold,
-    from the highest, with the least |FPR - FNR|. A head without any known label has no row.
+    from the highest, with the least |FPR - FNR|. All heads of a key that has rows have one, or the given heads; without any known
+    label its counts are 0.
     """
     keys = keys or []
     own = [*keys, "head"]
@@ -95,7 +103,13 @@ def head_metrics(long: DataFrame, keys: list[str] | None = None, head: str = "he
     )
     cells = rows.groupBy(*own, _bin(F.col("s"), bins).alias("bin")).agg(F.sum(F.col("p") + F.col("n")).alias("w"), F.sum((F.col("p") + F.col("n")) * F.col("s")).alias("ws"), F.sum("p").alias("wp"))
     ece = cells.groupBy(*own).agg((F.sum(F.abs(F.col("ws") - F.col("wp"))) / F.sum("w")).alias("ece"))
-    out = out.join(ece, own)
+    out = _with(out, ece, own)
+    if heads is None:
+        whole = long.select(*keys, F.col(head).alias("head")).distinct()
+    else:
+        base = long.select(*keys).distinct() if keys else long.sparkSession.range(1)
+        whole = base.select(*keys, F.explode(F.array(*map(F.lit, heads))).alias("head"))
+    out = _with(whole, out, own, "left").fillna(0, ["observed_count", "positive_count"])
     fine = (F.col("positive_count") > 0) & (F.col("positive_count") < F.col("observed_count"))
     out = out.withColumns({m: F.when(fine, F.col(m)) for m in ("auc", "eer", "brier", "log_loss", "ece")})
     component = F.when(F.col("head").isin(*BY_ERROR_RATE), 1 - F.col("eer")).otherwise(F.col("auc"))
@@ -120,8 +134,20 @@ def unpivot_axes(long: DataFrame, axes: list[str]) -> DataFrame:
     return long.select(*rest, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("slice")) for a in axes])).alias("_x")).select(*rest, "_x.axis", "_x.slice")
 
 
-def slice_metrics(long: DataFrame, axes: list[str], **columns: str) -> DataFrame:
-    return head_metrics(unpivot_axes(long, axes), ["axis", "slice"], **columns)
+def slice_metrics(long: DataFrame, axes: list[str], heads: tuple[str, ...] = HEADS, weights: tuple[float, ...] = WEIGHTS, **columns: str) -> DataFrame:
+    """head_metrics() of each axis and slice, null slices too: a row for each head, with its weight."""
+    w = F.create_map(*[F.lit(x) for kv in zip(heads, weights, strict=True) for x in kv])
+    return head_metrics(unpivot_axes(long, axes), ["axis", "slice"], heads=heads, **columns).withColumn("head_weight", F.try_element_at(w, F.col("head")))
+
+
+def slice_completeness(reported: DataFrame, long: DataFrame, axes: list[str], heads: tuple[str, ...] = HEADS) -> DataFrame:
+    """(axis, slice, head, issue) of a slice report against the rows: missing, unexpected, or repeated rows."""
+    key = ["axis", "slice", "head"]
+    due = unpivot_axes(long, axes).select("axis", "slice").distinct().select("axis", "slice", F.explode(F.array(*map(F.lit, heads))).alias("head"))
+    sides = due.withColumns({"due": F.lit(1), "told": F.lit(0)}).unionByName(reported.select(*key).withColumns({"due": F.lit(0), "told": F.lit(1)}))
+    n = sides.groupBy(*key).agg(F.sum("due").alias("due"), F.sum("told").alias("told"))
+    issue = F.when(F.col("due") == 0, "unexpected").when(F.col("told") == 0, "missing").when(F.col("told") > 1, "repeated")
+    return n.select(*key, issue.alias("issue")).where("issue is not null")
 
 
 def slice_labels(long: DataFrame, axes: list[str], head: str = "head", label: str = "label", first: str = HEADS[0], heads: tuple[str, ...] = HEADS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vetra.functions import classify, hashing, numbers, text
 from vetra.operators import aggregate, audio, checks, duplicates, lineage, lookup, metrics, sampling
+from vetra.plans import manifest
 from vetra.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -448,8 +449,8 @@ long AS (SELECT doc_id, lang, source, h AS head, {_SCORE} AS score, CASE h WHEN
   FROM labels JOIN documents USING (doc_id), (VALUES ('FILE_FAKE'), ('VOICE_FAKE'), ('MUSIC_FAKE'), ('VOICE_PRESENT'), ('MUSIC_PRESENT')) v(h))"""
 
 
-def metrics_sql(keys: str, source: str = "long", weight: str = "1.0") -> str:
-    """CTEs that end in m: the metrics of each (keys, head)."""
+def metrics_sql(keys: str, source: str = "long", weight: str = "1.0", whole: str | None = None) -> str:
+    """CTEs that end in m: the metrics of each (keys, head), of all of a table `whole` if it is given."""
     edges = ", ".join(repr(float(e)) for e in np.linspace(0, 1, 16))
     k = f"{keys}, " if keys else ""
     return f"""
@@ -461,7 +462,8 @@ m0 AS (SELECT {k}head, sum(p + n)::BIGINT AS observed_count, sum(p)::BIGINT AS p
   arg_min((fpr + fnr) / 2, (abs(fpr - fnr), -s)) AS eer, sum(p * (s - 1) * (s - 1) + n * s * s) / sum(p + n) AS brier,
   -sum(p * ln(greatest(s, 1e-12)) + n * ln(1 - least(s, 1 - 1e-12))) / sum(p + n) AS log_loss FROM f GROUP BY ALL),
 m AS (SELECT {k}head, observed_count, positive_count, CASE WHEN ok THEN 'OK' ELSE 'INSUFFICIENT_CLASSES' END AS status, CASE WHEN ok THEN auc END AS auc, CASE WHEN ok THEN eer END AS eer, CASE WHEN ok THEN brier END AS brier, CASE WHEN ok THEN log_loss END AS log_loss,
-  CASE WHEN ok THEN ece END AS ece, CASE WHEN ok THEN CASE WHEN head LIKE '%FAKE' THEN 1 - eer ELSE auc END END AS component FROM (SELECT *, positive_count > 0 AND positive_count < observed_count AS ok FROM m0 JOIN ece USING ({k}head)))"""
+  CASE WHEN ok THEN ece END AS ece, CASE WHEN ok THEN CASE WHEN head LIKE '%FAKE' THEN 1 - eer ELSE auc END END AS component
+  FROM (SELECT * REPLACE (coalesce(observed_count, 0) AS observed_count, coalesce(positive_count, 0) AS positive_count), coalesce(positive_count > 0 AND positive_count < observed_count, false) AS ok FROM {whole or 'm0'} {f"LEFT JOIN m0 USING ({k}head) LEFT" if whole else ""} JOIN ece USING ({k}head)))"""
 
 
 _METRICS = ("auc", "eer", "brier", "log_loss", "ece", "component")
@@ -476,11 +478,22 @@ def head_metrics(spark, d):
     return rounded(metrics.head_metrics(_heads(spark, d)), *_METRICS, digits=9)
 
 
-@query(f"WITH {_LONG}, x AS (SELECT 'lang' AS axis, lang AS slice, * FROM long UNION ALL SELECT 'source', source, * FROM long), {metrics_sql('axis, slice', 'x')} SELECT axis, slice, head, observed_count, positive_count, status, {_metric_columns()} FROM m")
+@query(f"""WITH {_LONG}, x AS (SELECT 'lang' AS axis, lang AS slice, * FROM long UNION ALL SELECT 'source', source, * FROM long), whole AS (SELECT DISTINCT axis, slice, h AS head FROM x, (VALUES {', '.join(f"('{h}')" for h in metrics.HEADS)}) v(h)),
+{metrics_sql('axis, slice', 'x', whole='whole')} SELECT axis, slice, head, observed_count, positive_count, status, {_metric_columns()}, CASE head {' '.join(f"WHEN '{h}' THEN {w}" for h, w in zip(metrics.HEADS, metrics.WEIGHTS))} END::DOUBLE AS head_weight FROM m""")
 def slice_metrics(spark, d):
+    """All five heads of each language and source; of Spanish, the music labels are unknown."""
     return rounded(metrics.slice_metrics(_heads(spark, d), ["lang", "source"]), *_METRICS, digits=9)
 
 
+@query(f"WITH {_LONG} SELECT 'lang' AS axis, lang AS slice, h AS head, CASE WHEN lang = 'en' THEN 'missing' ELSE 'repeated' END AS issue FROM (SELECT DISTINCT lang FROM long), (VALUES {', '.join(f'({h!r})' for h in metrics.HEADS)}) v(h) WHERE lang IN ('en', 'fr') UNION ALL SELECT 'lang', 'xx', 'FILE_FAKE', 'unexpected'")
+def slice_completeness(spark, d):
+    """A report that lacks a slice, has one twice, and has one that isn't there."""
+    long = _heads(spark, d)
+    own = metrics.unpivot_axes(long, ["lang"]).select("axis", "slice", "head").distinct()
+    told = own.where("slice <> 'en'").unionAll(own.where("slice = 'fr'")).unionAll(spark.createDataFrame([("lang", "xx", "FILE_FAKE")], own.schema))
+    return metrics.slice_completeness(told, long, ["lang"])
+
+
 @query(f"""WITH {_LONG}, {metrics_sql('')}, w AS (SELECT {', '.join(f"max(component) FILTER (head = '{h}') AS {h}" for h in metrics.HEADS)} FROM m),
 a AS (SELECT *, 0.5 * FILE_FAKE + 0.2 * VOICE_FAKE + 0.3 * MUSIC_FAKE AS ads, 0.5 * VOICE_PRESENT + 0.5 * MUSIC_PRESENT AS cps FROM w)
 SELECT {', '.join(f'round({h}, 9) AS {h}' for h in metrics.HEADS)}, round(ads, 9) AS ads, round(cps, 9) AS cps, round(0.9 * ads + 0.1 * cps, 9) AS score FROM a""")
@@ -707,3 +720,89 @@ def order_invariance(spark, d):
     """Means of segments don't depend on how rows are dealt."""
     out = metrics.order_invariance(lambda t: aggregate.segment_means(t, "l_orderkey", ["l_discount"]), table(spark, d, "lineitem").select("l_orderkey", "l_discount"), ["l_orderkey"], ["l_discount"])
     return rounded(out, "max_absolute_delta", digits=9)
+
+
+# ---- strict joins, directories, shards, manifest ----
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
+def one_to_one_join(spark, d):
+    o = table(spark, d, "orders")
+    return lookup.one_to_one(o.select("o_orderkey", "o_custkey"), o.select("o_orderkey", "o_orderpriority"), "o_orderkey")
+
+
+@query("""
+SELECT c_custkey, c_name AS c_name_a, c_name AS c_name_b, CASE WHEN c_custkey % 5 = 0 THEN '?' ELSE c_name END AS c_name_c, c_nationkey AS c_nationkey_a, c_nationkey AS c_nationkey_b, c_nationkey AS c_nationkey_c,
+  c_custkey % 5 <> 0 AS c_name_equal, true AS c_nationkey_equal, c_custkey % 5 <> 0 AS all_equal FROM customer WHERE c_custkey % 7 <> 0""")
+def three_way_equality(spark, d):
+    """Customers in a plan, a projection of six sevenths, and a copy with other names for one in five."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    other = c.withColumn("c_name", F.when(F.col("c_custkey") % 5 == 0, "?").otherwise(F.col("c_name")))
+    return lookup.three_way(c, c.where("c_custkey % 7 <> 0"), other, "c_custkey", ["c_name", "c_nationkey"])
+
+
+@query("SELECT count(*) AS checked_rows, count(DISTINCT l_suppkey) AS distinct_files, min(l_linenumber - 1) AS least_ordinal, max(l_linenumber - 1) AS greatest_ordinal, count(*) FILTER (l_linenumber = 1) AS zero_ordinals FROM lineitem")
+def resolution_summary(spark, d):
+    return lookup.resolution_summary(table(spark, d, "lineitem").select("l_suppkey", (F.col("l_linenumber") - 1).alias("at")), "l_suppkey", "at")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id)::INT AS ordinal FROM events QUALIFY ordinal <= 20")
+def first_examples(spark, d):
+    return aggregate.first_k(table(spark, d, "events").select("event_id", "event_type", "ts"), [F.col("ts"), F.col("event_id")], 20).drop("ts")
+
+
+@query("""
+SELECT lang, source, count(*) AS row_count, sum(n_chars)::BIGINT AS total_bytes, sum(n_chars / 10.0) AS total_duration, min(n_chars / 10.0) AS least_duration, round(median(n_chars / 10.0), 6) AS median_duration, max(n_chars / 10.0) AS greatest_duration,
+  count(*) FILTER (n_chars < 500) AS short_count, count(*) FILTER (text IS NULL) AS missing_count,
+  '{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) FROM (SELECT CASE WHEN n_chars < 500 THEN 'short' ELSE 'whole' END AS k, count(*) AS n FROM documents x WHERE x.lang = d.lang AND x.source = d.source GROUP BY 1)) || '}' AS categories
+FROM documents d GROUP BY lang, source""")
+def directory_summary(spark, d):
+    rows = table(spark, d, "documents").select("lang", "source", "n_chars", F.col("text").isNull().alias("missing"), (F.col("n_chars") / 10).alias("seconds"), F.when(F.col("n_chars") < 500, "short").otherwise("whole").alias("kind"))
+    out = aggregate.directory_summary(rows, ["lang", "source"], "n_chars", "seconds", "kind", {"short_count": F.col("n_chars") < 500, "missing_count": F.col("missing")})
+    return rounded(out, "median_duration")
+
+
+@query("""
+WITH o AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_partkey) AS ids, arg_min(l_partkey, (l_linenumber, l_partkey)) AS a, arg_max(l_partkey, (l_linenumber, l_partkey)) AS b FROM lineitem GROUP BY 1)
+SELECT o_orderkey, coalesce(n, 0) AS row_count, coalesce(n, 0) = 4 AS rows_match, coalesce(ids, 0) = coalesce(n, 0) AS ids_unique, a IS NOT DISTINCT FROM a AS first_matches, b IS NOT DISTINCT FROM (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE b END) AS last_matches,
+  coalesce(n, 0) = 4 AND coalesce(ids, 0) = coalesce(n, 0) AND b IS NOT DISTINCT FROM (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE b END) AS intact FROM orders LEFT JOIN o ON l_orderkey = o_orderkey""")
+def shard_integrity(spark, d):
+    """Orders as shards planned with four lines; one in three has a wrong last part."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("id"), F.struct("l_linenumber", "l_partkey").alias("at"))
+    ends = lines.groupBy("o_orderkey").agg(F.min_by("id", "at").alias("first_id"), F.max_by("id", "at").alias("last_id"))
+    plan = table(spark, d, "orders").select("o_orderkey").join(ends, "o_orderkey", "left").withColumns({"expected_rows": F.lit(4), "last_id": F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("last_id"))})
+    return checks.shard_integrity(lines, plan, "o_orderkey", "id")
+
+
+def _manifest_sql() -> str:
+    """The rules by hand: one SELECT for each dataset, over the documents that stand for its inventory."""
+    i, h = "doc_id::VARCHAR", "sha256(text)"
+    cat = "CASE doc_id % 3 WHEN 0 THEN 'ALLOW_CC0' WHEN 1 THEN 'ALLOW_BY_NC_SA' ELSE 'ALLOW_BY' END"
+    own = {
+        "ljspeech-1.1": ("real", i, "'ljspeech'", "'ljspeech_real'", f"'ljspeech:' || {i}", f"'/r/' || {i} || '.wav'", "'pcm_s16le'", "n_chars / 10.0", "'Public-Domain'", "'LJSpeech-1.1/README'", "false", "false", "false", "false", "''", "GO_LJSPEECH_PUBLIC_DOMAIN_TECHNICAL_PASS", "Keep with all WaveFake LJS variants by LJSpeech ID; transcript duplicates must not cross folds."),
+        "wavefake-1.2.0": ("synthetic", f"source || ':' || {i}", "lang", "source", f"lang || ':' || {i}", f"'zip:///r!/' || {i} || '.wav'", "'flac'", "n_chars / 10.0", "'CC-BY-SA-4.0'", "'WaveFake-1.2.0/LICENSE'", "true", "true", "false", "true", "'WaveFake, Joel Frank and Lea Schoenherr, CC BY-SA 4.0, DOI 10.5281/zenodo.5642694'", "GO_WAVEFAKE_CC_BY_SA_4_AFTER_EXACT_DEDUPLICATION", "Split by source ID; never split segments. Common Voice-prompt nested duplicate copies are excluded upstream."),
+        "fma-small": ("real", i, "'fma_music'", "'fma_real'", f"'fma:' || {i}", f"'/r/' || {i} || '.wav'", "'flac'", "n_chars / 5.0", "'title ' || lang", "'url ' || lang", f"{cat} <> 'ALLOW_CC0'", f"contains({cat}, '_SA')", f"contains({cat}, '_NC')", f"{cat} <> 'ALLOW_CC0'", f"'FMA track ' || {i} || ': a' || {i} || ' / b' || {i} || ' / t' || {i}", "GO_FMA_STRICT_ALLOWLIST_AND_DECODE_PASS", "Use artist-album connected component as the indivisible split group; ignore the original row-level split when it conflicts."),
+        "aime-open-model-subset": ("synthetic", i, "'aime_music'", "source", f"'aime-prompt:' || {h}", f"'parquet:///r/p' || lang || '#row=' || {i}", "'flac'", "n_chars / 5.0", "'CC-BY-4.0'", "'url ' || lang", "true", "false", "false", "true", "'by ' || source", "GO_AIME_DIRECT_CC_BY_4_ATTRIBUTION_TECHNICAL_PASS", "Split by normalized prompt/description identity; provider and shard/ID are shortcut-prone and require held-out evaluation."),
+    }
+    one = "SELECT '{0}' AS dataset, '{1}' AS label, {2} AS sample_id, {3} AS source_family, {4} AS generator_or_provider, {5} AS content_group_key, {18} AS recommended_content_split, '{0}:' || {4} AS provider_holdout_group, {6} AS source_locator, {7} AS codec, 16000 AS sample_rate_hz, 1 AS channels, {8} AS duration_seconds, " + "sha256(text) AS file_sha256, md5(text) AS pcm_sha256, {9} AS license_id, {10} AS license_source, {11} AS attribution_required, {12} AS sharealike_required, {13} AS noncommercial_only, {14} AS changes_notice_required, {15} AS attribution_text, 'PASS' AS technical_status, true AS training_eligible, '{16}' AS eligibility_reason, '{17}' AS leakage_notes FROM documents WHERE doc_id % 4 = {19} AND n_chars > 300 AND lang <> 'fr'"
+    return " UNION ALL ".join(one.format(name, *v, split_sql(f"({v[4]})"), k) for k, (name, v) in enumerate(own.items()))
+
+
+@query(_manifest_sql())
+def training_manifest(spark, d):
+    """Documents that stand for the four inventories, a quarter each; those that are short or French aren't ready."""
+    i, lang, h = F.col("doc_id").cast("string"), F.col("lang"), F.sha2("text", 256)
+    status, flag = F.when(F.col("n_chars") > 300, "OK").otherwise("ERROR"), F.when(lang != "fr", "True").otherwise("False")
+    category = F.when(F.col("doc_id") % 3 == 0, "ALLOW_CC0").when(F.col("doc_id") % 3 == 1, "ALLOW_BY_NC_SA").otherwise("ALLOW_BY")
+    also = lambda prefix: F.concat(F.lit(prefix), i)
+    base = table(spark, d, "documents").select(
+        "doc_id", "lang", "source", i.alias("id"), i.alias("track_id"), i.alias("component_id"), i.alias("source_id"), i.alias("row_in_parquet"), also("").alias("_"), F.concat(i, F.lit(".wav")).alias("relative_path"), F.concat(i, F.lit(".wav")).alias("zip_member"),
+        status.alias("parse_status"), status.alias("decode_status"), flag.alias("metadata_present"), flag.alias("strict_allowlist"), F.when(status == "OK", flag).otherwise("False").alias("training_eligible"), F.lit("generated").alias("role"),
+        F.lit(16000).alias("sample_rate_hz"), F.lit(1).alias("channels"), F.lit("flac").alias("codec"), (F.col("n_chars") / 10).alias("duration_seconds"), (F.col("n_chars") / 5).alias("decoded_duration_seconds"),
+        h.alias("file_sha256"), h.alias("audio_sha256"), h.alias("semantic_group_sha256"), *[F.md5("text").alias(c) for c in ("pcm_sha256", "decoded_pcm_sha256", "decoded_pcm_f32le_sha256")],
+        lang.alias("source_family"), F.col("source").alias("generator"), F.col("source").alias("provider"), F.col("source").alias("dataset_dir"), F.concat(lang, F.lit(":"), i).alias("content_group_key"), F.concat(F.lit("p"), lang).alias("source_parquet"),
+        category.alias("license_category"), F.concat(F.lit("title "), lang).alias("license_title"), F.concat(F.lit("url "), lang).alias("license_url"), F.concat(F.lit("url "), lang).alias("license_source_url"),
+        also("a").alias("artist_id"), also("b").alias("album_id"), also("t").alias("track_title"), F.concat(F.lit("by "), "source").alias("attribution_text"),
+    )
+    names = ("ljspeech-1.1", "wavefake-1.2.0", "fma-small", "aime-open-model-subset")
+    return manifest.build({n: base.where(F.col("doc_id") % 4 == k) for k, n in enumerate(names)}, SALT, dict.fromkeys(names, "/r"))
