@@ -752,14 +752,14 @@ def first_examples(spark, d):
 
 
 @query("""
-SELECT lang, source, count(*) AS row_count, sum(n_chars)::BIGINT AS total_bytes, sum(n_chars / 10.0) AS total_duration, min(n_chars / 10.0) AS least_duration, round(median(n_chars / 10.0), 6) AS median_duration, max(n_chars / 10.0) AS greatest_duration,
+SELECT lang, source, count(*) AS row_count, sum(n_chars)::BIGINT AS total_bytes, round(sum(n_chars / 10.0), 4) AS total_duration, min(n_chars / 10.0) AS least_duration, round(median(n_chars / 10.0), 6) AS median_duration, max(n_chars / 10.0) AS greatest_duration,
   count(*) FILTER (n_chars < 500) AS short_count, count(*) FILTER (text IS NULL) AS missing_count,
   '{' || (SELECT string_agg('"' || k || '":' || n, ',' ORDER BY k) FROM (SELECT CASE WHEN n_chars < 500 THEN 'short' ELSE 'whole' END AS k, count(*) AS n FROM documents x WHERE x.lang = d.lang AND x.source = d.source GROUP BY 1)) || '}' AS categories
 FROM documents d GROUP BY lang, source""")
 def directory_summary(spark, d):
     rows = table(spark, d, "documents").select("lang", "source", "n_chars", F.col("text").isNull().alias("missing"), (F.col("n_chars") / 10).alias("seconds"), F.when(F.col("n_chars") < 500, "short").otherwise("whole").alias("kind"))
     out = aggregate.directory_summary(rows, ["lang", "source"], "n_chars", "seconds", "kind", {"short_count": F.col("n_chars") < 500, "missing_count": F.col("missing")})
-    return rounded(out, "median_duration")
+    return rounded(rounded(out, "median_duration"), "total_duration", digits=4)
 
 
 @query("""
