@@ -255,7 +255,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fa
 
     Documents are dealt into blocks. Each sends its distinct words and pairs, as sorted 64-bit hashes with its counts, to
     buckets of the hash, and gets the whole corpus's counts back, so a frequent pair is one entry for a block. Two of the corpus's
-    V words share a hash with a chance of about V * V / 2**65.
+    V words share a hash with a chance of about V * V / 2**64.
 
     Null and empty texts are one end token. A null doc_id counts as the text ''. Repeated rows count and score each; those that
     repeat both id and text are one block's. An empty table gives no rows; without training documents the score is that of the uniform estimate.
