@@ -65,6 +65,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Rows go by turn (null first), then role, then text, so ties and repeated rows have a fixed order; each stays. Null roles and
     texts are empty. Rows with a null conv_id are one conversation. A conversation is one row, so it must fit into a task.
+    An empty table gives no rows.
     """
     own = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text"))])
     return own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).mapInArrow(_format, FORMATTED)

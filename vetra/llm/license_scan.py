@@ -165,7 +165,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Each sentence, wrapped over lines or not, is normalised and looked up among the known ones; the sequence of identifiers is matched against the ordered
     rules, the first that fits at a place wins, and matching goes on behind it. A text is read by one task, without a shuffle.
 
-    Null and empty texts have no sentences and no licences. Repeated rows each give a row.
+    Null and empty texts have no sentences and no licences. Repeated rows each give a row. An
+    empty table gives no rows.
     """
     return texts(docs, id_col, text_col).mapInArrow(_scan, SCAN)
 

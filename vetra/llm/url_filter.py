@@ -73,8 +73,8 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = PREFIX_RULES + PATTER
 
     A URL's tokens fetch the rules that are indexed under them; only these rules' patterns run, on host and path.
 
-    A null URL, or one without ://, has an empty host and path, which no rule here fits. Repeated rows are judged each. An empty
-    table gives no rows.
+    A null URL, or one without ://, has an empty host and path, which no rule here fits. Repeated rows are judged each. A very
+    long URL is judged whole. An empty table gives no rows.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("place", F.concat("host", "path"))
     found = index(pages, rules)
