@@ -54,10 +54,11 @@ def _dealt(rows: DataFrame, numbers: int, column: str) -> DataFrame:
     return rows.repartitionById(min(numbers, TASKS), column)
 
 
-def exchanged(dealt: DataFrame, send: Callable[[pa.Table], Entries], count: Callable[[int, Entries], Entries], blocks: int, buckets: int, fan: int = FAN) -> DataFrame:
+def exchanged(dealt: DataFrame, send: Callable[..., Entries], count: Callable[[int, Entries], Entries], blocks: int, buckets: int, fan: int = FAN, before: DataFrame | None = None) -> DataFrame:
     """(part, block, data): boxes of what the buckets tell each block of dealt, which is in_blocks(); see told().
 
     send: a block's rows -> its entries by bucket. count: a bucket and its entries by block -> entries by block. Blocks and buckets are numbered from 0.
+    before: what an earlier exchange told the blocks, which send gets as its second argument.
 
     Up to `fan` buckets, an entry is a row. Beyond that a block's entries to neighbouring buckets share a row, `fan` rows at most; those of
     `fan` blocks meet, and go on to each bucket in one row for all these blocks; the way back is the same. So rows grow with the
@@ -66,9 +67,12 @@ def exchanged(dealt: DataFrame, send: Callable[[pa.Table], Entries], count: Call
     share = -(-buckets // fan)  # buckets that share a row
     cells = -(-blocks // fan) * fan
 
-    def out(table: pa.Table) -> pa.Table:
+    def out(table: pa.Table, *earlier: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        return _rows((part, block, box) for part, box in _gathered((k // share, k, x) for k, x in send(table)))
+        return _rows((part, block, box) for part, box in _gathered((k // share, k, x) for k, x in send(table, *earlier)))
+
+    def out_after(table: pa.Table, earlier: pa.Table) -> pa.Table:
+        return out(table, earlier)
 
     def forth(table: pa.Table) -> pa.Table:
         lot = table.column("block")[0].as_py() // fan
@@ -89,7 +93,7 @@ def exchanged(dealt: DataFrame, send: Callable[[pa.Table], Entries], count: Call
         entries = ((block, bucket, x) for bucket, data in zip(table.column("part").to_pylist(), table.column("data"), strict=True) for block, x in unboxed(data.as_py()))
         return _rows((part, block, box) for block, box in _gathered(entries))
 
-    sent = dealt.groupBy("slot").applyInArrow(out, ROW)
+    sent = dealt.groupBy("slot").applyInArrow(out, ROW) if before is None else answered(dealt, before, blocks, out_after, ROW)
     if share > 1:
         cell = (F.floor(F.col("block") / fan) * fan + F.col("part")).cast("int")
         sent = _dealt(sent.withColumn("cell", cell), cells, "cell").groupBy("cell").applyInArrow(forth, ROW)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, license_scan, lm_score, packing, quality, simhash, substring_dedup, url_filter
+from . import chat, decontaminate, exact_dedup, importance, license_scan, lm_score, packing, quality, simhash, spelling, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_chat_format": chat.query,
     "op10_lm_score": lm_score.query,
+    "op11_suffix_dedup": suffix_dedup.query,
+    "op12_importance": importance.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLES = {
@@ -23,4 +26,7 @@ ORACLES = {
     "op7_url_filter": url_filter.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op11_suffix_dedup": suffix_dedup.ORACLE,
+    "op12_importance": importance.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
