@@ -45,3 +45,25 @@ def test_odd_documents_are_whole(spark, sf, odd):
     # 5 to 7 are near copies; 2 and 3 have no words
     assert got[14] == 2 and got[None] == 1 and got[8] == 1 and got[11] == 1 and got[10] == 0
     assert set(got) - {2, 3} == {4, 6, 8, None, 9, 11, 12, 13, 14} and len({2, 3} & set(got)) <= 1
+
+
+def test_columns_survive(spark, sf):
+    """Columns with the names that stages use, one of maps and one of structs among them, go through all stages unchanged, repeated rows too."""
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_sha", "_place", "_word", "_bits", "_what", "_row", "row", "sha", "a", "b", "n", "_at"]
+    texts = ["one two three four five six seven", "ONE two three four five six seven", "entirely other words here", "entirely other words here", "more", None]
+    rows = [(k // 2, t) for k, t in enumerate(texts)] + [(None, "more"), (None, "more"), (2, "more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.concat(F.lit("mine"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(n) for n in names])
+    docs = docs.withColumn("meta", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("nested", F.struct("doc_id", F.lit(1).alias("_id")))
+    docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(3)
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, at, sf)
+        assert out.columns == docs.columns and out.schema["meta"].dataType == docs.schema["meta"].dataType
+        at = spark.createDataFrame(out.collect(), docs.schema)
+        for r in at.collect():
+            assert all(r[n] == f"mine{'?' if r.doc_id is None else r.doc_id}" for n in names) and r.meta == {"k": r.doc_id} and r.nested.doc_id == r.doc_id
+    assert collections.Counter((r.doc_id, r.text) for r in at.collect()) == collections.Counter([(0, texts[0]), (1, texts[2]), (2, "more"), (2, None)])
+    assert STAGES["quality"](spark, docs, sf).columns == docs.columns
+    assert STAGES["packing"](spark, docs, sf).count() == docs.count()

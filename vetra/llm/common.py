@@ -84,17 +84,17 @@ def lacking(df: DataFrame, keys: list[str], members: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but those whose id and text are in gone; of each id and text in repeated, one row, the least by all its columns.
+    """The rows of docs but those whose id and text are in gone; of each id and text in repeated, one row, the least by all its columns, as JSON.
 
     gone and repeated have doc_id and text_sha256. Nulls equal nulls; a null text is empty. Only rows that a bitmap
-    finds are shuffled, with their texts; all others stay where they are.
+    finds are shuffled, with their texts; all others stay where they are. A row travels as one value, so its columns may have any names and types.
     """
     keys = ["_id", "_sha"]
-    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": sha(text_col)})
     key = lambda df, what: df.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(what).alias("_what"))
     marks = stored(key(gone, 2).unionByName(key(repeated, 1)).groupBy(*keys).agg(F.max("_what").alias("_what")), "marked-rows")
+    own = docs.select(F.struct("*").alias("_row")).select("_row", F.col(f"_row.`{id_col}`").cast("long").alias("_id"), sha(f"_row.`{text_col}`").alias("_sha"))
     marked = perhaps(own, keys, marks).alias("a").join(marks.alias("b"), F.expr("a._id <=> b._id and a._sha = b._sha"), "left").select("a.*", F.coalesce("_what", F.lit(0)).alias("_what"))
-    out = perhaps(own, keys, marks, others=True).select(*docs.columns).unionByName(marked.where("_what = 0").select(*docs.columns))
-    if marks.where("_what = 1").isEmpty():
-        return out
-    return out.unionByName(marked.where("_what = 1").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    out = perhaps(own, keys, marks, others=True).select("_row").unionByName(marked.where("_what = 0").select("_row"))
+    if not marks.where("_what = 1").isEmpty():
+        out = out.unionByName(marked.where("_what = 1").groupBy(*keys).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
+    return out.select("_row.*")

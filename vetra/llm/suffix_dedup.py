@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import blocks, read, stored, texts
 from .exchange import FAN, Entries, answered, exchanged, in_blocks, told
 from .suffix_array import suffix_array
+from .tally import asked, lots, numbers, places, planes, replier, replies, squeezed
 from .wordhash import mix
 
 #: Bytes of a string that counts.
@@ -31,22 +32,6 @@ LAST = np.iinfo(np.int64).max
 DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _planes(*arrays: np.ndarray) -> bytes:
-    """Numbers by their bytes' places, which compress better; the first array as differences."""
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(np.asarray(x, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (np.diff(arrays[0], prepend=0), *arrays[1:]))
-
-
-def _numbers(data: bytes, arrays: int) -> tuple[list[np.ndarray], bytes]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    out = [np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8 + 8 * n * k).reshape(8, -1).T).view("<i8").ravel() for k in range(arrays)]
-    out[0] = np.cumsum(out[0])
-    return out, data[8 + 8 * n * arrays :]
-
-
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, size, hash) of the runs of consecutive windows of data with one anchor. A window's anchor follows from its bytes alone."""
     n = len(data) - WINDOW + 1
@@ -99,44 +84,23 @@ class Runs:
         return distinct, number, np.bincount(pairs // max(len(self.docs), 1), minlength=len(distinct))
 
 
-def _places(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each anchor's bucket, and the 32 bits that tell it from others there. Two anchors that share both merely count together."""
-    h = mix(distinct)
-    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (mix(h ^ np.uint64(1)) >> np.uint64(32)).astype(np.int64)
-
-
-def _lots(keys: np.ndarray) -> list[np.ndarray]:
-    """The places of each key, keys rising."""
-    order = np.argsort(keys, kind="stable")
-    return [x for x in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(x)]
-
-
 def _ask(buckets: int, hot: int):
     """Blocks ask how many rows have each of their anchors."""
 
     def ask(table: pa.Table) -> Entries:
         distinct, _, rows = Runs(table).of_anchors()
-        bucket, bits = _places(distinct, buckets)
-        out = []
-        for own in _lots(bucket):
-            own = own[np.argsort(bits[own], kind="stable")]
-            out.append((int(bucket[own[0]]), _squeezed(_planes(bits[own], np.minimum(rows[own], hot + 1)))))
-        return out
+        return asked(distinct, np.minimum(rows, hot + 1), buckets)
 
     return ask
 
 
-def _answer(hot: int):
-    def answer(bucket: int, entries: Entries) -> Entries:
-        """0: one row has the anchor, 1: several, 2: more than `hot`; in the order asked."""
-        asked = [_numbers(zstandard.decompress(data), 2)[0] for _, data in entries]
-        distinct, number = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        rows = np.bincount(number, weights=np.concatenate([a[1] for a in asked]))[number]
-        said = (rows > 1).astype(np.uint8) + (rows > hot)
-        ends = np.cumsum([len(a[0]) for a in asked])
-        return [(block, _squeezed(part.tobytes())) for (block, _), part in zip(entries, np.split(said, ends[:-1]), strict=True)]
+def _state(hot: int):
+    """0: one row has the anchor, 1: several, 2: more than `hot`."""
+
+    def state(rows: np.ndarray) -> np.ndarray:
+        return (rows > 1).astype(np.uint8) + (rows > hot)
 
-    return answer
+    return state
 
 
 class Strings(Runs):
@@ -145,12 +109,7 @@ class Strings(Runs):
     def __init__(self, table: pa.Table, answers: Entries, buckets: int):
         super().__init__(table)
         distinct, number, _ = self.of_anchors()
-        bucket, bits = _places(distinct, buckets)
-        said, by = np.zeros(len(distinct), np.uint8), dict(answers)
-        for own in _lots(bucket):
-            own = own[np.argsort(bits[own], kind="stable")]
-            said[own] = np.frombuffer(zstandard.decompress(by[int(bucket[own[0]])]), np.uint8)
-        state = said[number]
+        state = replies(distinct, answers, buckets)[number]
         own, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
         each = np.repeat(hot, self.size[hot])
         offset = np.arange(len(each)) - np.repeat(np.cumsum(self.size[hot]) - self.size[hot], self.size[hot])
@@ -170,10 +129,10 @@ class Strings(Runs):
         np.minimum.at(self.least, number, self.docs[self.at_row])
         anchor, alone = np.zeros(len(known), np.uint64), np.zeros(len(known), bool)
         anchor[number], alone[number] = self.anchor[run][order], single[order]
-        self.to, self.bits = _places(anchor, buckets)
+        self.to, self.bits = places(anchor, buckets)
         for k in np.flatnonzero(alone).tolist():  # a hot anchor's windows spread by all their bytes
             h = mix(np.frombuffer(self.strings[k] + bytes(-WINDOW % 8), "<u8") + np.arange(-(-WINDOW // 8), dtype=np.uint64)).sum(dtype=np.uint64)
-            (self.to[k],), (self.bits[k],) = _places(np.array([h], np.uint64), buckets)
+            (self.to[k],), (self.bits[k],) = places(np.array([h], np.uint64), buckets)
 
 
 def _tell(buckets: int):
@@ -182,7 +141,7 @@ def _tell(buckets: int):
     def tell(table: pa.Table, earlier: pa.Table) -> Entries:
         own = Strings(table, told(earlier), buckets)
         sizes = np.array([len(s) for s in own.strings], np.int64)
-        return [(int(own.to[k[0]]), _squeezed(_planes(k, own.bits[k], own.least[k], sizes[k]) + b"".join([own.strings[j] for j in k.tolist()]))) for k in _lots(own.to)]
+        return [(int(own.to[k[0]]), squeezed(planes(k, own.bits[k], own.least[k], sizes[k]) + b"".join([own.strings[j] for j in k.tolist()]))) for k in lots(own.to)]
 
     return tell
 
@@ -210,7 +169,7 @@ def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _meet(lot_bytes: int):
     def meet(bucket: int, entries: Entries) -> Entries:
         """A bucket: which windows of a block's strings a smaller document has too, as (string, first window, windows, document)."""
-        opened = [_numbers(zstandard.decompress(data), 4) for _, data in entries]
+        opened = [numbers(zstandard.decompress(data), 4) for _, data in entries]
         number, bits, least, size = (np.concatenate([o[0][k] for o in opened]) for k in range(4))
         source = np.repeat(np.arange(len(entries)), [len(o[0][0]) for o in opened])
         known: dict[bytes, int] = {}
@@ -228,15 +187,15 @@ def _meet(lot_bytes: int):
         anchor[same] = bits
         found = [(np.arange(len(strings)), np.zeros(len(strings), np.int64), np.array([len(s) for s in strings], np.int64) - WINDOW + 1, first)]
         # strings of one anchor may share windows, others can't
-        lots, total = [[]], 0
-        for own in _lots(anchor):
+        sorted_together, total = [[]], 0
+        for own in lots(anchor):
             if len(own) > 1:
                 if total > lot_bytes:
-                    lots.append([])
+                    sorted_together.append([])
                     total = 0
-                lots[-1] += own.tolist()
+                sorted_together[-1] += own.tolist()
                 total += sum(len(strings[j]) + 1 for j in own.tolist())
-        for lot in lots:
+        for lot in sorted_together:
             if lot:
                 string, offset, group = equal_windows([strings[j] for j in lot])
                 string = np.array(lot)[string]
@@ -256,7 +215,7 @@ def _meet(lot_bytes: int):
         at = lo[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
         useful = doc[at] < least[entry]
         entry, at = entry[useful], at[useful]
-        return [(entries[source[entry[own[0]]]][0], b"w" + _squeezed(_planes(number[entry[own]], offset[at[own]], windows[at[own]], doc[at[own]]))) for own in _lots(source[entry])]
+        return [(entries[source[entry[own[0]]]][0], b"w" + squeezed(planes(number[entry[own]], offset[at[own]], windows[at[own]], doc[at[own]]))) for own in lots(source[entry])]
 
     return meet
 
@@ -265,7 +224,7 @@ def _cut(buckets: int):
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
         said = told(found)
         own = Strings(table, [(k, x) for k, x in said if x[:1] != b"w"], buckets)
-        opened = [_numbers(zstandard.decompress(x[1:]), 4)[0] for _, x in said if x[:1] == b"w"]
+        opened = [numbers(zstandard.decompress(x[1:]), 4)[0] for _, x in said if x[:1] == b"w"]
         number, offset, windows, doc = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*opened, strict=True) if opened else ((), (), (), ())))
         order = np.argsort(number, kind="stable")
         number, offset, windows, doc = number[order], offset[order], windows[order], doc[order]
@@ -320,7 +279,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = texts(docs, id_col, text_col)
     n = blocks(docs, BLOCK_BYTES)
     dealt = in_blocks(docs, n)
-    said = stored(exchanged(dealt, _ask(2 * n, hot), _answer(hot), n, 2 * n, fan), "anchors")
+    said = stored(exchanged(dealt, _ask(2 * n, hot), replier(_state(hot)), n, 2 * n, fan), "anchors")
     found = exchanged(dealt, _tell(2 * n), _meet(lot), n, 2 * n, fan, before=said)
     return answered(dealt, said.unionByName(found), n, _cut(2 * n), DEDUPED)
 
