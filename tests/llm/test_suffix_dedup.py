@@ -41,11 +41,15 @@ def test_a_windows_anchor_follows_from_its_bytes():
     data = bytes(r.choice(b"abcd ") for _ in range(5000))
     seen = {}
     for at in (0, 17, 1000):
-        first, size, anchor = s.anchors(data[at:])
+        part, first, size, anchor = s.anchors([data[at:]])
         assert size.sum() == len(data) - at - s.WINDOW + 1
         for f, n, a in zip(first, size, anchor, strict=True):
             for k in range(f, f + n):
                 assert seen.setdefault(at + k, a) == a
+    part, first, size, anchor = s.anchors([data[:300], b"", data[300:320], data[320:1320], data[1320:1360]])
+    assert size[part == 0].sum() == 251 and size[part == 3].sum() == 951 and set(part.tolist()) == {0, 3}
+    for p, f, n, a in zip(part, first, size, anchor, strict=True):
+        assert all(seen[(0, 0, 0, 320)[p] + k] == a for k in range(f, f + n))
 
 
 def brute(rows):
@@ -109,7 +113,10 @@ def test_equal_windows():
     string, offset, group = s.equal_windows(strings)
     for k, o, g in zip(string.tolist(), offset.tolist(), group.tolist(), strict=True):
         assert by.setdefault(g, strings[k][o : o + 50]) == strings[k][o : o + 50]
-    assert len(set(by.values())) == len(by) and len(string) == sum(len(x) - 49 for x in strings)
+    assert len(set(by.values())) == len(by)
+    windows = [x[o : o + 50] for x in strings for o in range(len(x) - 49)]
+    assert sorted(strings[k][o : o + 50] for k, o in zip(string, offset, strict=True)) == sorted(w for w in windows if windows.count(w) > 1)
+    assert len(s.equal_windows([b"a" * 50, b"b" * 50])[0]) == 0
 
 
 def test_odd_documents(spark, odd, nothing):

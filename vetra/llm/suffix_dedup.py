@@ -21,7 +21,9 @@ WINDOW = 50
 #: Bytes of an anchor: of the grams in a window the one with the least hash.
 GRAM = 24
 #: Bytes that are hashed at once; a place within them fits into PLACE_BITS.
-UNIT, PLACE_BITS = 1 << 16, 17
+UNIT, PLACE_BITS = 1 << 16, 18
+#: Odd numbers.
+MULTIPLIERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)))
 #: Input bytes of a block of documents.
 BLOCK_BYTES = 1 << 23
 #: The windows of an anchor with more documents than this, counted by block, travel one by one.
@@ -32,21 +34,30 @@ LAST = np.iinfo(np.int64).max
 DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, size, hash) of the runs of consecutive windows of data with one anchor. A window's anchor follows from its bytes alone."""
+def _mixed(words: np.ndarray, n: int, places: range) -> np.ndarray:
+    """A hash, at each of n places, of the 8-byte words that start so many bytes on."""
+    out = words[:n] * MULTIPLIERS[0]
+    for k, at in enumerate(places, 1):
+        out ^= out >> np.uint64(29)
+        out += words[at : at + n]
+        out *= MULTIPLIERS[k % len(MULTIPLIERS)]
+    return out
+
+
+def _words(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place, as a number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, first, size, hash) of the runs of consecutive windows of each part with one anchor. A window's anchor follows from its bytes alone."""
+    data = b"".join(parts)
     n = len(data) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+    words = _words(data) * MULTIPLIERS[-1]
     words ^= words >> np.uint64(31)
-    grams = words[: len(data) - GRAM + 1] * np.uint64(0xBF58476D1CE4E5B9)
-    grams += words[8 : len(data) - GRAM + 9]
-    grams *= np.uint64(0x94D049BB133111EB)
-    grams ^= grams >> np.uint64(29)
-    grams += words[16 : len(data) - GRAM + 17]
-    grams *= np.uint64(0x9E3779B97F4A7C15)
-    grams ^= grams >> np.uint64(32)
-    grams *= np.uint64(0xD6E8FEB86659FD93)
+    grams = _mixed(words, len(data) - GRAM + 1, range(8, GRAM - 7, 8))
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = grams & ~low
     least |= np.arange(len(grams), dtype=np.uint64)
@@ -54,8 +65,17 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while width < span:
         step = min(width, span - width)
         least, width = np.minimum(least[:-step], least[step:]), width + step
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return first, np.diff(np.append(first, n)), grams[(least[first] & low).astype(np.int64)]
+    sizes = np.array([len(x) for x in parts])
+    ends = np.cumsum(sizes)
+    new = np.append(True, least[1:] != least[:-1])
+    edges = np.concatenate([ends - sizes, ends - WINDOW + 1])  # from its last window on, a part's windows reach into the next one
+    new[edges[(edges >= 0) & (edges < n)]] = True
+    first = np.flatnonzero(new)
+    part = np.searchsorted(ends, first, "right")
+    own = first + WINDOW <= ends[part]
+    size = np.diff(np.append(first, n))[own]
+    first, part = first[own], part[own]
+    return part, first - (ends - sizes)[part], size, grams[(least[first] & low).astype(np.int64)]
 
 
 class Runs:
@@ -67,21 +87,44 @@ class Runs:
         ids = table.column("doc_id").combine_chunks()
         self.docs = np.asarray(ids.fill_null(LAST)) if len(ids) else np.zeros(0, np.int64)
         cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]]
+        for rows, starts, parts in self._units():
+            part, first, size, anchor = anchors(parts)
+            for to, x in zip(cols, (rows[part], starts[part] + first, size, anchor), strict=True):
+                to.append(x)
+        self.row, self.first, self.size, self.anchor = map(np.concatenate, cols)
+
+    def _units(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Texts, or overlapping parts of long ones, of about UNIT bytes together: their rows, where each starts, and their bytes."""
+        rows: list[int] = []
+        starts: list[int] = []
+        parts: list[bytes] = []
+        total = 0
         for k, data in enumerate(self.texts()):
             for at in range(0, max(len(data) - WINDOW + 1, 0), UNIT):
-                first, size, anchor = anchors(data[at : at + UNIT + WINDOW - 1])
-                for to, x in zip(cols, (np.full(len(first), k), first + at, size, anchor), strict=True):
-                    to.append(x)
-        self.row, self.first, self.size, self.anchor = map(np.concatenate, cols)
+                part = data[at : at + UNIT + WINDOW - 1] if len(data) > UNIT else data
+                rows.append(k)
+                starts.append(at)
+                parts.append(part)
+                total += len(part)
+                if total >= UNIT:
+                    yield np.array(rows), np.array(starts), parts
+                    rows, starts, parts, total = [], [], [], 0
+        if parts:
+            yield np.array(rows), np.array(starts), parts
 
     def texts(self) -> Iterator[bytes]:
         return (t.as_buffer().to_pybytes() for t in self.table.column("text").cast(pa.binary()))
 
     def of_anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct anchors, sorted; each run's number among them; how many rows have each."""
-        distinct, number = np.unique(self.anchor, return_inverse=True)
-        pairs = np.unique(number.astype(np.int64) * max(len(self.docs), 1) + self.row)
-        return distinct, number, np.bincount(pairs // max(len(self.docs), 1), minlength=len(distinct))
+        order = np.argsort(self.anchor, kind="stable")  # rows rise within an anchor
+        anchor, row = self.anchor[order], self.row[order]
+        new = np.append(True, anchor[1:] != anchor[:-1])[: len(order)]
+        place = np.cumsum(new) - 1
+        number = np.empty(len(order), np.int64)
+        number[order] = place
+        other = new | np.append(True, row[1:] != row[:-1])[: len(order)]
+        return anchor[new], number, np.bincount(place[other], minlength=int(new.sum()))
 
 
 def _ask(buckets: int, hot: int):
@@ -146,24 +189,47 @@ def _tell(buckets: int):
     return tell
 
 
-def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, class) of each window of the strings: equal windows have one class. By their suffix array."""
-    joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+def _repeated(strings: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The stretches of the strings whose windows' hashes are there twice or more, their strings, and where they start. No other window can have an equal."""
+    joined = b"".join(strings)
     sizes = np.array([len(s) for s in strings])
+    starts = np.cumsum(sizes) - sizes
+    h = _mixed(_words(joined), len(joined) - WINDOW + 1, [*range(8, WINDOW - 8, 8), WINDOW - 8])
+    at = np.arange(len(h))
+    string = np.searchsorted(starts, at, "right") - 1
+    own = np.flatnonzero(at + WINDOW <= (starts + sizes)[string])
+    order = np.argsort(h[own], kind="stable")
+    equal = h[own][order][1:] == h[own][order][:-1]
+    often = np.zeros(len(own), bool)
+    often[order[1:][equal]] = often[order[:-1][equal]] = True
+    first = own[often]
+    new = np.append(True, (first[1:] != first[:-1] + 1) | (string[first[1:]] != string[first[:-1]]))[: len(first)]
+    begin, end = first[new], np.append(first[:-1][new[1:]], first[-1:]) + WINDOW
+    return [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], string[begin], begin - starts[string[begin]]
+
+
+def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, class) of the windows that the strings have twice or more: equal ones have one class. By the suffix array of all stretches that may be repeated."""
+    parts, owner, start = _repeated(strings)
+    if not parts:
+        return (np.zeros(0, np.int64),) * 3
+    joined = b"\0".join(parts) + b"\0"
+    sizes = np.array([len(s) for s in parts])
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text = joined.astype(np.int32) + 2
+    text = np.frombuffer(joined, np.uint8).astype(np.int32) + 2
     text[starts + sizes] = 1
     text[-1] = 0
-    string = np.repeat(np.arange(len(sizes)), sizes + 1)
-    offset = np.arange(len(text)) - starts[string]
+    part = np.repeat(np.arange(len(sizes)), sizes + 1)
+    offset = np.arange(len(text)) - starts[part]
     order = suffix_array(text)
-    order = order[offset[order] + WINDOW <= sizes[string[order]]]
-    words = np.ndarray((len(joined) - 7,), "<u8", joined.tobytes(), strides=(1,))
-    same = np.ones(max(len(order) - 1, 0), bool)
+    order = order[offset[order] + WINDOW <= sizes[part[order]]]
+    words = _words(joined)
+    same = np.ones(len(order) - 1, bool)
     for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
         here = words[order + k]
         same &= here[1:] == here[:-1]
-    return string[order], offset[order], np.cumsum(np.append(True, ~same)) - 1 if len(order) else np.zeros(0, np.int64)
+    part, offset = part[order], offset[order]
+    return owner[part], start[part] + offset, np.cumsum(np.append(True, ~same)) - 1
 
 
 def _meet(lot_bytes: int):
@@ -199,7 +265,7 @@ def _meet(lot_bytes: int):
             if lot:
                 string, offset, group = equal_windows([strings[j] for j in lot])
                 string = np.array(lot)[string]
-                least_of = np.full(group[-1] + 1, LAST)
+                least_of = np.full(group[-1] + 1 if len(group) else 0, LAST)
                 np.minimum.at(least_of, group, first[string])
                 smaller = least_of[group] < first[string]
                 string, offset, doc = string[smaller], offset[smaller], least_of[group][smaller]
