@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetra.functions.numbers import ratio
+from vetra.operators.quantiles import quantiles as exact_quantiles
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -26,10 +27,8 @@ def weighted_fraction(part: Column, whole: Column) -> Column:
 
 def quantile_profile(df: DataFrame, keys: list[str], columns: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """A row for each key and column: n, minimum, quantiles by linear interpolation, maximum, mean, population deviation. Nulls are left out."""
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "column", "value").where("value is not null")
-    q = F.percentile("value", F.array(*map(F.lit, quantiles)))
-    out = long.groupBy(*keys, "column").agg(F.count("value").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), q.alias("_q"))
-    return out.select("*", *[F.col("_q")[k].alias(f"p{round(x * 100):02d}") for k, x in enumerate(quantiles)]).drop("_q")
+    out = exact_quantiles(df, keys, columns, quantiles)
+    return out.select(*keys, "column", "n", "minimum", "maximum", "mean", "deviation", *[F.col(f"q{k}").alias(f"p{round(x * 100):02d}") for k, x in enumerate(quantiles)])
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -126,7 +125,7 @@ def directory_summary(df: DataFrame, keys: list[str], size: str, duration: str,
     counted = df.groupBy(*keys, category).agg(F.count("*").alias("_n"))
     as_json = counted.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(category, F.lit("")), "_n"))))).alias("categories"))
     rows = df.groupBy(*keys).agg(
-        F.count("*").alias("row_count"), F.sum(size).alias("total_bytes"), F.sum(duration).alias("total_duration"), F.min(duration).alias("least_duration"), F.percentile(duration, F.lit(0.5)).alias("median_duration"),
-        F.max(duration).alias("greatest_duration"), *[F.count_if(c).alias(n) for n, c in flags.items()],
+        F.count("*").alias("row_count"), F.sum(size).alias("total_bytes"), F.sum(duration).alias("total_duration"), F.min(duration).alias("least_duration"), F.max(duration).alias("greatest_duration"), *[F.count_if(c).alias(n) for n, c in flags.items()],
     )
-    return rows.join(as_json, keys)
+    median = exact_quantiles(df, keys, [duration], (0.5,)).select(*keys, F.col("q0").alias("median_duration"))
+    return rows.join(as_json, keys).join(median, keys, "left")

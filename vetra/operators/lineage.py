@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetra.plans.storage import dropped, stored
+from vetra.storage import dropped, stored
 
 
 def crossings(df: DataFrame, group: str, split: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetra.operators.ordinals import numbered
+
 
 def _same(keys: list[str], a: str = "a", b: str = "b") -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys])
@@ -128,8 +130,8 @@ def probe(df: DataFrame, group: str, order: Column) -> DataFrame:
 
 
 def ordinals(df: DataFrame, group: list[str], order: list[Column], name: str = "ordinal", base: int = 1) -> DataFrame:
-    """Rows numbered within their group. A group is sorted by one task, so it must fit its disk."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) + (base - 1))
+    """Rows numbered within their group, a large group by several tasks."""
+    return numbered(df, order, group, name, base)
 
 
 def pairing_summary(generated: DataFrame, real: DataFrame, directory: str, key: str, expected: dict[str, int]) -> DataFrame:

@@ -1,17 +1,18 @@
 """Classification metrics over long tables (row, head, label, score), where a null label is unknown.
 
 All come from one aggregate of rows by (keys, head, score), so ties are one row, and a weight per row (as of a bootstrap
-replicate) is a matter of sums. Running counts over falling scores go in two levels: totals of SCORE_CELLS score ranges, then within a range;
-so no task sorts a whole head.
+replicate) is a matter of sums. Running counts over falling scores go by ranges of equal size (see ordinals.running_sums), so no task sorts a
+whole head, however its scores crowd.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetra.functions.numbers import ratio
+from vetra.operators.ordinals import running_sums
 
 # Heads in order, their weights, and which of them count by 1 - EER; the others count by AUC.
 HEADS = ("FILE_FAKE", "VOICE_FAKE", "MUSIC_FAKE", "VOICE_PRESENT", "MUSIC_PRESENT")
@@ -24,7 +25,6 @@ LABELS = {
     "fma-small": ("real", (0, None, 0, None, 1)),
     "aime-open-model-subset": ("synthetic", (1, None, 1, 0, 1)),
 }
-SCORE_CELLS = 4096
 CLIP = 1e-12
 
 
@@ -60,19 +60,10 @@ def by_score(long: DataFrame, keys: list[str], head: str = "head", label: str =
     return rows.groupBy(*keys, "head", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where("p + n > 0")
 
 
-def running(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """With tp and fp, the weights at this score or above; fb, the negative weight below; and the totals pos and neg."""
-    own = [*keys, "head"]
-    cell = scores.withColumn("cell", F.least(F.floor(F.col("s") * SCORE_CELLS), F.lit(SCORE_CELLS - 1)).cast("int"))
-    down = Window.partitionBy(*own).orderBy(F.desc("cell"))
-    before = lambda c: F.coalesce(F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    totals = cell.groupBy(*own, "cell").agg(F.sum("p").alias("cp"), F.sum("n").alias("cn"))
-    whole = Window.partitionBy(*own)
-    totals = totals.select(*own, "cell", before("cp").alias("ap"), before("cn").alias("an"), F.sum("cp").over(whole).alias("pos"), F.sum("cn").over(whole).alias("neg"))
-    inside = Window.partitionBy(*own, "cell").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    out = _with(cell, totals, [*own, "cell"])
-    out = out.withColumns({"tp": F.col("ap") + F.sum("p").over(inside), "fp": F.col("an") + F.sum("n").over(inside)})
-    return out.withColumn("fb", F.col("neg") - F.col("fp")).drop("ap", "an")
+def running(scores: DataFrame, keys: list[str], ranges: str | None = None) -> DataFrame:
+    """With tp and fp, the weights at this score or above; fb, the negative weight below; and the totals pos and neg. Scores go in ranges of equal size, however they crowd."""
+    out = running_sums(scores, [F.desc("s")], {"tp": "p", "fp": "n"}, [*keys, "head"], {"pos": "p", "neg": "n"}, ranges)
+    return out.withColumn("fb", F.col("neg") - F.col("fp"))
 
 
 def _bin(s: Column, bins: int) -> Column:

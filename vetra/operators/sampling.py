@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetra.functions.hashing import unit
 from vetra.operators.metrics import HEADS, composite, head_metrics
+from vetra.operators.ordinals import numbered
 
 #: Groups that exact draws are made for on the driver, at most.
 EXACT_GROUPS = 100_000
@@ -18,12 +19,8 @@ POISSON = tuple(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
 def evenly_spaced(df: DataFrame, group: list[str], order: list[Column], count: int) -> DataFrame:
-    """Of each group, `count` rows at even places in the order (the middle one for 1), rounded half to even. A smaller group fails.
-
-    A group is numbered by one task.
-    """
-    w = Window.partitionBy(*group)
-    rows = df.withColumns({"_at": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    """Of each group, `count` rows at even places in the order (the middle one for 1), rounded half to even. A smaller group fails."""
+    rows = numbered(df, order, group, "_at", 0, "_n")
     size = F.when(F.col("_n") >= count, F.col("_n")).otherwise(F.raise_error(F.lit("a group has too few rows")).cast("long"))
     places = F.array(F.floor(size / 2)) if count == 1 else F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.rint(i * (size - 1) / (count - 1)).cast("long"))
     return rows.where(F.array_contains(places, F.col("_at").cast("long"))).withColumnRenamed("_at", "position").drop("_n")
@@ -31,7 +28,7 @@ def evenly_spaced(df: DataFrame, group: list[str], order: list[Column], count: i
 
 def every_nth(df: DataFrame, order: list[Column], group: list[str], n: int) -> DataFrame:
     """Rows 0, n, 2n, ... of each group in the order."""
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).where(F.col("_at") % n == 0).withColumnRenamed("_at", "position")
+    return numbered(df, order, group, "position", 0).where(F.col("position") % n == 0)
 
 
 def best(df: DataFrame, order: list[Column]) -> DataFrame:

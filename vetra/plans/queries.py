@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetra.functions import classify, hashing, numbers, text
 from vetra.operators import aggregate, audio, checks, duplicates, lineage, lookup, metrics, sampling
 from vetra.plans import manifest
+from vetra.plans.registry import ORACLES, QUERIES, query, rounded, table
 from vetra.streaming import resume
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 SALT = "content-split-v1"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 def unit_sql(payload: str) -> str:
     return f"(('0x' || substr(sha256({payload}), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0"
 
@@ -323,7 +300,7 @@ def probe_records(spark, d):
 
 @query("SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS ordinal FROM supplier")
 def group_ordinals(spark, d):
-    return lookup.ordinals(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], [F.col("s_suppkey")])
+    return lookup.ordinals(table(spark, d, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], [F.col("s_suppkey")]).withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 # ---- aggregates ----
@@ -806,3 +783,6 @@ def training_manifest(spark, d):
     )
     names = ("ljspeech-1.1", "wavefake-1.2.0", "fma-small", "aime-open-model-subset")
     return manifest.build({n: base.where(F.col("doc_id") % 4 == k) for k, n in enumerate(names)}, SALT, dict.fromkeys(names, "/r"))
+
+
+from vetra.plans import distributed  # noqa: E402, F401 its queries register themselves

@@ -1,36 +1,5 @@
-"""Tables in the folder that driver and executors share."""
+"""The names of vetra.storage, for modules that import them from here."""
 
-from __future__ import annotations
+from vetra.storage import dropped, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not (own := getattr(spark, "_vetra_shared", None)):
-        own = spark._vetra_shared = tempfile.mkdtemp(prefix="vetra-")
-    return own
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._vetra_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a stored() table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._vetra_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["dropped", "shared_dir", "stored"]

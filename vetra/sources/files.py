@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetra.functions.classify import safe_member
+from vetra.sources.containers import as_batches, locator_contents, walk
+
+__all__ = ["archive_status", "files", "gzip_mtime", "id_lists", "json_config", "listing", "locator_contents", "npy_arrays", "zip_contents", "zip_members"]
 
 MEMBERS = "archive string, member string, depth int, compressed_bytes long, uncompressed_bytes long, crc32 string, compression int, external_attributes long, is_dir boolean, status string"
 CONTENTS = "archive string, member string, content binary, status string"
-#: Archives within archives are opened down to this depth; a deeper one is a row with the status TOO_DEEP.
-DEEPEST = 4
 
 
 def listing(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -32,32 +33,19 @@ def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFra
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def _entries(name: str, data: bytes, depth: int, nested: bool) -> Iterator[tuple]:
-    if depth > DEEPEST:
-        yield (name, *[None] * 8, "TOO_DEEP")
-        return
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for x in z.infolist():
-                yield (name, x.filename, depth, x.compress_size, x.file_size, f"{x.CRC:08x}", x.compress_type, x.external_attr, x.is_dir(), "OK")
-                if nested and x.filename.lower().endswith(".zip"):
-                    yield from _entries(f"{name}!/{x.filename}", z.read(x), depth + 1, nested)
-    except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
-        yield (name, *[None] * 8, "BAD_ZIP")
-
-
 def zip_members(archives: DataFrame, nested: bool = False) -> DataFrame:
-    """A row for each entry of ZIP files' directories (path, content), and of those within them if nested; with is_symlink and safe.
+    """A row for each entry of ZIP files' directories (path, content), and of those within them, to any depth, if nested; with is_symlink and safe.
 
-    status is OK; an archive that can't be read, or is too deep, has one row without a member, BAD_ZIP or TOO_DEEP.
+    status is OK; an archive that can't be read has one row without a member, BAD_ZIP, and one that holds itself is CYCLE. Here a file is one value; see containers.archives()
+    for files of any size.
     """
+    names = [f.split()[0] for f in MEMBERS.split(", ")]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for r in _entries(path, data.as_py(), 0, nested)]
-            cols = list(zip(*rows, strict=True)) or [()] * 10
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in MEMBERS.split(", ")])
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for found in as_batches(walk(io.BytesIO(data.as_py()), path, nested=nested, contents=False)):
+                    yield found.select(names)
 
     out = archives.select("path", "content").mapInArrow(members, MEMBERS)
     return out.withColumns({"is_symlink": F.shiftright("external_attributes", 16).bitwiseAND(0o170000) == 0o120000, "safe": safe_member(F.col("member"))})
@@ -143,33 +131,5 @@ def gzip_mtime(data: bytes) -> int:
     return int.from_bytes(data[4:8], "little")
 
 
-def locator_contents(spark: SparkSession, locators: DataFrame, column: str = "source_locator") -> DataFrame:
-    """Locators with kind, container and the bytes they point at. Each container is read once, by one task; kinds are read each by its own reader.
-
-    For Parquet locators, rows count from 0 and the bytes are audio.bytes.
-    """
-    from vetra.functions.classify import locator
-
-    own = locators.withColumn("_l", locator(F.col(column)))
-    containers = {r["kind"]: sorted(r["paths"]) for r in own.groupBy("_l.kind").agg(F.collect_set("_l.container").alias("paths")).collect()}
-    rest = locators.columns
-    local = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    out = None
-    for kind, paths in containers.items():
-        mine = own.where(F.col("_l.kind") == kind)
-        if kind == "file":
-            read = spark.read.format("binaryFile").load(paths).select(local(F.col("path")).alias("_c"), F.col("content"))
-            part = mine.join(read, local(F.col("_l.container")) == F.col("_c"), "left")
-        elif kind == "zip":
-            read = zip_contents(spark.read.format("binaryFile").load(paths)).select(local(F.col("archive")).alias("_c"), F.col("member").alias("_m"), "content")
-            part = mine.join(read, (local(F.col("_l.container")) == F.col("_c")) & (F.col("_l.member") == F.col("_m")), "left")
-        else:
-            read = spark.read.parquet(*paths).select(local(F.col("_metadata.file_path")).alias("_c"), F.col("_metadata.row_index").alias("_m"), F.col("audio.bytes").alias("content"))
-            part = mine.join(read, (local(F.col("_l.container")) == F.col("_c")) & (F.col("_l.row") == F.col("_m")), "left")
-        part = part.select(*rest, F.lit(kind).alias("kind"), F.col("_l.container").alias("container"), "content")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else locators.withColumns({"kind": F.lit(""), "container": F.lit(""), "content": F.lit(b"")}).limit(0)
-
-
 def json_config(text: str) -> dict:
     return json.loads(text)

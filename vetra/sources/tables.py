@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from vetra.operators.ordinals import in_ranges
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -22,16 +24,16 @@ def _fields(line: str) -> list[str]:
     return next(csv.reader([line.lstrip("﻿")]))
 
 
-def csv(spark: SparkSession, path: str, header: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def csv(spark: SparkSession, path: str, header: list[str] | None = None, partitions: int | None = None, multiline: bool = True) -> DataFrame:
     """A CSV file with a header, with or without byte order mark or gzip: all columns text, blanks null. Another header than the given one fails.
 
-    Gzip isn't splittable: give partitions to spread what one task reads.
+    Neither gzip nor a file that may have quoted line ends (multiline) is splittable: give partitions to spread what one task reads.
     """
     own = _fields(_first_lines(spark, path, 1)[0])
     if header is not None and own != header:
         raise ValueError(f"{path}: the header is {own}, not {header}")
     schema = StructType([StructField(c, StringType()) for c in own])
-    out = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
+    out = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, multiLine=multiline, quote='"', escape='"', mode="FAILFAST")
     return out.repartition(partitions) if partitions else out
 
 
@@ -59,10 +61,15 @@ def two_level_csv(spark: SparkSession, path: str, key: str = "track_id") -> Data
     return rows.where(F.col(f"`{key}`").rlike(r"^\d+$")).withColumn(key, F.col(f"`{key}`").cast("long"))
 
 
-def numbered_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """csv() with line_number, from 2 for the first row behind the header. A file is read by one task: lines count through it."""
-    rows = csv(spark, path, header).coalesce(1)
-    return rows.withColumn("line_number", F.monotonically_increasing_id() + 2)
+def numbered_csv(spark: SparkSession, path: str, header: list[str], multiline: bool = True) -> DataFrame:
+    """csv() with line_number, from 2 for the first row behind a file's header.
+
+    Quoted line ends make a file one task's work. Where there are none (multiline=False) a large file is split, and rows count through its splits. In a folder
+    each file counts for itself.
+    """
+    rows = csv(spark, path, header, multiline=multiline)
+    parts = rows.select(F.struct(*rows.columns).alias("_row"), F.col("_metadata.file_path").alias("_g0"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_at"))
+    return in_ranges(parts, ["_g0"], "line_number", 2)
 
 
 def checksum_list(spark: SparkSession, path: str) -> DataFrame:
