@@ -259,3 +259,18 @@ def test_audio_formulas():
     half = audio.log_mel(np.sin(np.arange(4000) / 3), 1600, audio.mel_filter())
     assert (half[:, 10:] == 0).all() and abs((half**2).sum() / (64 * 10 - 1) - 1) < 1e-9
     assert (audio.log_mel(np.ones(4000), 0, audio.mel_filter()) == 0).all()
+
+
+def test_manifest_with_blanks(spark):
+    """Blank artists, categories and providers give texts and flags, as from a table whose blanks are empty texts."""
+    from vetra.plans import manifest
+
+    row = {"track_id": "7", "component_id": "c", "relative_path": "x.mp3", "codec": "mp3", "sample_rate_hz": 1, "channels": 2, "decoded_duration_seconds": 1.5, "file_sha256": "s", "decoded_pcm_sha256": "p", "license_title": None, "license_url": "u", "license_category": None, "artist_id": None, "album_id": "b", "track_title": None, "strict_allowlist": "True", "decode_status": "OK"}
+    kinds = ", ".join(f"{k} {'int' if v in (1, 2) else 'double' if v == 1.5 else 'string'}" for k, v in row.items())
+    fma = manifest.homogenised(spark.createDataFrame([tuple(row.values())], kinds), "fma-small", manifest.RULES["fma-small"], "s", "/r").first()
+    assert (fma.attribution_text, fma.license_id) == ("FMA track 7:  / b / ", "")
+    assert (fma.attribution_required, fma.sharealike_required, fma.noncommercial_only, fma.changes_notice_required) == (True, False, False, True)
+    blank = spark.createDataFrame([(None, "OK", "True")], "id string, decode_status string, training_eligible string")
+    rest = ("provider", "semantic_group_sha256", "source_parquet", "row_in_parquet", "codec", "sample_rate_hz", "channels", "decoded_duration_seconds", "audio_sha256", "decoded_pcm_f32le_sha256", "license_source_url", "attribution_text")
+    aime = manifest.homogenised(blank.selectExpr("*", *[f"cast(null as string) {c}" for c in rest]), "aime-open-model-subset", manifest.RULES["aime-open-model-subset"], "s", "/r").first()
+    assert (aime.generator_or_provider, aime.provider_holdout_group, aime.content_group_key, aime.attribution_text) == ("", "aime-open-model-subset:", "aime-prompt:", "")

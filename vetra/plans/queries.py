@@ -754,12 +754,12 @@ def shard_integrity(spark, d):
 def _manifest_sql() -> str:
     """The rules by hand: one SELECT for each dataset, over the documents that stand for its inventory."""
     i, h = "doc_id::VARCHAR", "sha256(text)"
-    cat = "CASE doc_id % 3 WHEN 0 THEN 'ALLOW_CC0' WHEN 1 THEN 'ALLOW_BY_NC_SA' ELSE 'ALLOW_BY' END"
+    cat, made = "CASE WHEN doc_id % 7 = 0 THEN '' ELSE CASE doc_id % 3 WHEN 0 THEN 'ALLOW_CC0' WHEN 1 THEN 'ALLOW_BY_NC_SA' ELSE 'ALLOW_BY' END END", "CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END"
     own = {
         "ljspeech-1.1": ("real", i, "'ljspeech'", "'ljspeech_real'", f"'ljspeech:' || {i}", f"'/r/' || {i} || '.wav'", "'pcm_s16le'", "n_chars / 10.0", "'Public-Domain'", "'LJSpeech-1.1/README'", "false", "false", "false", "false", "''", "GO_LJSPEECH_PUBLIC_DOMAIN_TECHNICAL_PASS", "Keep with all WaveFake LJS variants by LJSpeech ID; transcript duplicates must not cross folds."),
-        "wavefake-1.2.0": ("synthetic", f"source || ':' || {i}", "lang", "source", f"lang || ':' || {i}", f"'zip:///r!/' || {i} || '.wav'", "'flac'", "n_chars / 10.0", "'CC-BY-SA-4.0'", "'WaveFake-1.2.0/LICENSE'", "true", "true", "false", "true", "'WaveFake, Joel Frank and Lea Schoenherr, CC BY-SA 4.0, DOI 10.5281/zenodo.5642694'", "GO_WAVEFAKE_CC_BY_SA_4_AFTER_EXACT_DEDUPLICATION", "Split by source ID; never split segments. Common Voice-prompt nested duplicate copies are excluded upstream."),
-        "fma-small": ("real", i, "'fma_music'", "'fma_real'", f"'fma:' || {i}", f"'/r/' || {i} || '.wav'", "'flac'", "n_chars / 5.0", "'title ' || lang", "'url ' || lang", f"{cat} <> 'ALLOW_CC0'", f"contains({cat}, '_SA')", f"contains({cat}, '_NC')", f"{cat} <> 'ALLOW_CC0'", f"'FMA track ' || {i} || ': a' || {i} || ' / b' || {i} || ' / t' || {i}", "GO_FMA_STRICT_ALLOWLIST_AND_DECODE_PASS", "Use artist-album connected component as the indivisible split group; ignore the original row-level split when it conflicts."),
-        "aime-open-model-subset": ("synthetic", i, "'aime_music'", "source", f"'aime-prompt:' || {h}", f"'parquet:///r/p' || lang || '#row=' || {i}", "'flac'", "n_chars / 5.0", "'CC-BY-4.0'", "'url ' || lang", "true", "false", "false", "true", "'by ' || source", "GO_AIME_DIRECT_CC_BY_4_ATTRIBUTION_TECHNICAL_PASS", "Split by normalized prompt/description identity; provider and shard/ID are shortcut-prone and require held-out evaluation."),
+        "wavefake-1.2.0": ("synthetic", f"source || ':' || {i}", "lang", made, f"lang || ':' || {i}", f"'zip:///r!/' || {i} || '.wav'", "'flac'", "n_chars / 10.0", "'CC-BY-SA-4.0'", "'WaveFake-1.2.0/LICENSE'", "true", "true", "false", "true", "'WaveFake, Joel Frank and Lea Schoenherr, CC BY-SA 4.0, DOI 10.5281/zenodo.5642694'", "GO_WAVEFAKE_CC_BY_SA_4_AFTER_EXACT_DEDUPLICATION", "Split by source ID; never split segments. Common Voice-prompt nested duplicate copies are excluded upstream."),
+        "fma-small": ("real", i, "'fma_music'", "'fma_real'", f"'fma:' || {i}", f"'/r/' || {i} || '.wav'", "'flac'", "n_chars / 5.0", "'title ' || lang", "'url ' || lang", f"{cat} <> 'ALLOW_CC0'", f"contains({cat}, '_SA')", f"contains({cat}, '_NC')", f"{cat} <> 'ALLOW_CC0'", f"'FMA track ' || {i} || ': ' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'a' || {i} END || ' / b' || {i} || ' / t' || {i}", "GO_FMA_STRICT_ALLOWLIST_AND_DECODE_PASS", "Use artist-album connected component as the indivisible split group; ignore the original row-level split when it conflicts."),
+        "aime-open-model-subset": ("synthetic", i, "'aime_music'", made, f"'aime-prompt:' || {h}", f"'parquet:///r/p' || lang || '#row=' || {i}", "'flac'", "n_chars / 5.0", "'CC-BY-4.0'", "'url ' || lang", "true", "false", "false", "true", "'by ' || source", "GO_AIME_DIRECT_CC_BY_4_ATTRIBUTION_TECHNICAL_PASS", "Split by normalized prompt/description identity; provider and shard/ID are shortcut-prone and require held-out evaluation."),
     }
     one = "SELECT '{0}' AS dataset, '{1}' AS label, {2} AS sample_id, {3} AS source_family, {4} AS generator_or_provider, {5} AS content_group_key, {18} AS recommended_content_split, '{0}:' || {4} AS provider_holdout_group, {6} AS source_locator, {7} AS codec, 16000 AS sample_rate_hz, 1 AS channels, {8} AS duration_seconds, " + "sha256(text) AS file_sha256, md5(text) AS pcm_sha256, {9} AS license_id, {10} AS license_source, {11} AS attribution_required, {12} AS sharealike_required, {13} AS noncommercial_only, {14} AS changes_notice_required, {15} AS attribution_text, 'PASS' AS technical_status, true AS training_eligible, '{16}' AS eligibility_reason, '{17}' AS leakage_notes FROM documents WHERE doc_id % 4 = {19} AND n_chars > 300 AND lang <> 'fr'"
     return " UNION ALL ".join(one.format(name, *v, split_sql(f"({v[4]})"), k) for k, (name, v) in enumerate(own.items()))
@@ -767,19 +767,20 @@ def _manifest_sql() -> str:
 
 @query(_manifest_sql())
 def training_manifest(spark, d):
-    """Documents that stand for the four inventories, a quarter each; those that are short or French aren't ready."""
+    """Documents that stand for the four inventories, a quarter each; those that are short or French aren't ready. Some have no artist, licence category or provider."""
     i, lang, h = F.col("doc_id").cast("string"), F.col("lang"), F.sha2("text", 256)
     status, flag = F.when(F.col("n_chars") > 300, "OK").otherwise("ERROR"), F.when(lang != "fr", "True").otherwise("False")
-    category = F.when(F.col("doc_id") % 3 == 0, "ALLOW_CC0").when(F.col("doc_id") % 3 == 1, "ALLOW_BY_NC_SA").otherwise("ALLOW_BY")
+    category = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 3 == 0, "ALLOW_CC0").when(F.col("doc_id") % 3 == 1, "ALLOW_BY_NC_SA").otherwise("ALLOW_BY")
+    made = F.when(F.col("doc_id") % 11 != 0, F.col("source"))
     also = lambda prefix: F.concat(F.lit(prefix), i)
     base = table(spark, d, "documents").select(
         "doc_id", "lang", "source", i.alias("id"), i.alias("track_id"), i.alias("component_id"), i.alias("source_id"), i.alias("row_in_parquet"), also("").alias("_"), F.concat(i, F.lit(".wav")).alias("relative_path"), F.concat(i, F.lit(".wav")).alias("zip_member"),
         status.alias("parse_status"), status.alias("decode_status"), flag.alias("metadata_present"), flag.alias("strict_allowlist"), F.when(status == "OK", flag).otherwise("False").alias("training_eligible"), F.lit("generated").alias("role"),
         F.lit(16000).alias("sample_rate_hz"), F.lit(1).alias("channels"), F.lit("flac").alias("codec"), (F.col("n_chars") / 10).alias("duration_seconds"), (F.col("n_chars") / 5).alias("decoded_duration_seconds"),
         h.alias("file_sha256"), h.alias("audio_sha256"), h.alias("semantic_group_sha256"), *[F.md5("text").alias(c) for c in ("pcm_sha256", "decoded_pcm_sha256", "decoded_pcm_f32le_sha256")],
-        lang.alias("source_family"), F.col("source").alias("generator"), F.col("source").alias("provider"), F.col("source").alias("dataset_dir"), F.concat(lang, F.lit(":"), i).alias("content_group_key"), F.concat(F.lit("p"), lang).alias("source_parquet"),
+        lang.alias("source_family"), made.alias("generator"), made.alias("provider"), F.col("source").alias("dataset_dir"), F.concat(lang, F.lit(":"), i).alias("content_group_key"), F.concat(F.lit("p"), lang).alias("source_parquet"),
         category.alias("license_category"), F.concat(F.lit("title "), lang).alias("license_title"), F.concat(F.lit("url "), lang).alias("license_url"), F.concat(F.lit("url "), lang).alias("license_source_url"),
-        also("a").alias("artist_id"), also("b").alias("album_id"), also("t").alias("track_title"), F.concat(F.lit("by "), "source").alias("attribution_text"),
+        F.when(F.col("doc_id") % 5 != 0, also("a")).alias("artist_id"), also("b").alias("album_id"), also("t").alias("track_title"), F.concat(F.lit("by "), "source").alias("attribution_text"),
     )
     names = ("ljspeech-1.1", "wavefake-1.2.0", "fma-small", "aime-open-model-subset")
     return manifest.build({n: base.where(F.col("doc_id") % 4 == k) for k, n in enumerate(names)}, SALT, dict.fromkeys(names, "/r"))
