@@ -103,3 +103,21 @@ def test_rows_of_one_id_and_long_texts(spark):
     text = item + " " + " ".join(f"w{k % 5000}" for k in range(60_000)) + " " + item.upper() + " " + " ".join(f"v{k % 700}" for k in range(60_000)) + " " + item
     rows = [(1, text), (1, "other words"), (None, item), (None, "no words"), (1, text)]
     assert got(spark, rows, [(1, item), (2, " ".join(f"v{k}" for k in range(40)))]) == brute(rows, [(1, item), (2, " ".join(f"v{k}" for k in range(40)))])
+
+
+def test_a_common_phrase_makes_no_pairs(spark, monkeypatch):
+    """An ordinary phrase in all items and documents: what meets stays within a few rows a document, with no hit, and the true hits are found."""
+    r = random.Random(11)
+    phrase = "which of the following statements is the most true"
+    say = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    docs = [(k, f"{say(20)} {phrase} {say(20)}") for k in range(400)]
+    items = [(k, f"{say(15)} {phrase} {say(15)}") for k in range(400)]
+    docs.append((400, items[7][1]))
+    rows = {}
+    real = d.stored
+    monkeypatch.setattr(d, "stored", lambda df, name: rows.setdefault(name, real(df, name)))
+    out = got(spark, docs, items)
+    assert [x for x in out if x[2]] == [(400, 39, 39, ["7"], True)]
+    assert rows["bench-hits"].count() == 27
+    tried, places = rows["bench-places"].agg(F.count("*"), F.sum(F.size("at"))).first()
+    assert 50 < tried <= len(docs) and places <= 2 * tried + 20  # each with 8 windows at most, whatever items have the phrase

@@ -13,7 +13,7 @@ GRAM = 6
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Low bits of a packed value: the gram's place in its text.
 PLACE_BITS = 30
-#: Rows of fingerprints, of at most 20 words each, that are broadcast; more are joined by a shuffle.
+#: Rows of fingerprints, or of windows of at most 13 words, that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -34,7 +34,7 @@ def _shape(window: int) -> tuple[int, int]:
 def winnowed(words: Column, window: int) -> Column:
     """Packed (hash, place) of the grams that are least in some window of grams; of equal ones, the leftmost.
 
-    A hash ignores case beyond A-Z too, so it may match more than the words do; extend() compares the words.
+    A hash ignores case beyond A-Z too, so it may match more than the words do; whole windows are compared by their words.
     """
     gram, span = _shape(window)
 
@@ -54,55 +54,51 @@ def winnowed(words: Column, window: int) -> Column:
     return F.array_distinct(doubled(packed, span, lambda x, y: F.least(x, y)))
 
 
-def fingerprints(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
-    """The benchmark's index: (segment, fp, window, words, at) with `at` the gram's place among the segment's words; (segment, item_id); the windows' lengths.
-
-    A segment holds all windows of an item that contain the gram. Equal segments of many items are one.
-    """
+def fingerprints(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """The benchmark's index: (fp, window), the fingerprints of windows of so many words; (id, hash, gist) of the distinct windows, with their words; (id, item_id); the windows' lengths."""
     items = stored(texts(benchmark, item_col, text_col).select(F.col("doc_id").alias("item_id"), _folded(words_of(F.col("text"))).alias("words")).where("size(words) > 0"), "bench")
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # 13 rows at most
-    parts = None
+    own = items.select("item_id", "words", F.least(F.size("words"), F.lit(WINDOW)).alias("window"))
+    lengths = sorted(r[0] for r in own.select("window").distinct().collect())  # 13 rows at most
+    prints = None
     for n in lengths:
-        gram, _ = _shape(n)
-        start = F.greatest(F.col("q") - (n - gram), F.lit(0))
-        own = items.where(f"least(size(words), {WINDOW}) = {n}").select("item_id", "words", F.explode(winnowed(F.col("words"), n)).alias("v"))
-        own = own.select("item_id", "words", F.shiftright("v", PLACE_BITS).alias("fp"), F.col("v").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("q"))
-        own = own.select("item_id", "fp", F.lit(n).alias("window"), F.slice("words", start + 1, F.least(F.size("words"), F.col("q") + n) - start).alias("words"), (F.col("q") - start).alias("at"))
-        own = own.where("size(words) >= window")  # an item's last places have values of fewer words than a gram
-        parts = own if parts is None else parts.unionByName(own)
-    if parts is None:
-        schema = "item_id long, fp long, window int, words array<string>, at int"
-        parts = benchmark.sparkSession.createDataFrame([], schema)
-    key = ["fp", "window", "words", "at"]
-    parts = stored(parts.distinct(), "bench-grams")
-    segments = stored(parts.select(*key).distinct().withColumn("segment", F.monotonically_increasing_id()), "bench-segments")
-    return segments, parts.join(segments, key).select("segment", "item_id").distinct(), lengths
-
-
-def places(docs: DataFrame, segments: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, h, at): of each document with a fingerprint of the index, all such, with their places. h is a hash of its text.
+        mine = own.where(F.col("window") == n).select(F.explode(winnowed(F.col("words"), n)).alias("v")).select(F.shiftright("v", PLACE_BITS).alias("fp"), F.lit(n).alias("window"))
+        prints = mine if prints is None else prints.unionByName(mine)
+    if prints is None:
+        prints = benchmark.sparkSession.createDataFrame([], "fp long, window int")
+    windows = own.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - F.col("window")), lambda i: _gist(F.slice("words", i + 1, F.col("window"))))).alias("gist")).distinct()
+    windows = stored(windows.withColumn("hash", F.xxhash64("gist")), "bench-windows")
+    distinct = stored(windows.select("hash", "gist").distinct().withColumn("id", F.monotonically_increasing_id()), "bench-distinct")
+    return stored(prints.distinct(), "bench-prints"), distinct, windows.join(distinct, ["hash", "gist"]).select("id", "item_id"), lengths
+
+
+def _gist(words: Column) -> Column:
+    """A window's words as one text; words have no spaces."""
+    return F.array_join(words, " ")
+
+
+def places(docs: DataFrame, prints: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, h, at): of each document with a fingerprint of the index, the places of all such, with the length of their windows. h is a hash of its text.
 
     Only hashes leave the texts here, so a document's words are never repeated for its fingerprints.
     """
     values = F.concat(*[winnowed(F.col("words"), n) for n in lengths])
     found = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")).select("doc_id", "h", F.explode(values).alias("v"))
     found = found.select("doc_id", "h", F.shiftright("v", PLACE_BITS).alias("fp"), F.col("v").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("p"))
-    known = small(segments.select("fp").distinct(), BROADCAST_ROWS)
-    return found.join(known, "fp", "left_semi").groupBy("doc_id", "h").agg(F.collect_set(F.struct("fp", "p")).alias("at"))
+    return found.join(small(prints, BROADCAST_ROWS), "fp").groupBy("doc_id", "h").agg(F.collect_set(F.struct("window", "p")).alias("at"))
+
+
+def around(words: Column, at: Column) -> Column:
+    """(first, window, gist) of the windows around the grams at these places: 8 of 13 words at most for each."""
 
+    def of(x: Column) -> Column:
+        reach = x["window"] - F.least(x["window"], F.lit(GRAM))
+        low = F.greatest(x["p"] - reach, F.lit(0))
+        high = F.least(x["p"], F.size(words) - x["window"])
+        part = _folded(F.slice(words, low + 1, x["p"] - low + x["window"]))
+        firsts = F.when(high >= low, F.sequence(low, F.greatest(high, low))).otherwise(F.array().cast("array<int>"))
+        return let(part, lambda own: F.transform(firsts, lambda s: F.struct(s.alias("first"), x["window"].alias("window"), _gist(F.slice(own, s - low + 1, x["window"])).alias("gist"))))
 
-def extend(matches: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256, segment, first, window): the first words, in the document, of windows around a matched gram that agree word by word."""
-    shift = F.col("p") - F.col("low") - F.col("at")  # the segment's first word, in the part
-    local = F.transform(F.col("bench_words"), lambda w, j: F.translate(F.when(shift + j >= 0, F.get(F.col("part"), F.greatest(shift + j, F.lit(0)))), UPPER, LOWER) == w)
-    starts = let(
-        local,
-        lambda same: F.filter(
-            F.sequence(F.lit(0), F.size("bench_words") - F.col("window")),
-            lambda s: F.forall(F.slice(same, s + 1, F.col("window")), lambda x: F.coalesce(x, F.lit(False))),
-        ),
-    )
-    return matches.select("doc_id", "text_sha256", "segment", "window", F.explode(F.transform(starts, lambda s: s + shift + F.col("low"))).alias("first"))
+    return F.flatten(F.transform(at, of))
 
 
 def _covered(windows: str) -> Column:
@@ -123,29 +119,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (n_hit > 0 and 20 * n_hit >= n_words).
 
     Winnowing keeps the least 6-gram hash of each 13-word window on both sides, so every window that both share has a
-    shared fingerprint; matches are extended and compared word by word. Fingerprints of the benchmark are broadcast if
-    there are BROADCAST_ROWS at most, else joined by a shuffle. Only documents with a shared fingerprint are read
-    again, each once, and the words around each place are cut out before they are joined, so work grows with a text's length.
+    shared fingerprint. A match is extended to the windows around it, 8 at most, which meet the benchmark's windows by their hashes and words. So
+    a phrase that very many items and documents have makes no pairs of them: only windows that are the same meet. Fingerprints and windows of the
+    benchmark are broadcast if there are BROADCAST_ROWS at most, else joined by a shuffle. Only documents with a shared fingerprint are read again, each once.
 
     Null or empty texts have no words, no hit. Items without words never match. Each row is judged by its own text, whatever
     ids are null or repeat; a null item_id is left out of items. Empty tables: no rows, or no hits.
     """
     docs = texts(docs, id_col, text_col)
-    segments, owners, lengths = fingerprints(benchmark, item_col)
+    prints, windows, owners, lengths = fingerprints(benchmark, item_col)
     counted = docs.select("doc_id", sha().alias("text_sha256"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     if not lengths:
         return counted.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
-    found = stored(places(docs, segments, lengths), "bench-places")
+    found = stored(places(docs, prints, lengths), "bench-places")
     own = perhaps(docs.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], found).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.h = f.h"))
     own = own.select("d.doc_id", sha().alias("text_sha256"), words_of(F.col("text")).alias("words"), "at")
-    reach = WINDOW - 1
-    low = lambda x: F.greatest(x["p"] - reach, F.lit(0))
-    cut = F.transform("at", lambda x: F.struct(x["fp"].alias("fp"), x["p"].alias("p"), low(x).alias("low"), F.slice("words", low(x) + 1, x["p"] - low(x) + WINDOW).alias("part")))
-    cut = own.select("doc_id", "text_sha256", F.explode(cut).alias("x")).select("doc_id", "text_sha256", "x.*")
-    hits = stored(extend(cut.join(small(segments.withColumnRenamed("words", "bench_words"), BROADCAST_ROWS), "fp")), "bench-hits")
+    tried = own.select("doc_id", "text_sha256", F.explode(around(F.col("words"), F.col("at"))).alias("x")).select("doc_id", "text_sha256", "x.*").withColumn("hash", F.xxhash64("gist"))
+    hits = stored(tried.join(small(windows, BROADCAST_ROWS), ["hash", "gist"]).select("doc_id", "text_sha256", "first", "window", "id").distinct(), "bench-hits")
     key = ["doc_id", "text_sha256"]
     by_doc = hits.groupBy(*key).agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 4).bitwiseOR(F.col("window").cast("long"))).alias("windows")).select(*key, _covered("windows").alias("n_hit"))
-    items = hits.select(*key, "segment").distinct().join(small(owners, BROADCAST_ROWS), "segment").where("item_id is not null").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = hits.select(*key, "id").distinct().join(small(owners, BROADCAST_ROWS), "id").where("item_id is not null").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     both = by_doc.alias("a").join(items.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_sha256 = b.text_sha256"), "left").select("a.*", "items")
     out = counted.alias("a").join(both.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_sha256 = b.text_sha256"), "left")
     out = out.select("a.doc_id", "a.text_sha256", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
