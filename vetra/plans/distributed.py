@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vetra.operators import folds, lookup, metrics, pages, quads, quantiles, replicates, sampling
+from vetra.operators import calibration, folds, lookup, metrics, pages, quads, quantiles, replicates, sampling
 from vetra.plans.queries import _LONG, _REPLICATES, ORACLES, _heads, metrics_sql, unit_sql
 from vetra.plans.registry import query, rounded, table
 from vetra.sources import containers
@@ -153,3 +153,12 @@ round(avg(rest_eer), 9) AS rest_macro_eer, round(max(rest_eer), 9) AS rest_worst
 def worst_folds(spark, d):
     out = folds.worst_fold(folds.leave_out(_heads(spark, d), "source"))
     return rounded(out, "held_macro_eer", "held_worst_eer", "rest_macro_eer", "rest_worst_eer", digits=9)
+
+
+@query()
+def temperature_scaling(spark, d):
+    """Each head's best temperature, for logits of the scores; SQL has no minimum to look for (tests do, by a grid)."""
+    long = _heads(spark, d).where("score > 0 and score < 1 and label is not null")
+    pulled = (0.2 * F.col("label") + 0.8 * F.col("score")).alias("s")
+    logits = long.select("head", "label", pulled).withColumn("logit", F.ln(F.col("s") / (1 - F.col("s"))))
+    return rounded(calibration.temperatures(logits), "temperature", "loss_before", "loss_after", digits=9)
