@@ -87,23 +87,29 @@ def pure_groups(df: DataFrame, json: str, rows: str, least: int) -> DataFrame:
 def table_profile(df: DataFrame, id_column: str, numeric: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
     """One row: rows, repeated rows, repeated ids, blank cells, cells that are no number or out of range, constant columns.
 
-    Rows are counted by a hash of all columns, so repeats meet in partial aggregates.
+    Rows are counted by a hash of 128 bits of all columns, ids apart from them, so that no row is repeated for a distinct count; constant columns show by the least and
+    greatest hash of their values.
     """
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     number = lambda c: F.col(c).try_cast("double")
     total = lambda f, cols: sum((F.count_if(f(c)) for c in cols), F.lit(0))
     blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
-    marked = df.withColumn("_row", F.sha2(F.concat_ws("\0", *texts), 256))
-    constant = F.array_compact(F.array(*[F.when(F.min(F.col(c).cast("string")).eqNullSafe(F.max(F.col(c).cast("string"))), c) for c in df.columns]))
-    return marked.agg(
+    value = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c).cast("string")))
+    constant = F.array_compact(F.array(*[F.when(F.min(value(c)).eqNullSafe(F.max(value(c))) & F.count(c).isin(0, F.count("*")), c) for c in df.columns]))
+    rows = df.agg(
         F.count("*").alias("row_count"),
-        (F.count("*") - F.count_distinct("_row")).alias("repeated_rows"),
-        (F.count(id_column) - F.count_distinct(id_column)).alias("repeated_ids"),
+        F.count(id_column).alias("_ids"),
         total(blank, df.columns).alias("blank_cells"),
         total(lambda c: ~blank(c) & number(c).isNull(), numeric).alias("non_numeric_cells"),
         total(lambda c: number(c).isNotNull() & ~number(c).between(low, high), numeric).alias("out_of_range_cells"),
         F.array_join(constant, ";").alias("constant_columns"),
     )
+    distinct = lambda own, name: own.distinct().agg(F.count("*").alias(name))
+    kinds = distinct(df.select(F.xxhash64(F.lit(1), *texts).alias("a"), F.xxhash64(F.lit(2), *texts).alias("b")), "_kinds")
+    ids = distinct(df.where(F.col(id_column).isNotNull()).select(id_column), "_distinct_ids")
+    one = lambda own: own.withColumn("_one", F.lit(1))  # noqa: E731 one row each
+    out = one(rows).join(one(kinds), "_one").join(one(ids), "_one")
+    return out.select("row_count", (F.col("row_count") - F.col("_kinds")).alias("repeated_rows"), (F.col("_ids") - F.col("_distinct_ids")).alias("repeated_ids"), "blank_cells", "non_numeric_cells", "out_of_range_cells", "constant_columns")
 
 
 def member_summary(df: DataFrame, group: str, member: str, kind: str, expected: dict[str, int], order: str, default: int = 1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vetra.operators.pages import PAGE, paged
+
 
 def duplicate_groups(df: DataFrame, key: str, member: str, empty: str | None = None) -> DataFrame:
     """Keys of more than one row: member_count and the sorted members joined by ;. Null keys, and the key of empty content, are left out."""
@@ -14,6 +16,14 @@ def duplicate_groups(df: DataFrame, key: str, member: str, empty: str | None = N
     return own.join(repeated, key, "left_semi").groupBy(key).agg(F.count("*").alias("member_count"), F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ";").alias("members"))
 
 
+def duplicate_pages(df: DataFrame, key: str, member: str, empty: str | None = None, size: int = PAGE) -> DataFrame:
+    """duplicate_groups() with the members in pages of so many, for groups of any size."""
+    own = df.where(F.col(key).isNotNull())
+    own = own.where(F.col(key) != empty) if empty is not None else own
+    repeated = own.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    return paged(own.join(repeated, key, "left_semi"), key, member, size)
+
+
 def duplicate_rollup(df: DataFrame, key: str) -> DataFrame:
     """One row: groups of more than one row, their rows, rows beyond the first of each, and the largest."""
     n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetra.operators.ordinals import numbered
+from vetra.operators.pages import PAGE, paged
 
 
 def _same(keys: list[str], a: str = "a", b: str = "b") -> Column:
@@ -49,8 +50,9 @@ def two_tiers(left: DataFrame, right: DataFrame, exact: tuple[str, str], normal:
     exact, normal: the keys' columns in left and right. Adds tier (EXACT, NORMALIZED, NONE), match_count, match_id (of a single match)
     and status (UNIQUE, AMBIGUOUS, UNMATCHED). An empty normalised key matches nothing.
     """
-    tier = lambda k, n: right.where(F.col(k[1]).isNotNull() & (F.col(k[1]) != "")).groupBy(F.col(k[1]).alias(f"_{n}")).agg(F.count("*").alias(f"_{n}_n"), F.min(right_id).alias(f"_{n}_id"))
-    out = left.join(tier(exact, "e"), F.col(exact[0]) == F.col("_e"), "left").join(tier(normal, "m"), F.col(normal[0]) == F.col("_m"), "left")
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)  # noqa: E731 long texts meet by their digests
+    tier = lambda k, n: right.where(F.col(k[1]).isNotNull() & (F.col(k[1]) != "")).groupBy(digest(k[1]).alias(f"_{n}")).agg(F.count("*").alias(f"_{n}_n"), F.min(right_id).alias(f"_{n}_id"))
+    out = left.join(tier(exact, "e"), digest(exact[0]) == F.col("_e"), "left").join(tier(normal, "m"), digest(normal[0]) == F.col("_m"), "left")
     n = F.coalesce("_e_n", "_m_n", F.lit(0))
     out = out.withColumns({
         "tier": F.when(F.col("_e_n").isNotNull(), "EXACT").when(F.col("_m_n").isNotNull(), "NORMALIZED").otherwise("NONE"),
@@ -61,6 +63,19 @@ def two_tiers(left: DataFrame, right: DataFrame, exact: tuple[str, str], normal:
     return out.drop("_e", "_e_n", "_e_id", "_m", "_m_n", "_m_id")
 
 
+def inverted_pages(df: DataFrame, key: str, value: str, size: int = PAGE) -> DataFrame:
+    """inverted_index() in pages of so many values, for keys of any number."""
+    return paged(df, key, value, size, distinct=True)
+
+
+def match_pages(left: DataFrame, right: DataFrame, key: str, right_id: str, size: int = PAGE) -> DataFrame:
+    """multiplicity() with the ids in pages: match_count and status of each row of left, a row for each page of ids; without a match, one with no page."""
+    found = paged(right, key, right_id, size).select(F.col(key).alias("_key"), "page", F.col("member_count").alias("match_count"), F.col("members").alias("match_ids"))
+    out = left.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
+    n = F.coalesce("match_count", F.lit(0))
+    return out.withColumns({"match_count": n, "status": F.when(n == 1, "UNIQUE").when(n > 1, "AMBIGUOUS").otherwise("EXTRA")})
+
+
 def inverted_index(df: DataFrame, key: str, value: str) -> DataFrame:
     """Of each key, the sorted distinct values."""
     return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("members"))

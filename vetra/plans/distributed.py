@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vetra.operators import calibration, folds, lookup, metrics, pages, quads, quantiles, replicates, sampling
+from vetra.operators import calibration, duplicates, folds, lookup, metrics, pages, quads, quantiles, replicates, sampling
 from vetra.plans.queries import _LONG, _REPLICATES, ORACLES, _heads, metrics_sql, unit_sql
 from vetra.plans.registry import query, rounded, table
 from vetra.sources import containers
@@ -68,6 +68,27 @@ def paged_members(spark, d):
     return out.withColumn("members", F.array_join("members", ";"))
 
 
+@query("SELECT c_custkey, coalesce(n, 0)::BIGINT AS match_count, CASE WHEN n IS NULL THEN 'EXTRA' WHEN n = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status, page, ids AS match_ids FROM customer LEFT JOIN (SELECT o_custkey, n, (o - 1) // 5 AS page, string_agg(o_orderkey::VARCHAR, ';' ORDER BY o_orderkey) AS ids FROM (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS o FROM orders) GROUP BY ALL) ON c_custkey = o_custkey")
+def match_pages(spark, d):
+    """Customers with their orders, five to a page."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    out = lookup.match_pages(table(spark, d, "customer").select("c_custkey"), o, "c_custkey", "o_orderkey", 5)
+    return out.withColumns({"match_count": F.col("match_count").cast("long"), "match_ids": F.array_join("match_ids", ";")})
+
+
+@query("SELECT sha256(text) AS text_sha256, (o - 1) // 3 AS page, ceil(n / 3)::BIGINT AS page_count, n AS member_count, string_agg(doc_id::VARCHAR, ';' ORDER BY doc_id) AS members FROM (SELECT text, doc_id, count(*) OVER (PARTITION BY text) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS o FROM documents) WHERE n > 1 GROUP BY ALL")
+def duplicate_pages(spark, d):
+    """Documents of equal texts, three to a page."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return duplicates.duplicate_pages(docs, "text_sha256", "doc_id", size=3).withColumn("members", F.array_join("members", ";"))
+
+
+@query("SELECT l_partkey, (o - 1) // 4 AS page, ceil(n / 4)::BIGINT AS page_count, n AS member_count, string_agg(l_suppkey::VARCHAR, ';' ORDER BY l_suppkey) AS members FROM (SELECT l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_partkey) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS o FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) GROUP BY ALL")
+def inverted_pages(spark, d):
+    """Each part's suppliers, four to a page."""
+    return lookup.inverted_pages(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", 4).withColumn("members", F.array_join("members", ";"))
+
+
 # ---- quads ----
 
 _QUADS, _EPOCHS = 2_000, (0, 3)
