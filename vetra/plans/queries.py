@@ -786,4 +786,4 @@ def training_manifest(spark, d):
     return manifest.build({n: base.where(F.col("doc_id") % 4 == k) for k, n in enumerate(names)}, SALT, dict.fromkeys(names, "/r"))
 
 
-from vetra.plans import distributed, formats  # noqa: E402, F401 their queries register themselves
+from vetra.plans import distributed, formats, reports  # noqa: E402, F401 their queries register themselves
