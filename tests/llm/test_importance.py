@@ -77,3 +77,20 @@ def test_slices(size, monkeypatch):
     parts = list(m._slices(batch))
     assert [t for p in parts for t in p.column("text").to_pylist()] == texts
     assert all(p.num_rows == 1 or sum(len(t.encode()) for t in p.column("text").to_pylist()) <= size for p in parts)
+
+
+@pytest.mark.parametrize("size", [1, 50, 1000])
+def test_long_texts_in_pieces(size, monkeypatch):
+    """Pairs across pieces count, separators and long words at the edges don't."""
+    import duckdb
+    import numpy as np
+
+    monkeypatch.setattr(m, "SLICE_BYTES", size)
+    r = random.Random(size)
+    with duckdb.connect() as db:
+        db.create_function("zlib_crc32", m.crc32, ["VARCHAR"], "BIGINT", type="arrow")
+        for text in ("", "...", "one", "  A-b  c ", "x" * 3000, "Été " * 300, " ".join("w" * r.randint(1, 90) + r.choice([" ", "--", "Z"]) for _ in range(200)), "  " * 800 + "end", "a" + " " * 2500 + "b"):
+            want = np.zeros(m.BUCKETS, np.int64)
+            for g in features(text)[1]:
+                want[zlib.crc32(g.encode()) % 10000] += 1
+            assert (m._long(db, text.encode()) == want).all(), text[:50]

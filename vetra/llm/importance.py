@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from contextlib import closing
@@ -21,8 +22,11 @@ BUCKETS = 10_000
 #: Words that a document must have to be drawn, and the share of such documents that is drawn, in hundredths.
 LEAST_WORDS, PERCENT = 20, 25
 SEED = 7
-#: Bytes of text that DuckDB counts at once, but for a longer single text, and the memory that it may take. It has no folder to spill to.
-SLICE_BYTES, MEMORY = 1 << 21, "600MB"
+#: Bytes of text that DuckDB counts at once, but for a longer word, and the memory that it may take. It has no folder to spill to.
+SLICE_BYTES, MEMORY = 1 << 20, "400MB"
+#: What lies between words, once A-Z are lower-cased.
+BETWEEN = rb"\x00-\x2F\x3A-\x60\x7B-\x7F"
+_GAP, _FIRST, _LAST = re.compile(rb"[%b]" % BETWEEN), re.compile(rb"[^%b]+" % BETWEEN), re.compile(rb"[^%b]+(?=[%b]*\Z)" % (BETWEEN, BETWEEN))
 COUNTED = "doc_id long, n_words long, n_features long, buckets array<int>, counts array<long>, total boolean"
 
 #: A text's words, its runs of one and two words, and how many of these each bucket holds. Rows come in the order of their texts, so the next word is one row on.
@@ -55,6 +59,36 @@ def _lists(place: np.ndarray, rows: int, values: np.ndarray, kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, kind))
 
 
+def _found(db: duckdb.DuckDBPyConnection, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bucket, n) of the texts' grams."""
+    db.register("slice", pa.table({"place": pa.array(np.arange(len(texts_))), "text": texts_}))
+    found = db.sql(GRAMS).to_arrow_table()
+    db.unregister("slice")
+    return tuple(np.asarray(found.column(c), np.int64) for c in ("place", "bucket", "n"))
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A lower-cased text in pieces of about SLICE_BYTES that end between words."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + SLICE_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _long(db: duckdb.DuckDBPyConnection, text: bytes) -> np.ndarray:
+    """The buckets' counts of a long text, piece by piece, with the pairs of words across pieces."""
+    out, before = np.zeros(BUCKETS, np.int64), None
+    for piece in _pieces(text.lower()):
+        _, bucket, n = _found(db, pa.array([piece], pa.binary()).cast(pa.string()))
+        out += np.bincount(bucket, n, BUCKETS).astype(np.int64)
+        if before is not None and (first := _FIRST.search(piece)):
+            out[zlib.crc32(before + b" " + first[0]) % BUCKETS] += 1
+        before = last[0] if (last := _LAST.search(piece)) else before
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text; at the end one for the partition, with the sum of its buckets."""
     whole, names = np.zeros(BUCKETS, np.int64), [c.split()[0] for c in COUNTED.split(", ")]
@@ -63,12 +97,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
                 rows = part.num_rows
-                db.register("slice", pa.table({"place": pa.array(np.arange(rows)), "text": part.column("text")}))
-                found = db.sql(GRAMS).to_arrow_table()
-                db.unregister("slice")
-                place, bucket, n = (np.asarray(found.column(c), np.int64) for c in ("place", "bucket", "n"))
-                order = np.argsort(place * BUCKETS + bucket)
-                place, bucket, n = place[order], bucket[order], n[order]
+                if rows == 1 and (text := part.column("text")[0].as_buffer()).size > SLICE_BYTES:
+                    n = _long(db, text.to_pybytes())
+                    bucket = np.flatnonzero(n)
+                    place, n = np.zeros(len(bucket), np.int64), n[bucket]
+                else:
+                    place, bucket, n = _found(db, part.column("text"))
+                    order = np.argsort(place * BUCKETS + bucket)
+                    place, bucket, n = place[order], bucket[order], n[order]
                 whole += np.bincount(bucket, n, BUCKETS).astype(np.int64)
                 features = np.bincount(place, n, rows).astype(np.int64)
                 words = (features + 1) // 2  # a text of w words has w single ones and w - 1 pairs
@@ -128,7 +164,7 @@ def importance_resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_i
     score adds a Gumbel draw from a hash of the id, so the highest scores are a weighted draw. Ranks come from ranges of the order.
 
     Null and empty texts have no features, weight 0, and aren't drawn. A null doc_id draws as an empty one and comes last among ties. Repeated rows each
-    have a row; they tie. A very long text is counted whole, alone, within DuckDB's memory. An empty target or table is all zeros; no rows from no rows.
+    have a row; they tie. A very long text is counted piece by piece, whole. An empty target or table is all zeros; no rows from no rows.
     Only the two columns are read, so others may have any names.
     """
     own = bucket_counts(texts(docs, id_col, text_col), "bucket-counts")
