@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vetra.functions.hashing import unit
 from vetra.operators.metrics import HEADS, composite, head_metrics
 from vetra.operators.ordinals import numbered
+from vetra.storage import stored
 
 #: Groups that exact draws are made for on the driver, at most.
 EXACT_GROUPS = 100_000
@@ -86,15 +87,16 @@ def strata_summary(df: DataFrame, stratum: str, group: str) -> DataFrame:
 def balanced_sample(df: DataFrame, stratum: str, group: str, record: str, draws: int, seed: int, epoch: int = 0) -> DataFrame:
     """(stratum, draw, group, record): of each stratum `draws` records with replacement, group first, by hashes.
 
-    A stratum's list of group keys, and a group's list of records, is a row each; they must fit into a task.
+    Groups are numbered within their stratum by ranges, and so are the records of drawn groups, which alone are shuffled; neither a stratum's groups nor a group's records are one row or one task.
     """
     u = lambda *parts: unit(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
-    base = df.where(F.col(stratum).isNotNull() & F.col(group).isNotNull()).select(F.col(stratum).alias("stratum"), F.col(group).cast("string").alias("grp"), F.col(record).cast("string").alias("rec"))
-    groups = base.groupBy("stratum").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
-    picks = groups.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    at = F.floor(u(seed, epoch, F.col("stratum"), F.col("draw").cast("string")) * F.size("groups")).cast("int")
-    picks = picks.select("stratum", "draw", F.get("groups", at).alias("grp"))
-    members = base.groupBy("stratum", "grp").agg(F.array_sort(F.collect_list("rec")).alias("records"))
-    at = F.floor(u(seed, epoch, F.col("stratum"), F.col("draw").cast("string"), "record") * F.size("records")).cast("int")
-    return picks.join(members, ["stratum", "grp"]).select("stratum", "draw", F.col("grp").alias("group"), F.get("records", at).alias("record"))
-
+    base = df.where(F.col(stratum).isNotNull() & F.col(group).isNotNull() & F.col(record).isNotNull()).select(F.col(stratum).alias("stratum"), F.col(group).cast("string").alias("grp"), F.col(record).cast("string").alias("rec"))
+    groups = numbered(base.select("stratum", "grp").distinct(), [F.col("grp")], ["stratum"], "at", 0, "size")
+    drawn = groups.select("stratum", "size").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    at = F.floor(u(seed, epoch, F.col("stratum"), F.col("draw").cast("string")) * F.col("size"))
+    picks = stored(drawn.select("stratum", "draw", at.alias("at")).join(groups.drop("size"), ["stratum", "at"]).select("stratum", "draw", "grp"), "drawn-groups")
+    members = numbered(base.join(picks.select("stratum", "grp").distinct(), ["stratum", "grp"], "left_semi"), [F.col("rec")], ["stratum", "grp"], "at", 0, "size")
+    sizes = members.select("stratum", "grp", "size").distinct()
+    at = F.floor(u(seed, epoch, F.col("stratum"), F.col("draw").cast("string"), "record") * F.col("size"))
+    chosen = picks.join(sizes, ["stratum", "grp"]).select("stratum", "grp", "draw", at.alias("at"))
+    return chosen.join(members.drop("size"), ["stratum", "grp", "at"]).select("stratum", "draw", F.col("grp").alias("group"), F.col("rec").alias("record"))
