@@ -206,3 +206,14 @@ def test_folds_by_subtraction(spark, crowd):
     assert not got
     worst = {r["head"]: r for r in folds.worst_fold(folds.leave_out(long, "fold")).collect()}
     assert worst["FILE_FAKE"].fold_count == 4 and worst["FILE_FAKE"].held_worst_fold in "abcd" and worst["X"].held_worst_fold == "all"
+
+
+def test_stored_tables_are_cleared(spark, tmp_path):
+    from vetra import storage
+
+    own = storage.stored(spark.range(3), "mine")
+    other = storage.stored(spark.range(3), "other")
+    storage.dropped(other)
+    assert own.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="does not exist|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.parquet(own._vetra_path).count()

@@ -27,10 +27,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vetra_path = path
+    _kept(spark).add(path)
     return out
 
 
+def _kept(spark: SparkSession) -> set[str]:
+    if not hasattr(spark, "_vetra_stored"):
+        spark._vetra_stored = set()
+    return spark._vetra_stored
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _kept(spark).discard(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._vetra_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _deleted(df.sparkSession, df._vetra_path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all stored() tables of this session; how many. Call it when the results that read them, lazily, are written."""
+    paths = list(_kept(spark))
+    for path in paths:
+        _deleted(spark, path)
+    return len(paths)
