@@ -94,7 +94,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fingerprint (or one doc_id have several texts), that group is parted by SHA-256.
 
     Null counts as the empty text. Rows that repeat one doc_id and text are each kept if that id stays. A null
-    doc_id never wins against another; a group of null ids alone has keep_id null and is kept.
+    doc_id never wins against another; a group of null ids alone has keep_id null and is kept. Very long texts travel in chunks. An empty table gives no rows.
+    Only the two columns are read, so others may have any names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     prints = stored(fingerprints(docs), "fingerprints")

@@ -259,6 +259,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fa
 
     Null and empty texts are one end token. A null doc_id counts as the text ''. Repeated rows count and score each; those that
     repeat both id and text are one block's. An empty table gives no rows; without training documents the score is that of the uniform estimate.
+    Very long texts are read whole, by one task. Only the two columns are read, so others may have any names.
     """
     docs = texts(docs, id_col, text_col)
     n = blocks(docs, BLOCK_BYTES)

@@ -97,7 +97,7 @@ def pack(docs: DataFrame, size: int = LENGTH, tokenizer: str | None = None, with
     A packer places AHEAD of them at a time, the longest first, and holds at most open_bins open bins, the fullest of which close, and nothing
     of what it has placed. So each packer ends with some bins less than full, and no more.
 
-    Null and empty texts are one end token. Repeated rows are packed each. An empty table gives no rows.
+    Null and empty texts are one end token. Repeated rows are packed each. Very long texts are cut into many pieces, by one task. An empty table gives no rows. Only the two columns are read, so others may have any names.
     """
     docs = texts(docs, id_col, text_col)
     cut = pieces(docs, size, tokenizer, with_ids)

@@ -233,7 +233,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member, are contracted to components. No document pairs are made.
 
     Null and empty texts, and those of white space, have fingerprint 0 and link like others. Null ids are never
-    a component's id unless it has no other. An empty table gives an empty result.
+    a component's id unless it has no other. A very long text is read whole, by one task. Repeated rows each give a row. An empty table gives an empty result.
+    Only the two columns are read, so others may have any names.
     """
     prints = stored(fingerprints(texts(docs, id_col, text_col)), "simhash")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")

@@ -242,7 +242,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are what ASCII white space parts; null and empty texts have none. Fewer than 13 words are no window. Rows with equal
     doc_id don't cut each other. A null doc_id counts as larger than any other. Repeated rows each give a row; those that repeat
-    both id and text are one block's. An empty table gives no rows.
+    both id and text are one block's. Very long texts are read whole, by one task. An empty table gives no rows. Only the two columns are read, so others may have any names.
     """
     docs = texts(docs, id_col, text_col)
     hot = np.sort(np.array(hot_minimisers(docs), np.int64).view(np.uint64))
