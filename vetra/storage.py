@@ -20,11 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts lineage, and survives the loss of executors."""
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """df written to the shared folder and read again: it cuts lineage, and survives the loss of executors. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vetra_path = path
     _kept(spark).add(path)
