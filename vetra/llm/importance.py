@@ -23,7 +23,9 @@ BUCKETS = 10_000
 LEAST_WORDS, PERCENT = 20, 25
 SEED = 7
 #: Bytes of text that DuckDB counts at once, but for a longer word, and the memory that it may take. It has no folder to spill to.
-SLICE_BYTES, MEMORY = 1 << 20, "400MB"
+SLICE_BYTES, MEMORY = 1 << 19, "256MB"
+#: Bytes of a row group of the counts, which a task holds until it is written.
+GROUP_BYTES = 1 << 23
 #: What lies between words, once A-Z are lower-cased.
 BETWEEN = rb"\x00-\x2F\x3A-\x60\x7B-\x7F"
 _GAP, _FIRST, _LAST = re.compile(rb"[%b]" % BETWEEN), re.compile(rb"[^%b]+" % BETWEEN), re.compile(rb"[^%b]+(?=[%b]*\Z)" % (BETWEEN, BETWEEN))
@@ -114,7 +116,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, n_words, n_features, buckets and their counts of each text, as Parquet in the shared folder; and a row of sums for each partition."""
-    return stored(docs.mapInArrow(_counted, COUNTED), name)
+    return stored(docs.mapInArrow(_counted, COUNTED), name, **{"parquet.block.size": GROUP_BYTES})
 
 
 def totals(counted: DataFrame) -> DataFrame:
