@@ -29,7 +29,9 @@ GROUP_BYTES = 1 << 23
 #: What lies between words, once A-Z are lower-cased.
 BETWEEN = rb"\x00-\x2F\x3A-\x60\x7B-\x7F"
 _GAP, _FIRST, _LAST = re.compile(rb"[%b]" % BETWEEN), re.compile(rb"[^%b]+" % BETWEEN), re.compile(rb"[^%b]+(?=[%b]*\Z)" % (BETWEEN, BETWEEN))
-COUNTED = "doc_id long, n_words long, n_features long, buckets array<int>, counts array<long>, total boolean"
+COUNTED = "doc_id long, n_words long, n_features long, buckets array<short>, counts array<int>, sums array<long>"
+#: Rows that are weighed at once.
+WEIGHED_ROWS = 256
 
 #: A text's words, its runs of one and two words, and how many of these each bucket holds. Rows come in the order of their texts, so the next word is one row on.
 GRAMS = rf"""
@@ -110,8 +112,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole += np.bincount(bucket, n, BUCKETS).astype(np.int64)
                 features = np.bincount(place, n, rows).astype(np.int64)
                 words = (features + 1) // 2  # a text of w words has w single ones and w - 1 pairs
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words), pa.array(features), _lists(place, rows, bucket, pa.int32()), _lists(place, rows, n, pa.int64()), pa.array([False] * rows)], names)
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *(pa.array([0]) for _ in "ab"), pa.array([np.arange(BUCKETS)], pa.list_(pa.int32())), pa.array([whole], pa.list_(pa.int64())), pa.array([True])], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words), pa.array(features), _lists(place, rows, bucket, pa.int16()), _lists(place, rows, n, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))], names)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), *(pa.array([0]) for _ in "ab"), pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.list_(pa.int32())), pa.array([whole], pa.list_(pa.int64()))], names)
 
 
 def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
@@ -121,8 +123,8 @@ def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
 
 def totals(counted: DataFrame) -> DataFrame:
     """(bucket, n): BUCKETS rows at most."""
-    each = counted.where("total").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
-    return each.groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
+    each = counted.where("sums is not null").select(F.posexplode("sums").alias("bucket", "n"))
+    return each.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame) -> list[int]:
@@ -139,12 +141,13 @@ def _weighed(gain: list[int]):
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array(gain, np.int64)
         for batch in batches:
-            buckets, counts = batch.column("buckets"), batch.column("counts")
-            ends = np.append(0, np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False)))
-            sums = np.append(0, np.cumsum(own[buckets.flatten().to_numpy()] * counts.flatten().to_numpy()))
-            features = batch.column("n_features").to_numpy()
-            weight = (sums[ends[1:]] - sums[ends[:-1]]) // np.maximum(features, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_features"), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
+            for part in (batch.slice(k, WEIGHED_ROWS) for k in range(0, batch.num_rows, WEIGHED_ROWS)):
+                buckets, counts = part.column("buckets"), part.column("counts")
+                ends = np.append(0, np.cumsum(buckets.value_lengths().to_numpy(zero_copy_only=False)))
+                sums = np.append(0, np.cumsum(own[buckets.flatten().to_numpy()] * counts.flatten().to_numpy()))
+                features = part.column("n_features").to_numpy()
+                weight = (sums[ends[1:]] - sums[ends[:-1]]) // np.maximum(features, 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_words"), part.column("n_features"), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
     return weighed
 
@@ -172,7 +175,7 @@ def importance_resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_i
     own = bucket_counts(texts(docs, id_col, text_col), "bucket-counts")
     other = bucket_counts(texts(target.select(F.lit(0).alias("doc_id"), text_col), "doc_id", text_col), "target-counts")
     gain = gains(totals(own), totals(other))
-    weighed = own.where("not total").select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(_weighed(gain), "doc_id long, n_words long, n_features long, weight long")
+    weighed = own.where("sums is null").select("doc_id", "n_words", "n_features", "buckets", "counts").mapInArrow(_weighed(gain), "doc_id long, n_words long, n_features long, weight long")
     scored = stored(weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scores")
     able = F.col("n_words") >= least_words
     k = percent * scored.where(able).count() // 100
