@@ -37,7 +37,13 @@ def size_histogram(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("group_count"))
 
 
-def group_flags(df: DataFrame, key: str, attribute: str, flag: str) -> DataFrame:
-    """Of each duplicate group: distinct attributes joined by ;, whether they cross, and whether all rows have the flag."""
-    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("member_count"), F.array_sort(F.collect_set(attribute)).alias("_a"), F.bool_and(flag).alias("all_flagged")).where("member_count > 1")
-    return out.select(key, "member_count", F.array_join("_a", ";").alias("attributes"), (F.size("_a") > 1).alias("crosses"), "all_flagged")
+def group_flags(df: DataFrame, key: str, attribute: str, flag: str, ends: bool = False) -> DataFrame:
+    """Of each duplicate group: distinct attributes joined by ; (ends: the least and the greatest alone), whether they cross, and whether all rows have the flag.
+
+    With ends, a group holds two values however many attributes it has, and a group without any has null attributes and crosses.
+    """
+    found = [F.min(attribute).alias("_least"), F.max(attribute).alias("_greatest")] if ends else [F.array_sort(F.collect_set(attribute)).alias("_a")]
+    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("member_count"), *found, F.bool_and(flag).alias("all_flagged")).where("member_count > 1")
+    crosses = F.col("_least") != F.col("_greatest") if ends else F.size("_a") > 1
+    attributes = F.when(crosses, F.concat_ws(";", "_least", "_greatest")).otherwise(F.col("_least")) if ends else F.array_join("_a", ";")
+    return out.select(key, "member_count", attributes.alias("attributes"), crosses.alias("crosses"), "all_flagged")
