@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vetra.llm import jaccard
@@ -108,3 +109,31 @@ def test_near_odd(spark, sf, nothing):
     assert corpus_pipeline.near_dedup_stage(spark, nothing.select("doc_id", "text"), sf).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (3, "a B c"), (None, "x y"), (4, "z")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()), key=repr) == [(3, "a B c"), (4, "z"), (None, "x y")]
+
+
+def test_fingerprints_link_first(spark, sf, monkeypatch):
+    """Rows whose SimHash fingerprints differ in 3 bits or fewer are compared, by links that connect them; what isn't similar enough stays."""
+    r = random.Random(4)
+    rows = []
+    for _ in range(30):
+        base = [f"w{r.randrange(10**6)}" for _ in range(600)]
+        rows += [" ".join(base), " ".join([*base[:300], "other", *base[301:]])]
+    rows += [" ".join(f"p{k}" for k in range(12)), " ".join(f"p{k}" for k in range(11))]
+    prints = [int(p) for p in map(jaccard.simhash.fingerprint, (t.encode() for t in rows))]
+    near = {(a, b) for b in range(len(rows)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert len(near) > 20
+    heads = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)], "row long, fp long")
+    got = {(x.a, x.b) for x in jaccard.by_fingerprints(heads).collect()}
+    assert got == near  # pairs alone, so that links enough are all links
+    seen = []
+    similar = jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda docs, own, pairs: seen.append(pairs.count()) or similar(docs, own, pairs))
+    monkeypatch.setattr(jaccard, "by_fingerprints", lambda heads: seen.append(True) or heads.select(F.col("row").alias("a"), F.col("row").alias("b")).limit(0))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()) == brute_kept(list(enumerate(rows)))
+    without_prints = seen[1]
+    monkeypatch.undo()
+    seen.clear()
+    monkeypatch.setattr(jaccard, "similar", lambda docs, own, pairs: seen.append(pairs.count()) or similar(docs, own, pairs))
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()) == brute_kept(list(enumerate(rows)))
+    assert seen[0] == without_prints + len(near)  # they are compared by all their shingles

@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: a set join by prefixes, exact, with shingles in the order of their true counts."""
+"""Near copies by the Jaccard similarity of word shingles: links of SimHash fingerprints, each checked, and for what these miss a set join by prefixes, exact, with shingles in the order of their true counts."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vetra.operators.lineage import components
 
+from . import simhash
 from .common import blocks, dropped, lacking, perhaps, sha, stored
 from .exchange import Entries, answered, exchanged, in_blocks, told
 from .tally import asked, replier, replies
@@ -25,7 +26,7 @@ BLOCK_BYTES = 1 << 23
 EXACT, STEPS = 64, 12
 #: Turns in which a token's rows are compared with one of them, before all are.
 TURNS = 1
-ROWS = "doc_id long, sha string, sig string, n int, at array<int>, prefix array<long>"
+ROWS = "doc_id long, sha string, sig string, n int, fp long, at array<int>, prefix array<long>"
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -55,9 +56,12 @@ class Sets:
 
     def __init__(self, table: pa.Table):
         self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.own = [shingles(t.as_buffer().to_pybytes()) for t in table.column("text").cast(pa.binary())]
+        self.own = [shingles(t) for t in self.texts()]
         self.distinct, self.number = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.own]), return_inverse=True)
 
+    def texts(self) -> Iterator[bytes]:
+        return (t.as_buffer().to_pybytes() for t in self.table.column("text").cast(pa.binary()))
+
 
 def _ask(buckets: int):
     def ask(table: pa.Table) -> Entries:
@@ -68,18 +72,20 @@ def _ask(buckets: int):
 
 
 def _rows(buckets: int):
-    """Each row with its shingles' signature and its prefix: of the shingles that other rows have too, what they are and at which places they stand."""
+    """Each row with its shingles' signature, its text's SimHash fingerprint, and its prefix: of the shingles that other rows have too, what they are and at which places they stand."""
 
     def rows(table: pa.Table, found: pa.Table) -> pa.Table:
         sets = Sets(table)
         counts = replies(sets.distinct, told(found), buckets)[sets.number]
+        prints = np.fromiter(map(simhash.fingerprint, sets.texts()), np.uint64, len(sets.own)).view(np.int64)
         cols: list[list] = [[], [], [], []]
         for own, count in zip(sets.own, np.split(counts, np.cumsum([len(x) for x in sets.own])[:-1]), strict=True):
             order = np.argsort(count, kind="stable")[: len(prefix(own, count))]
             at = np.flatnonzero(count[order] > 1)
             for to, x in zip(cols, (xxhash.xxh3_128_hexdigest(own.tobytes()), len(own), at.astype(np.int32), own[order][at].view(np.int64)), strict=True):
                 to.append(x)
-        return pa.table([sets.table.column("doc_id"), sets.table.column("sha"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True))], names=["doc_id", "sha", "sig", "n", "at", "prefix"])
+        sig, n, at, first = (pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True))
+        return pa.table([sets.table.column("doc_id"), sets.table.column("sha"), sig, n, pa.array(prints), at, first], names=["doc_id", "sha", "sig", "n", "fp", "at", "prefix"])
 
     return rows
 
@@ -145,10 +151,22 @@ def across(tokens: DataFrame) -> DataFrame:
     return met.select(F.least("own.row", "next.row").alias("a"), F.greatest("own.row", "next.row").alias("b"))
 
 
-def links(docs: DataFrame, own: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(a, b): links enough to connect all rows that are similar enough, from (token, row, i, n) of their prefixes.
+def by_fingerprints(heads: DataFrame) -> DataFrame:
+    """(a, b): the rows (row, fp) that op3_simhash's method links: those of one fingerprint with the first of them, and the first ones of fingerprints that it links."""
+    prints = stored(heads.select("row", "fp"), "near-prints")
+    first = stored(prints.groupBy("fp").agg(F.min("row").alias("first")), "near-fingerprints")
+    out = prints.join(first, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    if (found := simhash.links(first)) is not None:
+        side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}"))
+        met = found.distinct().join(side("a"), "a").join(side("b"), "b")
+        out = out.unionByName(met.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+    return out
+
+
+def links(docs: DataFrame, own: DataFrame, tokens: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b): links enough to connect all rows that are similar enough, from near, the pairs of by_fingerprints(), and (token, row, i, n) of the rows' prefixes.
 
-    In TURNS turns the rows of each token are compared with one of them, that with the fewest rarer shingles before it: among
+    The pairs of near are compared by all their shingles like any others. In TURNS turns the rows of each token are compared with one of them, that with the fewest rarer shingles before it: among
     variants of a text it is nearest the text, so that this connects most groups with no more pairs than rows. Those of tokens that this leaves in
     several parts are then compared across the parts, as far as what follows the shared token in both is enough (see _possible()): as the rarest
     shingles come first, variants with more of their own than linked sets may lack drop out.
@@ -163,7 +181,8 @@ def links(docs: DataFrame, own: DataFrame, tokens: DataFrame) -> DataFrame:
         mine = F.struct("row", "i", "n", "part")
         heads = stored(tokens.groupBy("token").agg(F.min_by(mine, F.struct("i", F.xxhash64(F.lit(turn), "token", "row"), "row")).alias("head")), "near-heads")
         met = tokens.select("token", mine.alias("own")).join(heads, "token").where((F.col("own.part") != F.col("head.part")) & _possible("own", "head"))
-        found = similar(docs, own, met.select(F.least("own.row", "head.row").alias("a"), F.greatest("own.row", "head.row").alias("b")))
+        pairs = met.select(F.least("own.row", "head.row").alias("a"), F.greatest("own.row", "head.row").alias("b"))
+        found = similar(docs, own, pairs if turn else pairs.unionByName(near))
         out = found if out is None else out.unionByName(found)
         before, tokens = tokens, _placed(tokens, out)
         for t in (heads, before):
@@ -179,7 +198,8 @@ def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A group is what links of similarity 0.8 at least, over 5-word shingles, connect. Of it the document with the least doc_id
     stays (a null one only if there is no other; of equal ids, the one with the least hash of its text).
 
-    Equal sets of shingles are one class. Blocks of documents ask in how many rows each of their shingles is; classes meet by the rarest shingles,
+    Equal sets of shingles are one class. Classes whose texts' SimHash fingerprints (3-word shingles) differ in 3 bits or fewer meet as in simhash_dedup(), and are
+    compared by all their shingles. Most linked texts' fingerprints differ in more bits; so blocks of documents also ask in how many rows each of their shingles is; classes meet by the rarest shingles,
     their prefixes (see prefix()), which no linked pair escapes; those that can be similar by where the shared shingle stands are compared by
     all their shingles, as 64-bit hashes. No pair is left out by a sketch or a chance. Null and empty texts, and those of white space, are one class. Very
     long texts are read whole, by one task. An empty table has no near copies.
@@ -193,9 +213,9 @@ def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "row")
     classes = stored(own.groupBy("sig").agg(F.min(rank).alias("best"), F.count("*").alias("size")), "near-classes")
     copies = stored(own.select("row", "doc_id", "sha", "sig").join(classes.where("size > 1").select("sig", "best"), "sig").where("row <> best.row"), "near-copies")
-    heads = lacking(own.select("row", "n", "at", "prefix"), ["row"], copies)
+    heads = lacking(own.select("row", "n", "fp", "at", "prefix"), ["row"], copies)
     tokens = heads.select("row", "n", F.explode(F.arrays_zip("at", "prefix")).alias("x")).select("row", "n", F.col("x.at").alias("i"), F.col("x.prefix").alias("token"))
-    linked = links(docs, own, tokens)
+    linked = links(docs, own, tokens, by_fingerprints(heads))
     found = stored(components(linked), "near-groups")
     ranked = stored(found.join(classes.select("best.row", "best"), F.col("node") == F.col("row")).select("root", "best"), "near-ranked")
     stays = stored(ranked.groupBy("root").agg(F.min("best").alias("stays")), "near-stays")

@@ -202,11 +202,11 @@ def linked(buckets: DataFrame, distance: int) -> DataFrame:
             ends = np.flatnonzero((table[0, 1:] != table[0, :-1]) | (table[1, 1:] != table[1, :-1])) + 1
             kept = table[:, ends[-1] :] if len(ends) else table
             if len(ends):
-                yield links(table[:, : ends[-1]])
+                yield found_in(table[:, : ends[-1]])
         if kept is not None:
-            yield links(kept)
+            yield found_in(kept)
 
-    def links(table: np.ndarray) -> pa.RecordBatch:
+    def found_in(table: np.ndarray) -> pa.RecordBatch:
         fp = table[2].view(np.uint64)
         new = np.append(True, (table[0, 1:] != table[0, :-1]) | (table[1, 1:] != table[1, :-1]))
         starts = np.flatnonzero(new)
@@ -223,6 +223,12 @@ def linked(buckets: DataFrame, distance: int) -> DataFrame:
     return buckets.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(verify, "a long, b long")
 
 
+def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame | None:
+    """linked() over the distinct fingerprints of a table (fp, ...); None for fewer than two."""
+    n, together = bit_statistics(classes)
+    return linked(dealt(classes.select("fp"), allocate(n, together, distance), distance), distance) if n > 1 else None
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """Documents whose SimHash fingerprints, over 3-word shingles, are connected by links of at most `distance` differing bits.
 
@@ -238,10 +244,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = stored(fingerprints(texts(docs, id_col, text_col)), "simhash")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    n, together = bit_statistics(classes)
-    if n < 2:
+    found = links(classes, distance)
+    if found is None:
         return prints.join(classes, "fp").select("doc_id", "fp", F.col("first_id").alias("component_id"))
-    roots = stored(components(linked(dealt(classes.select("fp"), allocate(n, together, distance), distance), distance)), "components")
+    roots = stored(components(found), "components")
     members = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
     least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked_ids = members.join(least, "root").select("fp", "least_id")
