@@ -80,3 +80,21 @@ def test_training_rows_are_bounded(spark, monkeypatch):
     quality.fit(docs, grades, train_rows=4)
     quality.fit(docs, grades.limit(0))
     assert [n for n, _ in seen] == [11, 4, 0] and seen[0][1] == sorted(k % 3 for k in range(1, 12))
+
+
+def test_a_fit_holds_its_features_once():
+    """What a fit takes beyond its rows is bounded by the model: its arrays, and one batch of rows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    features = [np.unique(rng.integers(0, quality.FEATURES, 2_500)).astype(np.int32) for _ in range(12_000)]  # 120 MB
+    grades = np.arange(len(features), dtype=np.int32) % 3
+    passes = quality.PASSES, quality.STEPS
+    quality.PASSES, quality.STEPS = 1, 1
+    try:
+        tracemalloc.start()
+        quality.fit_rows(grades, features)
+        assert tracemalloc.get_traced_memory()[1] < 30 * quality.FEATURES
+    finally:
+        tracemalloc.stop()
+        quality.PASSES, quality.STEPS = passes

@@ -89,14 +89,18 @@ def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
     """Cumulative-link regression by Adagrad over batches, with an L1 penalty; rows in the given order."""
     w, seen = np.zeros(FEATURES, np.float32), np.full(FEATURES, 1e-6, np.float32)
     cuts, cuts_seen = np.linspace(-1.0, 1.0, GRADES - 1), np.full(GRADES - 1, 1e-6)
-    common = np.bincount(np.concatenate([np.zeros(0, np.int64), *features]), minlength=FEATURES) >= LEAST_ROWS
-    features = [f[common[f]] for f in features]
+    rows_of = np.zeros(FEATURES, np.int32)
+    for f in features:  # distinct in a row
+        rows_of[f] += 1
+    common = rows_of >= LEAST_ROWS
+    del rows_of
     sparse = SPARSE / max(len(grades), 1) ** 0.5
     for _ in range(max(PASSES, STEPS * BATCH // max(len(grades), 1))) if len(grades) else ():
         for at in range(0, len(grades), BATCH):
             own = features[at : at + BATCH]
             flat = np.concatenate(own)
-            row = np.repeat(np.arange(len(own)), [len(f) for f in own])
+            used = common[flat]  # chosen here, so that the features are held once
+            flat, row = flat[used], np.repeat(np.arange(len(own)), [len(f) for f in own])[used]
             score = np.bincount(row, w[flat], len(own))
             above = grades[at : at + BATCH, None] > np.arange(GRADES - 1)
             pull = sigmoid(score[:, None] - cuts) - above
@@ -122,8 +126,14 @@ def fit(docs: DataFrame, grades: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     graded = grades.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = graded.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(train_rows)
     own = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade", "turn").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    table = own.mapInArrow(_examples, "grade int, turn long, features array<int>").toArrow().sort_by("turn")
-    return fit_rows(np.asarray(table.column("grade").combine_chunks()) if table.num_rows else np.zeros(0, np.int64), [np.asarray(f.values) for f in table.column("features")])
+    table = own.mapInArrow(_examples, "grade int, turn long, features array<int>").toArrow()
+    order = np.argsort(np.asarray(table.column("turn").combine_chunks())) if table.num_rows else np.zeros(0, np.int64)
+    # the rows' features stay where the table has them: the driver holds them once
+    features = [np.asarray(f.values) for f in table.column("features")]
+    model = fit_rows(np.asarray(table.column("grade").combine_chunks())[order] if len(order) else np.zeros(0, np.int64), [features[k] for k in order.tolist()])
+    del table, features
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scores(model: Model):
