@@ -114,3 +114,47 @@ def test_locators_of_one_hot_container(spark, tmp_path):
     assert got == {**{k: ("OK", str(k).encode()) for k in range(500)}, 500: ("MISSING", None), 501: ("MISSING", None), 502: ("OK", b"7"), 503: ("MISSING", None)}
     with pytest.raises(Exception, match="broken locator"):
         c.locator_contents(spark, spark.createDataFrame([("zip://x",)], "source_locator string")).collect()
+
+
+def test_a_run_reads_its_part_of_the_directory(tmp_path, monkeypatch):
+    """Of 20,000 members a run of 100 makes no more than these, whatever comes before the archive."""
+    path = tmp_path / "many.zip"
+    path.write_bytes(b"before" + zipped({f"{k:05}.txt": str(k) for k in range(20_000)}))
+    found = list(c.runs(str(path), 100))
+    assert len(found) == 200
+    made = []
+
+    class Counted(zipfile.ZipInfo):
+        def __init__(self, *a, **k):
+            made.append(1)
+            super().__init__(*a, **k)
+
+    monkeypatch.setattr(zipfile, "ZipInfo", Counted)
+    rows = list(c.read_run(str(path), *found[150]))
+    assert [(r[1], bytes(r[-1])) for r in rows] == [(f"{k:05}.txt", str(k).encode()) for k in range(15_000, 15_100)] and len(made) == 100
+
+
+def test_one_archive_is_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(30_000).select(F.lit("a.zip").alias("a"), F.format_string("ä%05d", "id").alias("m"), F.col("id").cast("string").alias("t")).repartition(3)
+    out = c.write_archives(df, f"file://{tmp_path}/out", "a", "m", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(a" in plan
+    assert [tuple(r)[:2] for r in out.collect()] == [("a.zip", 30_000)] and os.listdir(tmp_path / "out") == ["a.zip"]
+    with zipfile.ZipFile(tmp_path / "out/a.zip") as z:
+        assert z.testzip() is None and z.namelist() == [f"ä{k:05}" for k in range(30_000)] and z.read("ä12345") == b"12345"
+
+
+def test_places_beyond_four_gigabytes(spark, tmp_path):
+    """A part that is joined so far on, in a sparse file."""
+    part, path, far = tmp_path / "part.zip", tmp_path / "far.zip", 5 << 30
+    part.write_bytes(zipped({"a.txt": b"first", "b.txt": b"second" * 99}))
+    with open(part, "rb") as f, open(path, "wb") as out:
+        size = c._directory(f)[0]
+        entries = b"".join(c._moved(entry, far) for _, entry in c._entries(f))
+        f.seek(0)
+        out.seek(far)
+        out.write(f.read(size))
+        out.write(entries + c._ending(2, len(entries), far + size))
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.read("b.txt") == b"second" * 99
+    assert {(r.member, bytes(r.content)) for r in c.archive(spark, str(path), runMembers=1).collect()} == {("a.txt", b"first"), ("b.txt", b"second" * 99)}

@@ -1,16 +1,20 @@
 """Archives by range: their directories and members as rows, read by many tasks; and what locators point at.
 
-Files are opened by pyarrow's file systems (local, S3, GCS, HDFS), of which only the ranges that are needed are read: a ZIP's directory, then members.
+Files are opened by pyarrow's file systems (local, S3, GCS, HDFS), of which only the ranges that are needed are read: one task streams through a ZIP's directory
+and cuts it into runs, and those that read members get the part of the directory that lists them. Archives are written in parts, by many tasks.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import io
+import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +33,8 @@ RUN_MEMBERS, RUN_BYTES = 1_000, 1 << 28
 #: Bytes of a row's content; a larger member is several rows, by `chunk`.
 CHUNK_BYTES = 1 << 26
 READ_BYTES = 1 << 20
+#: Members, and bytes, of a part of a written archive, but for a larger last member. Places within it fit into 32 bits.
+PART_MEMBERS, PART_BYTES = 50_000, 1 << 30
 UNREADABLE = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, EOFError)
 
 Test = Callable[[str], bool]
@@ -66,34 +72,126 @@ class _Raw(io.RawIOBase):
         super().close()
 
 
-def opened(path: str) -> io.BufferedReader:
-    """A file by its URI or path, for reads at any place; READ_BYTES of it come at once."""
+def _raw(path: str) -> _Raw:
     if "://" in path or path.startswith("file:/"):
         store, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
     else:
         store, name = fs.LocalFileSystem(), path
-    return io.BufferedReader(_Raw(store.open_input_file(name)), READ_BYTES)
+    return _Raw(store.open_input_file(name))
+
+
+def opened(path: str) -> io.BufferedReader:
+    """A file by its URI or path, for reads at any place; READ_BYTES of it come at once."""
+    return io.BufferedReader(_raw(path), READ_BYTES)
+
+
+def _directory(file: io.IOBase) -> tuple[int, int, int]:
+    """(start, bytes, offset) of an archive's directory by its end record; the offset is the start less what the file has before the archive."""
+    size = file.seek(0, 2)
+    before = max(size - (1 << 16) - 98, 0)  # the end record, 65,535 bytes of comment, and the records of large archives
+    file.seek(before)
+    tail = file.read(size - before)
+    at = len(tail) - 22 if tail[-22:-18] == b"PK\5\6" and tail[-2:] == b"\0\0" else tail.rfind(b"PK\5\6")
+    if at < 0 or at + 22 > len(tail):
+        raise zipfile.BadZipFile("no end record")
+    length, offset = struct.unpack_from("<2L", tail, at + 12)
+    if at >= 76 and tail[at - 20 : at - 16] == b"PK\6\7" and tail[at - 76 : at - 72] == b"PK\6\6":
+        at -= 76
+        length, offset = struct.unpack_from("<2Q", tail, at + 40)
+    if before + at < length:
+        raise zipfile.BadZipFile("no room for the directory")
+    return before + at - length, length, offset
+
+
+def _ending(count: int, length: int, offset: int) -> bytes:
+    """The end records, in the form for large archives, of a directory of so many entries and bytes at this offset."""
+    large = struct.pack("<4sQ2H2L4Q", b"PK\6\6", 44, 45, 45, 0, 0, count, count, length, offset) + struct.pack("<4sLQL", b"PK\6\7", 0, offset + length, 1)
+    return large + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, min(count, 0xFFFF), min(count, 0xFFFF), min(length, 0xFFFFFFFF), min(offset, 0xFFFFFFFF), 0)
+
+
+def _entries(file: io.IOBase) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of each entry of an archive's directory, as it streams by."""
+    at, length, _ = _directory(file)
+    end = at + length
+    file.seek(at)
+    while at < end:
+        head = file.read(46)
+        if len(head) < 46 or head[:4] != b"PK\1\2":
+            raise zipfile.BadZipFile("no directory entry")
+        rest = sum(struct.unpack_from("<3H", head, 28))
+        yield at, head + file.read(rest)
+        at += 46 + rest
+
+
+def _name(entry: bytes) -> str:
+    name = entry[46 : 46 + struct.unpack_from("<H", entry, 28)[0]]
+    return name.decode("utf-8" if struct.unpack_from("<H", entry, 8)[0] & 0x800 else "cp437").split("\0")[0]
+
+
+class _Part(io.RawIOBase):
+    """An archive of whose directory only the entries between two places are there, so that its size doesn't matter to who reads them."""
+
+    def __init__(self, file: _Raw, first: int, last: int):
+        self.file, self.at = file, 0
+        self.start, _, offset = _directory(file)
+        file.seek(first)
+        self.tail = file.read(last - first) + _ending(0, last - first, offset)  # readers go by bytes, not by the count
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        to = offset + (0, self.at, self.start + len(self.tail))[whence]
+        if to < 0:
+            raise OSError("before the file's beginning")
+        self.at = to
+        return to
+
+    def readinto(self, buffer) -> int:
+        if self.at < self.start:
+            self.file.seek(self.at)
+            data = self.file.read(min(len(buffer), self.start - self.at))
+        else:
+            data = self.tail[self.at - self.start : self.at - self.start + len(buffer)]
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
 
 
-def runs(archive: str, members: int = RUN_MEMBERS, size: int = RUN_BYTES, wanted: Test | None = None) -> Iterator[tuple[int, int]]:
-    """(first, last) places in the archive's directory of the runs that tasks read; (-1, -1) if it has no directory. Runs without a wanted or nested member are left out."""
+def _cut(file: io.IOBase, members: int, size: int, wanted: Test | None) -> Iterator[tuple[int, int]]:
+    first = place = total = count = 0
+    useful = False
+    for at, entry in _entries(file):
+        n = struct.unpack_from("<L", entry, 20)[0]
+        if count and (total + n > size or count >= members):
+            if useful:
+                yield first, at
+            total, count, useful = 0, 0, False
+        if not count:
+            first = at
+        total, count, place = total + n, count + 1, at + len(entry)
+        useful = useful or wanted is None or wanted(name := _name(entry)) or name.lower().endswith(".zip")
+    if useful:
+        yield first, place
+
+
+def runs(archive: str, members: int = RUN_MEMBERS, size: int = RUN_BYTES, wanted: Test | None = None) -> list[tuple[int, int]]:
+    """(first, last) places in the file, between which its directory lists the members of a run that tasks read; (-1, -1) if it has no directory. Runs without a wanted or nested member are left out."""
     try:
-        with closing(opened(archive)) as file, zipfile.ZipFile(file) as z:
-            entries = [(x.compress_size, x.filename) for x in z.infolist()]
+        with closing(opened(archive)) as file:
+            return list(_cut(file, members, size, wanted))
     except (*UNREADABLE, OSError):
-        yield -1, -1
-        return
-    first = total = 0
-    useful = wanted is None
-    for k, (n, name) in enumerate(entries):
-        if k > first and (total + n > size or k - first >= members):
-            if useful:
-                yield first, k
-            first, total, useful = k, 0, wanted is None
-        total += n
-        useful = useful or wanted(name) or name.lower().endswith(".zip")
-    if useful and entries:
-        yield first, len(entries)
+        return [(-1, -1)]
 
 
 def _row(archive: str, x: zipfile.ZipInfo, depth: int, status: str, chunk: int = 0, content: bytes | None = None) -> tuple:
@@ -116,8 +214,8 @@ def _identity(x: zipfile.ZipInfo) -> tuple[int, int]:
     return x.CRC, x.file_size
 
 
-def walk(file, archive: str, first: int = 0, last: int | None = None, nested: bool = True, contents: bool = True, wanted: Test | None = None, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
-    """The rows of the members at these places of an archive's directory, and, if nested, of those in archives among them, to any depth.
+def walk(file, archive: str, nested: bool = True, contents: bool = True, wanted: Test | None = None, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """The rows of the members of an archive, and, if nested, of those in archives among them, to any depth.
 
     An archive within an archive is read as a stream, not held whole. One that has the checksum and size of an archive around it would go on for ever: its status is CYCLE.
     """
@@ -126,7 +224,7 @@ def walk(file, archive: str, first: int = 0, last: int | None = None, nested: bo
     except UNREADABLE:
         yield (archive, *[None] * 9, "BAD_ZIP", None)
         return
-    around: list[tuple[zipfile.ZipFile, Iterator[zipfile.ZipInfo], str, tuple]] = [(top, iter(top.infolist()[first:last]), archive, ())]
+    around: list[tuple[zipfile.ZipFile, Iterator[zipfile.ZipInfo], str, tuple]] = [(top, iter(top.infolist()), archive, ())]
     while around:
         z, entries, name, _ = around[-1]
         if (x := next(entries, None)) is None:
@@ -153,8 +251,8 @@ def read_run(archive: str, first: int, last: int, **options) -> Iterator[tuple]:
     if first < 0:
         yield (archive, *[None] * 9, "BAD_ZIP", None)
         return
-    with closing(opened(archive)) as file:
-        yield from walk(file, archive, first, last, **options)
+    with closing(io.BufferedReader(_Part(_raw(archive), first, last), READ_BYTES)) as file:
+        yield from walk(file, archive, **options)
 
 
 def as_batches(rows: Iterable[tuple], rows_most: int = 512, bytes_most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
@@ -249,8 +347,8 @@ def archives(paths: DataFrame, pattern: str | None = None, nested: bool = True,
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                found = list(runs(path, members, size, fits))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *(pa.array([r[k] for r in found], pa.int32()) for k in (0, 1))], ["path", "first", "last"])
+                found = runs(path, members, size, fits)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *(pa.array([r[k] for r in found], pa.int64()) for k in (0, 1))], ["path", "first", "last"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,41 +356,91 @@ def archives(paths: DataFrame, pattern: str | None = None, nested: bool = True,
                 yield from as_batches(read_run(path, first, last, nested=nested, contents=contents, wanted=fits))
 
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planned = paths.select("path").mapInArrow(plan, "path string, first int, last int")
+    planned = paths.select("path").mapInArrow(plan, "path string, first long, last long")
     out = planned.repartition(n, "path", "first").mapInArrow(read, MEMBERS)
     return out.withColumns({"is_symlink": F.shiftright("external_attributes", 16).bitwiseAND(0o170000) == 0o120000, "safe": safe_member(F.col("member"))})
 
 
+def _moved(entry: bytes, by: int) -> bytes:
+    """A directory entry of a part for a place so many bytes on; one that 32 bits can't hold goes behind the sizes in the extra field, where only zipfile's own such field can be."""
+    place = struct.unpack_from("<L", entry, 42)[0] + by
+    if place < 0xFFFFFFFF:
+        return entry[:42] + struct.pack("<L", place) + entry[46:]
+    n, extra = struct.unpack_from("<2H", entry, 28)
+    sizes = entry[50 + n : 46 + n + extra]
+    large = struct.pack("<2H", 1, len(sizes) + 8) + sizes + struct.pack("<Q", place)
+    return entry[:6] + struct.pack("<H", 45) + entry[8:30] + struct.pack("<H", len(large)) + entry[32:42] + b"\xff" * 4 + entry[46 : 46 + n] + large + entry[46 + n + extra :]
+
+
+def _joined(out, parts: list[str]) -> int:
+    """The archives at these paths as one: their members' bytes as they are, then a directory of all; how many members. One part's directory is held at a time."""
+    places = []
+    for path in parts:
+        with closing(_raw(path)) as file:
+            left = _directory(file)[0]
+            places.append(out.tell())
+            file.seek(0)
+            while left:
+                data = file.read(min(left, 1 << 24))
+                out.write(data)
+                left -= len(data)
+    start, count = out.tell(), 0
+    for path, by in zip(parts, places, strict=True):
+        with closing(opened(path)) as file:
+            entries = [_moved(entry, by) for _, entry in _entries(file)]
+        out.write(b"".join(entries))
+        count += len(entries)
+    out.write(_ending(count, out.tell() - start, start))
+    return count
+
+
 def write_archives(df: DataFrame, folder: str, archive_col: str, member_col: str, content_col: str) -> DataFrame:
-    """(archive, members, bytes) of ZIP files in a folder, one for each archive name, with members in the order of their names. A file appears whole, under its name, or not at all."""
+    """(archive, members, bytes) of ZIP files in a folder, one for each archive name, with members in the order of their names. A file appears whole, under its name, or not at all.
+
+    Ranges of (archive, member) are compressed by tasks, each into parts of its own; then one task for an archive copies its parts' bytes one after the other.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        now = z = out = None
-        count = 0
+        store.create_dir(base)
+        now = z = out = path = first = None
+        count = turn = 0
 
         def close() -> pa.RecordBatch:
             z.close()
-            size = out.tell()
             out.close()
-            store.move(f"{base}/.{now}.part", f"{base}/{now}")
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["archive", "members", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([first]), pa.array([turn], pa.int32()), pa.array([path])], ["a", "m", "turn", "part"])
 
         for batch in batches:
             for name, member, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if name != now:
+                if name != now or count >= PART_MEMBERS or out.tell() >= PART_BYTES:
                     if z is not None:
                         yield close()
-                    store.create_dir(base)
-                    now, count, out = name, 0, store.open_output_stream(f"{base}/.{name}.part")
+                    now, first, count, turn, path = name, member, 0, turn + 1, f".{name}.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(f"{base}/{path}")
                     z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
                 z.writestr(zipfile.ZipInfo(member), content or b"", zipfile.ZIP_DEFLATED)
                 count += 1
         if z is not None:
             yield close()
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        rows = ((name, part) for batch in batches for name, part in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
+        for name, own in groupby(rows, key=lambda r: r[0]):
+            parts, whole = [part for _, part in own], f"{base}/.{name}.{uuid.uuid4().hex}.whole"
+            with store.open_output_stream(whole) as out:
+                count = _joined(out, [f"{folder}/{part}" for part in parts])
+                size = out.tell()
+            store.move(whole, f"{base}/{name}")
+            for part in parts:
+                store.delete_file(f"{base}/{part}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["archive", "members", "bytes"])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(archive_col).alias("a"), F.col(member_col).alias("m"), F.col(content_col).cast("binary").alias("c"))
-    return rows.repartition("a").sortWithinPartitions("a", "m").mapInArrow(write, "archive string, members long, bytes long")
+    parts = rows.repartitionByRange(n, "a", "m").sortWithinPartitions("a", "m").mapInArrow(write, "a string, m string, turn int, part string")
+    return parts.repartition("a").sortWithinPartitions("a", "m", "turn").mapInArrow(join, "archive string, members long, bytes long")
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
