@@ -2,10 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vetra.llm import suffix_dedup as s
+from vetra.llm.exchange import boxed
 from vetra.llm.suffix_array import Groups, suffix_array
+from vetra.llm.tally import replier
 
 
 def by_comparison(text):
@@ -124,3 +127,40 @@ def test_odd_documents(spark, odd, nothing):
     assert found(s.suffix_dedup(odd)) == brute(rows)
     assert s.suffix_dedup(nothing).count() == 0
     assert s.suffix_dedup(odd).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+
+
+def boxes(entries):
+    return pa.table([pa.array([boxed(entries)], pa.binary())], names=["data"])
+
+
+def test_copies_in_a_block_are_no_hot_strings(monkeypatch):
+    """An anchor's strings count, not its rows: 40 copies travel as whole runs, once; 40 texts around one phrase travel window by window. Neither anchors nor strings are sought again for the cut."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(200))
+    copy, phrase = word(), word()[:60]
+    rows = [(k, copy) for k in range(40)] + [(40 + k, word() + phrase + word()) for k in range(40)]
+    table = pa.table([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string()), pa.array([0] * len(rows), pa.int32())], names=["doc_id", "text", "block"])
+    (_, asked), = s._ask(1, 10)(table)
+    said = [(0, x) for _, x in replier(s._state(10))(0, [(0, asked)])]
+    strings = s.Strings(table, said, 1).strings
+    assert sum(len(x) == s.WINDOW for x in strings if x.decode() not in copy) > 40 and phrase[:50].encode() in strings
+    assert sum(len(x) > s.WINDOW for x in strings) > 5 and sum(len(x) for x in strings if x.decode() in copy) < 2_000
+    told = [(0, x) for _, x in s._meet(s.LOT)(0, [(0, x) for _, x in s._tell(1)(table, boxes(said))])]
+    monkeypatch.delattr(s, "_anchored")
+    out = s._cut()(table, boxes(told))
+    want = {d: (n, gone) for d, n, gone, *_ in brute(rows)}
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"]) for x in out.to_pylist()} == want
+
+
+def test_a_runs_hash_covers_all_its_bytes():
+    r = random.Random(9)
+    data = bytearray(r.choice(b"abcdefgh") for _ in range(400))
+    *_, first, size, _, string = s._anchored([bytes(data)])
+    for k in r.sample(range(len(data)), 60):
+        other = bytearray(data)
+        other[k] ^= 1
+        _, first2, size2, _, string2 = s._anchored([bytes(other)])
+        mine = {(f, n): h for f, n, h in zip(first.tolist(), size.tolist(), string.tolist(), strict=True)}
+        for f, n, h in zip(first2.tolist(), size2.tolist(), string2.tolist(), strict=True):
+            if (f, n) in mine:
+                assert (mine[f, n] == h) == (not f <= k < f + n + s.WINDOW - 1)

@@ -26,8 +26,10 @@ UNIT, PLACE_BITS = 1 << 16, 18
 MULTIPLIERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)))
 #: Input bytes of a block of documents.
 BLOCK_BYTES = 1 << 23
-#: The windows of an anchor with more documents than this, counted by block, travel one by one.
-HOT = 4_096
+#: The windows of an anchor with more strings than this, those of each block counted by themselves, travel one by one.
+HOT = 16_384
+#: Blocks tell an anchor's strings and whether one or several rows have it in one number: strings * SEVERAL + rows, 2 rows at most. Their sum is exact up to half as many blocks.
+SEVERAL = 1 << 20
 #: Bytes that are sorted at once. Only the strings of one anchor, HOT of them and fewer than 2 * WINDOW bytes each, may be more.
 LOT = 1 << 20
 LAST = np.iinfo(np.int64).max
@@ -51,10 +53,15 @@ def _words(data: bytes) -> np.ndarray:
 
 def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(part, first, size, hash) of the runs of consecutive windows of each part with one anchor. A window's anchor follows from its bytes alone."""
+    return _anchored(parts)[:4]
+
+
+def _anchored(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchors(), and a hash of each run's bytes."""
     data = b"".join(parts)
     n = len(data) - WINDOW + 1
     if n <= 0:
-        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+        return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)))
     words = _words(data) * MULTIPLIERS[-1]
     words ^= words >> np.uint64(31)
     grams = _mixed(words, len(data) - GRAM + 1, range(8, GRAM - 7, 8))
@@ -75,23 +82,38 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     own = first + WINDOW <= ends[part]
     size = np.diff(np.append(first, n))[own]
     first, part = first[own], part[own]
-    return part, first - (ends - sizes)[part], size, grams[(least[first] & low).astype(np.int64)]
+    string, last = grams[first], first + size + WINDOW - 1 - GRAM
+    for at in (first + GRAM, np.minimum(first + 2 * GRAM, last), last):  # no run has more bytes than four grams
+        string ^= string >> np.uint64(29)
+        string *= MULTIPLIERS[0]
+        string += grams[at]
+    return part, first - (ends - sizes)[part], size, grams[(least[first] & low).astype(np.int64)], string
 
 
-class Runs:
-    """The runs of a block's rows: row, first byte in the row, windows, anchor hash. The rows come in a fixed order."""
+class Rows:
+    """A block's rows, in a fixed order."""
 
     def __init__(self, table: pa.Table):
         # a shuffle's rows come in any order, and the numbers must be the same each time that the block is read
         self.table = table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = table.column("doc_id").combine_chunks()
         self.docs = np.asarray(ids.fill_null(LAST)) if len(ids) else np.zeros(0, np.int64)
-        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]]
+
+    def texts(self) -> Iterator[bytes]:
+        return (t.as_buffer().to_pybytes() for t in self.table.column("text").cast(pa.binary()))
+
+
+class Runs(Rows):
+    """The runs of a block's rows: row, first byte in the row, windows, anchor hash, hash of its bytes."""
+
+    def __init__(self, table: pa.Table):
+        super().__init__(table)
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
         for rows, starts, parts in self._units():
-            part, first, size, anchor = anchors(parts)
-            for to, x in zip(cols, (rows[part], starts[part] + first, size, anchor), strict=True):
+            part, first, size, anchor, string = _anchored(parts)
+            for to, x in zip(cols, (rows[part], starts[part] + first, size, anchor, string), strict=True):
                 to.append(x)
-        self.row, self.first, self.size, self.anchor = map(np.concatenate, cols)
+        self.row, self.first, self.size, self.anchor, self.string = map(np.concatenate, cols)
 
     def _units(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
         """Texts, or overlapping parts of long ones, of about UNIT bytes together: their rows, where each starts, and their bytes."""
@@ -112,9 +134,6 @@ class Runs:
         if parts:
             yield np.array(rows), np.array(starts), parts
 
-    def texts(self) -> Iterator[bytes]:
-        return (t.as_buffer().to_pybytes() for t in self.table.column("text").cast(pa.binary()))
-
     def of_anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct anchors, sorted; each run's number among them; how many rows have each."""
         order = np.argsort(self.anchor, kind="stable")  # rows rise within an anchor
@@ -128,20 +147,25 @@ class Runs:
 
 
 def _ask(buckets: int, hot: int):
-    """Blocks ask how many rows have each of their anchors."""
+    """Blocks ask whether several rows have each of their anchors, and how many strings. Copies in a block are one string."""
 
     def ask(table: pa.Table) -> Entries:
-        distinct, _, rows = Runs(table).of_anchors()
-        return asked(distinct, np.minimum(rows, hot + 1), buckets)
+        own = Runs(table)
+        distinct, number, rows = own.of_anchors()
+        _, at = np.unique(own.string, return_index=True)
+        strings = np.bincount(number[at], minlength=len(distinct))
+        return asked(distinct, np.minimum(strings, hot + 1) * SEVERAL + np.minimum(rows, 2), buckets)
 
     return ask
 
 
 def _state(hot: int):
-    """0: one row has the anchor, 1: several, 2: more than `hot`."""
+    """0: one row has the anchor, 1: several, 2: several, and there are more than `hot` strings."""
 
-    def state(rows: np.ndarray) -> np.ndarray:
-        return (rows > 1).astype(np.uint8) + (rows > hot)
+    def state(told: np.ndarray) -> np.ndarray:
+        told = told.astype(np.int64)
+        several = told % SEVERAL > 1
+        return several.astype(np.uint8) + (several & (told // SEVERAL > hot))
 
     return state
 
@@ -173,18 +197,25 @@ class Strings(Runs):
         anchor, alone = np.zeros(len(known), np.uint64), np.zeros(len(known), bool)
         anchor[number], alone[number] = self.anchor[run][order], single[order]
         self.to, self.bits = places(anchor, buckets)
-        for k in np.flatnonzero(alone).tolist():  # a hot anchor's windows spread by all their bytes
-            h = mix(np.frombuffer(self.strings[k] + bytes(-WINDOW % 8), "<u8") + np.arange(-(-WINDOW // 8), dtype=np.uint64)).sum(dtype=np.uint64)
-            (self.to[k],), (self.bits[k],) = places(np.array([h], np.uint64), buckets)
+        if len(k := np.flatnonzero(alone)):  # a hot anchor's windows spread by all their bytes
+            data = np.zeros((len(k), -(-WINDOW // 8) * 8), np.uint8)
+            data[:, :WINDOW] = np.frombuffer(b"".join([self.strings[j] for j in k.tolist()]), np.uint8).reshape(-1, WINDOW)
+            h = mix(data.view("<u8") + np.arange(data.shape[1] // 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            self.to[k], self.bits[k] = places(h, buckets)
+
+    def noted(self) -> bytes:
+        """Which string is where, for _cut()."""
+        return b"s" + squeezed(planes(self.at_row, np.diff(self.at, prepend=0), self.windows, np.diff(self.number, prepend=0)))
 
 
 def _tell(buckets: int):
-    """Blocks send each of their strings once, with the least document that has it, to its anchor's bucket."""
+    """Blocks send each of their strings once, with the least document that has it, to its anchor's bucket; and to some bucket, which sends it back, where their strings are."""
 
     def tell(table: pa.Table, earlier: pa.Table) -> Entries:
         own = Strings(table, told(earlier), buckets)
         sizes = np.array([len(s) for s in own.strings], np.int64)
-        return [(int(own.to[k[0]]), squeezed(planes(k, own.bits[k], own.least[k], sizes[k]) + b"".join([own.strings[j] for j in k.tolist()]))) for k in lots(own.to)]
+        out = [(int(own.to[k[0]]), squeezed(planes(k, own.bits[k], own.least[k], sizes[k]) + b"".join([own.strings[j] for j in k.tolist()]))) for k in lots(own.to)]
+        return [*out, (table.column("block")[0].as_py() % buckets, own.noted())]
 
     return tell
 
@@ -234,7 +265,11 @@ def equal_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _meet(lot_bytes: int):
     def meet(bucket: int, entries: Entries) -> Entries:
-        """A bucket: which windows of a block's strings a smaller document has too, as (string, first window, windows, document)."""
+        """A bucket: which windows of a block's strings a smaller document has too, as (string, first window, windows, document); and the blocks' notes as they are."""
+        notes = [x for x in entries if x[1][:1] == b"s"]
+        entries = [x for x in entries if x[1][:1] != b"s"]
+        if not entries:
+            return notes
         opened = [numbers(zstandard.decompress(data), 4) for _, data in entries]
         number, bits, least, size = (np.concatenate([o[0][k] for o in opened]) for k in range(4))
         source = np.repeat(np.arange(len(entries)), [len(o[0][0]) for o in opened])
@@ -281,30 +316,34 @@ def _meet(lot_bytes: int):
         at = lo[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
         useful = doc[at] < least[entry]
         entry, at = entry[useful], at[useful]
-        return [(entries[source[entry[own[0]]]][0], b"w" + squeezed(planes(number[entry[own]], offset[at[own]], windows[at[own]], doc[at[own]]))) for own in lots(source[entry])]
+        return notes + [(entries[source[entry[own[0]]]][0], b"w" + squeezed(planes(number[entry[own]], offset[at[own]], windows[at[own]], doc[at[own]]))) for own in lots(source[entry])]
 
     return meet
 
 
-def _cut(buckets: int):
+def _cut():
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
-        said = told(found)
-        own = Strings(table, [(k, x) for k, x in said if x[:1] != b"w"], buckets)
+        said, own = told(found), Rows(table)
+        noted = [numbers(zstandard.decompress(x[1:]), 4)[0] for _, x in said if x[:1] == b"s"]
+        at_row, at, runs, string = noted[0] if noted else (np.zeros(0, np.int64),) * 4
+        at, string = np.cumsum(at), np.cumsum(string)
+        least = np.full(len(string), LAST)
+        np.minimum.at(least, string, own.docs[at_row])
         opened = [numbers(zstandard.decompress(x[1:]), 4)[0] for _, x in said if x[:1] == b"w"]
         number, offset, windows, doc = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*opened, strict=True) if opened else ((), (), (), ())))
         order = np.argsort(number, kind="stable")
         number, offset, windows, doc = number[order], offset[order], windows[order], doc[order]
-        mine = own.docs[own.at_row]
-        here = own.least[own.number] < mine  # a document of this block has all windows of the string
-        lo, hi = np.searchsorted(number, own.number, "left"), np.searchsorted(number, own.number, "right")
+        mine = own.docs[at_row]
+        here = least[string] < mine  # a document of this block has all windows of the string
+        lo, hi = np.searchsorted(number, string, "left"), np.searchsorted(number, string, "right")
         n = np.where(here, 0, hi - lo)
         run = np.repeat(np.arange(len(n)), n)
         entry = lo[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         hit = doc[entry] < mine[run]
         run, entry = run[hit], entry[hit]
-        row = np.append(own.at_row[here], own.at_row[run])
-        first = np.append(own.at[here], own.at[run] + offset[entry])
-        last = first + np.append(own.windows[here], windows[entry]) + WINDOW - 1
+        row = np.append(at_row[here], at_row[run])
+        first = np.append(at[here], at[run] + offset[entry])
+        last = first + np.append(runs[here], windows[entry]) + WINDOW - 1
         order = np.argsort(row, kind="stable")
         row, first, last = row[order], first[order], last[order]
         ends = np.searchsorted(row, np.arange(len(own.docs) + 1))
@@ -335,8 +374,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ask the anchors' buckets which are in several rows; most aren't, and nothing else of their windows travels. Of the others a block sends each distinct run of
     windows once, as a string with the least document that has it. A bucket sorts the suffixes of one anchor's strings by the linear grouping
     construction (see suffix_array()); neighbours that agree in 50 bytes are one window, and each block is told of the windows that
-    a smaller document has. Nothing grows with a group's square: copies come to a bucket once for each block, and the windows of an anchor with very many
-    rows travel one by one, to buckets by all their bytes.
+    a smaller document has. Where a block's strings are is noted once, and comes back with that. Nothing grows with a group's square: copies come to a bucket once for each block, and the windows of an anchor with very many
+    strings travel one by one, to buckets by all their bytes.
 
     Null and empty texts have no bytes. Texts of fewer than 50 bytes lose none. Rows with equal doc_id don't cut each other. A null doc_id counts as larger
     than any other. Repeated rows each give a row; those that repeat both id and text are one block's. Very long texts are read whole, by one task. Only
@@ -345,9 +384,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = texts(docs, id_col, text_col)
     n = blocks(docs, BLOCK_BYTES)
     dealt = in_blocks(docs, n)
-    said = stored(exchanged(dealt, _ask(2 * n, hot), replier(_state(hot)), n, 2 * n, fan), "anchors")
-    found = exchanged(dealt, _tell(2 * n), _meet(lot), n, 2 * n, fan, before=said)
-    return answered(dealt, said.unionByName(found), n, _cut(2 * n), DEDUPED)
+    buckets = fan if n <= fan < 2 * n else 2 * n  # no second level of the exchange where somewhat larger buckets do
+    said = stored(exchanged(dealt, _ask(buckets, hot), replier(_state(hot)), n, buckets, fan), "anchors")
+    found = exchanged(dealt, _tell(buckets), _meet(lot), n, buckets, fan, before=said)
+    return answered(dealt, found, n, _cut(), DEDUPED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
