@@ -98,3 +98,38 @@ def test_a_fit_holds_its_features_once():
     finally:
         tracemalloc.stop()
         quality.PASSES, quality.STEPS = passes
+
+
+def test_a_fit_has_one_array_of_all_feature_values():
+    """Weights are held for features that may get one, not for each value that a hash has."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    features = [np.unique(rng.integers(0, 3_000, 200)).astype(np.int32) for _ in range(300)]
+    tracemalloc.start()
+    try:
+        model = quality.fit_rows(np.arange(len(features)) % 3, features)
+        assert tracemalloc.get_traced_memory()[1] < 8 * quality.FEATURES
+    finally:
+        tracemalloc.stop()
+    assert model.index.max() < 3_000 and len(model.index) == len(model.weight)
+
+
+def test_training_rows_lie_in_a_file_of_the_driver(spark, monkeypatch):
+    """In the order of their turns, with the features that their texts have; the stored rows are gone."""
+    seen = []
+
+    def fit_rows(grades, features):
+        own = features[0]
+        while isinstance(own, np.ndarray) and own.base is not None:
+            own = own.base
+        seen.append((type(own).__name__, grades.tolist(), [f.tolist() for f in features]))
+
+    monkeypatch.setattr(quality, "fit_rows", fit_rows)
+    texts = {k: " ".join(f"w{k * j % 7}" for j in range(k)) for k in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    before = set(spark._vetra_stored) if hasattr(spark, "_vetra_stored") else set()
+    quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 as int) as grade"))
+    order = [r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as turn").orderBy("turn").collect()]
+    assert seen == [("mmap", [k % 3 for k in order], [quality.Features().of(texts[k]).tolist() for k in order])]
+    assert spark._vetra_stored == before

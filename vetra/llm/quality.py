@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, texts
+from .common import dropped, read, stored, texts
 
 #: Grades, worst first: toxic, poor, good.
 GRADES = 3
@@ -81,25 +82,33 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("turn"), pa.array(rows, pa.list_(pa.int32()))], ["grade", "turn", "features"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_examples(), with a row's features as the bytes of 32-bit numbers."""
+    for batch in _examples(batches):
+        rows = [np.asarray(f.values, np.int32).tobytes() for f in batch.column("features")]
+        yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("turn"), pa.array(rows, pa.binary())], ["grade", "turn", "features"])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
     """Cumulative-link regression by Adagrad over batches, with an L1 penalty; rows in the given order."""
-    w, seen = np.zeros(FEATURES, np.float32), np.full(FEATURES, 1e-6, np.float32)
     cuts, cuts_seen = np.linspace(-1.0, 1.0, GRADES - 1), np.full(GRADES - 1, 1e-6)
-    rows_of = np.zeros(FEATURES, np.int32)
+    number = np.zeros(FEATURES, np.int32)
     for f in features:  # distinct in a row
-        rows_of[f] += 1
-    common = rows_of >= LEAST_ROWS
-    del rows_of
+        number[f] += 1
+    index = np.flatnonzero(number >= LEAST_ROWS).astype(np.int32)
+    number.fill(-1)
+    number[index] = np.arange(len(index), dtype=np.int32)  # of the features that may get a weight; the only array as long as FEATURES
+    w, seen = np.zeros(len(index), np.float32), np.full(len(index), 1e-6, np.float32)
     sparse = SPARSE / max(len(grades), 1) ** 0.5
     for _ in range(max(PASSES, STEPS * BATCH // max(len(grades), 1))) if len(grades) else ():
         for at in range(0, len(grades), BATCH):
             own = features[at : at + BATCH]
-            flat = np.concatenate(own)
-            used = common[flat]  # chosen here, so that the features are held once
+            flat = number[np.concatenate(own)]
+            used = flat >= 0  # chosen here, so that the features are held once
             flat, row = flat[used], np.repeat(np.arange(len(own)), [len(f) for f in own])[used]
             score = np.bincount(row, w[flat], len(own))
             above = grades[at : at + BATCH, None] > np.arange(GRADES - 1)
@@ -113,27 +122,32 @@ def fit_rows(grades: np.ndarray, features: list[np.ndarray]) -> Model:
             g = -pull.mean(0)
             cuts_seen += g * g
             cuts = np.maximum.accumulate(cuts - RATE * g / np.sqrt(cuts_seen))
-    index = np.flatnonzero(w)
-    return Model(index, w[index], cuts)
+    del seen, number
+    return Model(index[w != 0].astype(np.int64), w[w != 0], cuts)
 
 
 def fit(docs: DataFrame, grades: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from graded documents: (doc_id, grade), grades from 0. Of more rows than train_rows, those with the least hashes of their ids are taken.
 
     Of several grades of an id the least counts, and of several texts the one with the least hash: train_rows rows at most come to the driver,
-    each with its distinct features. Null ids and grades are left out; without rows the model has no weights.
+    each with its distinct features, part by part, and lie in a file there. Null ids and grades are left out; without rows the model has no weights.
     """
     graded = grades.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = graded.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn").limit(train_rows)
     own = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade", "turn").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    table = own.mapInArrow(_examples, "grade int, turn long, features array<int>").toArrow()
-    order = np.argsort(np.asarray(table.column("turn").combine_chunks())) if table.num_rows else np.zeros(0, np.int64)
-    # the rows' features stay where the table has them: the driver holds them once
-    features = [np.asarray(f.values) for f in table.column("features")]
-    model = fit_rows(np.asarray(table.column("grade").combine_chunks())[order] if len(order) else np.zeros(0, np.int64), [features[k] for k in order.tolist()])
-    del table, features
-    pa.default_memory_pool().release_unused()
-    return model
+    rows = stored(own.mapInArrow(_packed, "grade int, turn long, features binary"), "training-rows")
+    with tempfile.TemporaryFile() as file:
+        found = []
+        for r in rows.toLocalIterator():  # one part of the table after the other
+            found.append((r.turn, r.grade, len(r.features) // 4))
+            file.write(r.features)
+        file.flush()
+        dropped(rows)
+        turn, grade, size = np.array(found, np.int64).reshape(-1, 3).T
+        order, ends = np.argsort(turn), np.cumsum(size)
+        # the rows' features stay in the file; pages of it that are read can go again
+        data = np.asarray(np.memmap(file, np.int32, "r")) if size.sum() else np.zeros(0, np.int32)
+        return fit_rows(grade[order], [data[ends[k] - size[k] : ends[k]] for k in order.tolist()])
 
 
 def scores(model: Model):
